@@ -26,18 +26,21 @@ def monthly_bins(
     t: str = "t",
     v: str = "v",
     grid: tuple[int, int] = GRID,
+    colocate: bool = True,
 ) -> DataFrame:
     """Readings per (key, month, half-even bin); bin NULL off the grid.
 
     Map-side aggregation leaves at most grid size + 1 rows per key and month in
     each task, so a station with a third of all readings costs no more to
-    shuffle than any other.
+    shuffle than any other.  ``colocate`` then brings the few thousand rows of
+    a key together once; windows, joins and sums by key need no other shuffle.
     """
     rounded = half_even(F.col(v), 0)
     bin_ = F.when(rounded.between(*grid), rounded).cast("int")
-    return readings.groupBy(
+    bins = readings.groupBy(
         F.col(key), month_start(F.col(t)).alias("month"), bin_.alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
+    return bins.repartition(key) if colocate else bins
 
 
 def monthly_counts(bins: DataFrame, key: str = "station") -> DataFrame:
@@ -46,8 +49,11 @@ def monthly_counts(bins: DataFrame, key: str = "station") -> DataFrame:
 
 
 def span(counts: DataFrame) -> tuple[Column, Column]:
-    """First and last month of the data, as scalar subqueries."""
-    return counts.agg(F.min("month")).scalar(), counts.agg(F.max("month")).scalar()
+    """First and last month of the data, from one scalar subquery."""
+    both = counts.agg(
+        F.struct(F.min("month").alias("first"), F.max("month").alias("last"))
+    ).scalar()
+    return both["first"], both["last"]
 
 
 def fill_months(
@@ -56,15 +62,18 @@ def fill_months(
     """One row per key and month of [begin, end], zero where nothing was read.
 
     Every row writes out the empty months up to its successor, in the same
-    partitioning by key that the later windows use.
+    partitioning by key that the later windows use.  Months outside the range
+    are clipped here and not filtered before, so that the table of counts stays
+    the same subplan, and the same shuffle, as in the histogram.
     """
     along = W.partitionBy(key).orderBy("month")
-    start = F.when(F.lag("month").over(along).isNull(), begin).otherwise(F.col("month"))
-    stop = F.coalesce(F.add_months(F.lead("month").over(along), -1), end)
+    first = F.lag("month").over(along).isNull()
+    start = F.when(first, begin).otherwise(F.greatest(F.col("month"), begin))
+    stop = F.least(F.coalesce(F.add_months(F.lead("month").over(along), -1), end), end)
     step = F.expr("interval 1 month")
     return (
-        counts.filter(F.col("month").between(begin, end))
-        .withColumns({"_start": start, "_stop": stop})
+        counts.withColumns({"_start": start, "_stop": stop})
+        .filter("_start <= _stop")
         .select(key, "month", "n", F.explode(F.sequence("_start", "_stop", step)).alias("_m"))
         .select(
             key,
@@ -85,11 +94,13 @@ def coverage(
     """Count, expected count and share for every window start of every key.
 
     Starts run monthly from ``begin`` to ``end`` (by default the span of the
-    data); windows may reach past ``end``.
+    data, which takes one more pass over the times); windows may reach past
+    ``end``.
     """
-    first, last = span(counts)
-    begin = first if begin is None else begin
-    end = last if end is None else end
+    if begin is None or end is None:
+        first, last = span(counts)
+        begin = first if begin is None else begin
+        end = last if end is None else end
     ahead = W.partitionBy(key).orderBy("month").rowsBetween(0, months - 1)
     filled = fill_months(counts, begin, F.add_months(end, months - 1), key)
     expected = expected_slots(F.col("month"), per_day, months)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondera.operators.coverage import GRID
@@ -25,22 +26,37 @@ def window_histogram(
 ) -> DataFrame:
     """Readings per key and temperature in the key's window, zero bins included.
 
-    ``by`` adds window columns to the key, for several windows per station.
-    Readings off the grid do not count.
+    ``by`` adds window columns to the key.  Readings off the grid do not count,
+    and a window without any reading on it still gets its zeros.
     """
+    low, high = grid
     keys = [key, *by]
-    chosen = windows.select(*keys, *[c for c in ["start"] if c not in keys])
-    inside = (F.col("month") >= F.col("start")) & (
-        F.col("month") < F.add_months("start", months)
+    chosen = windows.select(*keys, F.col("start").alias("_from")).alias("w")
+    table = bins.select(F.col(key).alias("_key"), "month", "bin", F.col("n").alias("_n"))
+    inside = (
+        (F.col(f"w.{key}") == F.col("_key"))
+        & (F.col("month") >= F.col("_from"))
+        & (F.col("month") < F.add_months("_from", months))
     )
+    # what is off the grid, or missing, goes to one place below it
     counted = (
-        bins.filter(F.col("bin").isNotNull())
-        .join(chosen, key)
-        .filter(inside)
-        .select(*keys, F.col("bin").alias("temp_c"), "n")
+        chosen.join(table, inside, "left")
+        .groupBy(*keys, F.coalesce("bin", F.lit(low - 1)).alias("_bin"))
+        .agg(F.sum("_n").alias("_n"))
+    )
+    along = W.partitionBy(*keys).orderBy("_bin")
+    start = F.when(F.lag("_bin").over(along).isNull(), F.lit(low)).otherwise(F.col("_bin"))
+    stop = F.coalesce(F.lead("_bin").over(along) - 1, F.lit(high))
+    return (
+        counted.withColumns({"_start": start, "_stop": stop})
+        .filter("_start <= _stop")
+        .select(*keys, "_bin", "_n", F.explode(F.sequence("_start", "_stop")).alias("temp_c"))
+        .select(
+            *keys,
+            "temp_c",
+            F.when(F.col("temp_c") == F.col("_bin"), F.col("_n")).otherwise(F.lit(0)).alias("n"),
+        )
     )
-    zeros = temperature_grid(chosen, keys, grid).withColumn("n", F.lit(0).cast("bigint"))
-    return counted.unionByName(zeros).groupBy(*keys, "temp_c").agg(F.sum("n").alias("n"))
 
 
 def histogram_wide(hist: DataFrame, column: str, names: Sequence) -> DataFrame:

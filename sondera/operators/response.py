@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondera.functions.errors import with_error
@@ -23,10 +23,18 @@ DEPTHS = {"deep": "M", "shallow": "S"}
 
 
 def final_rates(
-    summary: DataFrame, day: str = "day", depth: str = "depth", treatment: str = "treatment"
+    summary: DataFrame,
+    day: str = "day",
+    depth: str = "depth",
+    treatment: str = "treatment",
+    last_day: Column | None = None,
 ) -> DataFrame:
-    """Rates of the last day, one row per depth: k1, dk1 cold and k2, dk2 warm."""
-    last = at_max(summary, day).filter(F.col(depth).isin(*DEPTHS.values()))
+    """Rates of the last day, one row per depth: k1, dk1 cold and k2, dk2 warm.
+
+    ``last_day`` names it where the readings tell more cheaply than the summary.
+    """
+    last = at_max(summary, day) if last_day is None else summary.filter(F.col(day) == last_day)
+    last = last.filter(F.col(depth).isin(*DEPTHS.values()))
     name = F.when(F.col(depth) == DEPTHS["deep"], "deep").otherwise("shallow")
     return last.groupBy(name.alias("depth")).agg(
         *[

@@ -61,17 +61,18 @@ def threshold_pairs(
     x: str = "day",
     y: str = "fraction",
     step: float = 0.01,
+    last_k: Column | None = None,
 ) -> DataFrame:
     """Last point at or below and first point above each threshold ``k * step``.
 
     "Below" is the largest x and y over all points with y <= k * step, "above"
     the smallest over the others, so points need no order and no neighbour.
+    Thresholds run to ``last_k``, by default found in a pass of its own.
     Each point falls in the one bin whose thresholds start to include it; the
     bins are aggregated before the shuffle, and only they are scanned along k.
     """
-    last_k = threshold_count(df, y, step)
-    # bins past the last threshold are above every one of them: one bin is enough
-    bin_ = F.least(F.greatest(interval_bin(F.col(y), step), F.lit(0)), last_k + 1).cast("int")
+    last_k = threshold_count(df, y, step) if last_k is None else last_k
+    bin_ = F.greatest(interval_bin(F.col(y), step), F.lit(0)).cast("int")
     bins = (
         df.filter(F.col(y).isNotNull())
         .groupBy(*keys, bin_.alias("k"))

@@ -55,8 +55,9 @@ def series_loss(
     compat: bool = False,
 ) -> DataFrame:
     """Analysis B: yearly loss, in mmol per mol, in the ``k`` fullest windows of one series."""
-    months = bins.groupBy("month", "bin").agg(F.sum("n").alias("n"))
-    pooled = months.withColumn("series", F.lit("all"))
+    pooled = (
+        bins.groupBy("month", "bin").agg(F.sum("n").alias("n")).withColumn("series", F.lit("all"))
+    )
     top = coverage.top_windows(coverage.pooled_windows(bins), k).select("series", "start")
     hist = histogram.window_histogram(pooled, top, "series", by=["start"])
     curve = response.arrhenius(rates, compat=compat)
@@ -76,10 +77,12 @@ def station_losses(
     best = coverage.best_window(
         coverage.coverage(counts, begin=begin, end=end, per_day=per_day)
     )
-    hist = histogram.window_histogram(bins, best)
+    # the window travels with its histogram, which saves joining it again
+    window = ["start", "readings", "expected", "pct"]
+    hist = histogram.window_histogram(bins, best.withColumnRenamed("n", "readings"), by=window)
     curve = response.arrhenius(rates, compat=compat)
-    losses = response.annual_loss(hist, curve, cadence_days=1 / per_day)
-    return response.normalise_year(best.join(losses, "station"), per_day=per_day)
+    losses = response.annual_loss(hist, curve, ["station", *window], cadence_days=1 / per_day)
+    return response.normalise_year(losses, per_day=per_day)
 
 
 def gaps_in_best_window(

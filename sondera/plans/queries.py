@@ -61,6 +61,11 @@ def _bins(v: Views) -> DataFrame:
     return coverage.monthly_bins(v.readings())
 
 
+def _pooled_bins(v: Views) -> DataFrame:
+    """For queries that take all stations as one series."""
+    return coverage.monthly_bins(v.readings(), colocate=False)
+
+
 def _coverage(bins: DataFrame) -> DataFrame:
     return coverage.coverage(coverage.monthly_counts(bins), per_day=PER_DAY)
 
@@ -77,7 +82,7 @@ def _window_columns(df: DataFrame) -> DataFrame:
 @query
 def reading_counts(v: Views) -> DataFrame:
     """Readings per calendar month of the pooled series, empty months included."""
-    pooled = _bins(v).groupBy("month").agg(F.sum("n").alias("n"))
+    pooled = _pooled_bins(v).groupBy("month").agg(F.sum("n").alias("n"))
     first, last = coverage.span(pooled)
     filled = coverage.fill_months(pooled.withColumn("series", F.lit("all")), first, last, "series")
     return filled.select(F.year("month").alias("year"), F.month("month").alias("mon"), "n")
@@ -95,7 +100,7 @@ def best_window(v: Views) -> DataFrame:
 
 @query
 def top_windows(v: Views) -> DataFrame:
-    return coverage.top_windows(coverage.pooled_windows(_bins(v))).drop("series")
+    return coverage.top_windows(coverage.pooled_windows(_pooled_bins(v))).drop("series")
 
 
 @query
@@ -161,7 +166,8 @@ def _rates(v: Views) -> DataFrame:
 
 
 def _final(v: Views) -> DataFrame:
-    return response.final_rates(_rates(v), day="whole_day")
+    last = v.bottles().agg(F.floor(F.max("day"))).scalar()
+    return response.final_rates(_rates(v), day="whole_day", last_day=last)
 
 
 @query
@@ -301,7 +307,7 @@ def annual_loss_constant(v: Views) -> DataFrame:
 @query
 def series_loss(v: Views) -> DataFrame:
     """Yearly loss of the pooled series in each of its ten fullest windows."""
-    return rounded(network.series_loss(_bins(v), _final(v), cadence_days=1.0), 2)
+    return rounded(network.series_loss(_pooled_bins(v), _final(v), cadence_days=1.0), 2)
 
 
 @query
@@ -437,13 +443,11 @@ def station_key(v: Views) -> DataFrame:
 @query
 def metadata_join(v: Views) -> DataFrame:
     """Stations with window, gaps and loss of each, numbers and keys checked."""
-    best = _best(_bins(v)).select("station", "start", "n", "pct")
-    losses = _losses(v).select("station", "loss_deep", "loss_shallow")
+    columns = ["station", "start", F.col("readings").alias("n"), "pct", "loss_deep", "loss_shallow"]
+    losses = _losses(v).select(*columns)
     summary_ = gaps.gap_summary(gaps.gap_histogram(v.readings()), nominal=1440)
     renamed = summary_.select(F.col("station").alias("name_key"), "largest_gap", "nominal_gaps")
-    known = stations.attach(
-        v.stations(), [(best, "station"), (renamed, "name_key"), (losses, "station")]
-    )
+    known = stations.attach(v.stations(), [(losses, "station"), (renamed, "name_key")])
     doubled = frame.across(known, frame.columns_like(known, contains="loss"), percent)
     return rounded(frame.everything_after(doubled.drop("name"), ["station", "state", "region"]))
 
