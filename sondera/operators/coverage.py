@@ -67,9 +67,10 @@ def fill_months(
     the same subplan, and the same shuffle, as in the histogram.
     """
     along = W.partitionBy(key).orderBy("month")
-    first = F.lag("month").over(along).isNull()
-    start = F.when(first, begin).otherwise(F.greatest(F.col("month"), begin))
-    stop = F.least(F.coalesce(F.add_months(F.lead("month").over(along), -1), end), end)
+    # greatest and least skip NULL: the first row starts at begin, the last stops at end
+    later = F.when(F.lag("month").over(along).isNotNull(), F.col("month"))
+    start = F.greatest(later, begin)
+    stop = F.least(F.add_months(F.lead("month").over(along), -1), end)
     step = F.expr("interval 1 month")
     return (
         counts.withColumns({"_start": start, "_stop": stop})

@@ -28,15 +28,18 @@ def gap_histogram(
     """
     times = readings.groupBy(key, t).agg(F.count(F.lit(1)).alias("copies"))
     pairs = neighbour_pairs(
-        times, [key], [t], [], hour_of(t) if bucket is None else bucket
-    ).filter(F.col(f"next_{t}").isNotNull())
+        times, [key], [t], ["copies"], hour_of(t) if bucket is None else bucket
+    )
     gap = minutes_between(F.col(t), F.col(f"next_{t}"))
     gap = gap if digits is None else F.bround(gap, digits)
-    steps = pairs.select(key, gap.alias("gap"), F.lit(1).cast("bigint").alias("n"))
-    repeats = times.filter("copies > 1").select(
-        key, F.lit(0.0).alias("gap"), (F.col("copies") - 1).alias("n")
+    step = F.struct(gap.alias("gap"), F.lit(1).cast("bigint").alias("n"))
+    repeats = F.struct(F.lit(0.0).alias("gap"), (F.col("copies") - 1).alias("n"))
+    return (
+        pairs.select(key, F.inline(F.array(step, repeats)))
+        .filter("gap IS NOT NULL AND n > 0")
+        .groupBy(key, "gap")
+        .agg(F.sum("n").alias("n"))
     )
-    return steps.unionByName(repeats).groupBy(key, "gap").agg(F.sum("n").alias("n"))
 
 
 def gap_summary(gaps: DataFrame, key: str = "station", nominal: float = 6) -> DataFrame:

@@ -16,6 +16,29 @@ def temperature_grid(df: DataFrame, keep: Sequence[str], grid: tuple[int, int] =
     return df.select(*keep, F.explode(F.sequence(F.lit(grid[0]), F.lit(grid[1]))).alias("temp_c"))
 
 
+def fill_grid(counted: DataFrame, keys: Sequence[str], grid: tuple[int, int] = GRID) -> DataFrame:
+    """Every grid temperature per key, zero where ``counted`` has no bin.
+
+    ``counted`` holds ``bin`` and ``n``; a NULL bin stands for what is off the
+    grid or missing and only makes sure that its key appears.
+    """
+    low, high = grid
+    below = counted.withColumn("bin", F.coalesce("bin", F.lit(low - 1)))
+    along = W.partitionBy(*keys).orderBy("bin")
+    start = F.when(F.lag("bin").over(along).isNull(), F.lit(low)).otherwise(F.col("bin"))
+    stop = F.coalesce(F.lead("bin").over(along) - 1, F.lit(high))
+    return (
+        below.withColumns({"_start": start, "_stop": stop})
+        .filter("_start <= _stop")
+        .select(*keys, "bin", "n", F.explode(F.sequence("_start", "_stop")).alias("temp_c"))
+        .select(
+            *keys,
+            "temp_c",
+            F.when(F.col("temp_c") == F.col("bin"), F.col("n")).otherwise(F.lit(0)).alias("n"),
+        )
+    )
+
+
 def window_histogram(
     bins: DataFrame,
     windows: DataFrame,
@@ -29,7 +52,6 @@ def window_histogram(
     ``by`` adds window columns to the key.  Readings off the grid do not count,
     and a window without any reading on it still gets its zeros.
     """
-    low, high = grid
     keys = [key, *by]
     chosen = windows.select(*keys, F.col("start").alias("_from")).alias("w")
     table = bins.select(F.col(key).alias("_key"), "month", "bin", F.col("n").alias("_n"))
@@ -38,25 +60,25 @@ def window_histogram(
         & (F.col("month") >= F.col("_from"))
         & (F.col("month") < F.add_months("_from", months))
     )
-    # what is off the grid, or missing, goes to one place below it
-    counted = (
-        chosen.join(table, inside, "left")
-        .groupBy(*keys, F.coalesce("bin", F.lit(low - 1)).alias("_bin"))
-        .agg(F.sum("_n").alias("_n"))
-    )
-    along = W.partitionBy(*keys).orderBy("_bin")
-    start = F.when(F.lag("_bin").over(along).isNull(), F.lit(low)).otherwise(F.col("_bin"))
-    stop = F.coalesce(F.lead("_bin").over(along) - 1, F.lit(high))
-    return (
-        counted.withColumns({"_start": start, "_stop": stop})
-        .filter("_start <= _stop")
-        .select(*keys, "_bin", "_n", F.explode(F.sequence("_start", "_stop")).alias("temp_c"))
-        .select(
-            *keys,
-            "temp_c",
-            F.when(F.col("temp_c") == F.col("_bin"), F.col("_n")).otherwise(F.lit(0)).alias("n"),
-        )
+    counted = chosen.join(table, inside, "left").groupBy(*keys, "bin").agg(F.sum("_n").alias("n"))
+    return fill_grid(counted, keys, grid)
+
+
+def series_histogram(
+    bins: DataFrame, windows: DataFrame, grid: tuple[int, int] = GRID, months: int = 12
+) -> DataFrame:
+    """The same for several, overlapping windows of all readings as one series.
+
+    Each window is written out as its months and joined by month.
+    """
+    pooled = bins.groupBy("month", "bin").agg(F.sum("n").alias("n"))
+    stop = F.add_months("start", months - 1)
+    spread = windows.select(
+        "start",
+        F.explode(F.sequence(F.col("start"), stop, F.expr("interval 1 month"))).alias("month"),
     )
+    counted = spread.join(pooled, "month", "left").groupBy("start", "bin").agg(F.sum("n").alias("n"))
+    return fill_grid(counted, ["start"], grid)
 
 
 def histogram_wide(hist: DataFrame, column: str, names: Sequence) -> DataFrame:

@@ -74,8 +74,14 @@ def cumulative(
     order: Sequence[str],
     bucket: Column,
     gases: Sequence[str] = tuple(GAS_DIGITS),
+    carbon: DataFrame | None = None,
+    on: str = "bottle",
 ) -> DataFrame:
-    """Running total of each gas per bottle, in the order given."""
+    """Running total of each gas per bottle, in the order given.
+
+    ``carbon`` adds each bottle's initial ``c_mol`` on the way; its key must be
+    among ``keys``.
+    """
     return running_total(
         df,
         keys,
@@ -83,20 +89,25 @@ def cumulative(
         {f"{g}_production_umol": f"{g}_cumulative_umol" for g in gases},
         bucket,
         digits=max(GAS_DIGITS[g] for g in gases),
+        attach=None if carbon is None else carbon.select(on, "c_mol"),
+        on=[on],
     )
 
 
 def respired_fraction(
-    df: DataFrame, carbon: DataFrame, on: str = "bottle", compat: bool = False
+    df: DataFrame, carbon: DataFrame | None = None, on: str = "bottle", compat: bool = False
 ) -> DataFrame:
     """Respired and remaining carbon relative to the initial ``c_mol``.
 
+    Joins ``carbon`` by bottle unless ``cumulative`` has brought it already.
     ``compat`` keeps the divisor 1e7 that published tables use for the
     remaining carbon; the default is 1e6 micromoles per mole.
     """
     total = F.col("CO2_cumulative_umol") + F.col("CH4_cumulative_umol")
     c_mol = F.col("c_mol")
-    return df.join(carbon.select(on, "c_mol"), on, "left").withColumns(
+    if carbon is not None:
+        df = df.join(carbon.select(on, "c_mol"), on, "left")
+    return df.withColumns(
         {
             "CO2_per_c": F.try_divide(F.col("CO2_cumulative_umol"), c_mol),
             "CH4_per_c": F.try_divide(F.col("CH4_cumulative_umol"), c_mol),

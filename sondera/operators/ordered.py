@@ -3,7 +3,8 @@
 A window over a whole key puts that key into one task.  Here the order is cut
 into buckets (an hour of the clock, a stretch of the numeric axis): the row
 work runs per (key, bucket), and only one or two rows per bucket meet in a
-second window over the key.  Results equal those of one window over the key.
+second window over the key: at most two per hour of the whole span, however
+many rows the key has.  Results equal those of one window over the key.
 
 ``bucket`` must never decrease along the order.
 """
@@ -54,12 +55,18 @@ def running_total(
     values: dict[str, str],
     bucket: Column,
     digits: int = 2,
+    attach: DataFrame | None = None,
+    on: Sequence[str] = (),
 ) -> DataFrame:
     """Running totals of rounded amounts along an order.
 
     ``values`` maps amount columns to output columns.  Amounts are rounded to
     ``digits`` places already, so they are added as decimals: exact, and the
     same for every partitioning.
+
+    ``attach`` is a table by key columns ``on`` to be left-joined as well.  It
+    meets the bucket totals, a few rows per key, and reaches the rows with
+    them, so the rows are not shuffled by a hot key for its sake.
     """
     keyed = df.withColumn("_group", F.struct(*keys, bucket.alias("_bucket")))
     exact = {v: F.col(v).cast(f"decimal(28,{digits})") for v in values}
@@ -76,6 +83,12 @@ def running_total(
             *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_before_{v}") for v in values],
         )
     )
+    if attach is not None:
+        named = offsets.withColumns({f"_on_{c}": F.col(f"_group.{c}") for c in on})
+        table = attach.withColumnsRenamed({c: f"_on_{c}" for c in on})
+        offsets = named.join(table, [f"_on_{c}" for c in on], "left").drop(
+            *[f"_on_{c}" for c in on]
+        )
     inside = W.partitionBy("_group").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = keyed.withColumns({f"_run_{v}": F.sum(x).over(inside) for v, x in exact.items()})
     total = {

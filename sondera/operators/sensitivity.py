@@ -49,31 +49,20 @@ def q10(
     return ratio.select(*by, "q10", "dq10", se.alias("seq10"))
 
 
-def threshold_count(df: DataFrame, y: str = "fraction", step: float = 0.01) -> Column:
-    """Number of the last threshold: the largest value to two places, over step."""
-    top = F.round(half_even(F.max(y), 2) / F.lit(step), 0).cast("int")
-    return df.agg(top).scalar()
-
-
-def threshold_pairs(
+def threshold_bins(
     df: DataFrame,
     keys: Sequence[str],
     x: str = "day",
     y: str = "fraction",
     step: float = 0.01,
-    last_k: Column | None = None,
 ) -> DataFrame:
-    """Last point at or below and first point above each threshold ``k * step``.
+    """Extremes of the points per key and threshold bin.
 
-    "Below" is the largest x and y over all points with y <= k * step, "above"
-    the smallest over the others, so points need no order and no neighbour.
-    Thresholds run to ``last_k``, by default found in a pass of its own.
-    Each point falls in the one bin whose thresholds start to include it; the
-    bins are aggregated before the shuffle, and only they are scanned along k.
+    Each point falls in the one bin ``k`` whose threshold ``k * step`` is the
+    first to include it.  The bins are aggregated before they are shuffled.
     """
-    last_k = threshold_count(df, y, step) if last_k is None else last_k
     bin_ = F.greatest(interval_bin(F.col(y), step), F.lit(0)).cast("int")
-    bins = (
+    return (
         df.filter(F.col(y).isNotNull())
         .groupBy(*keys, bin_.alias("k"))
         .agg(
@@ -83,11 +72,32 @@ def threshold_pairs(
             F.min(y).alias("y_min"),
         )
     )
+
+
+def last_threshold(df: DataFrame, y: str = "fraction", step: float = 0.01) -> Column:
+    """Number of the last threshold: the largest y to two places, over step."""
+    top = F.round(half_even(F.max(y), 2) / F.lit(step), 0).cast("int")
+    return df.agg(top).scalar()
+
+
+def threshold_pairs(
+    bins: DataFrame, keys: Sequence[str], step: float = 0.01, last_k: Column | None = None
+) -> DataFrame:
+    """Last point at or below and first point above each threshold ``k * step``.
+
+    "Below" is the largest x and y over all points with y <= k * step, "above"
+    the smallest over the others, so points need no order and no neighbour:
+    running extremes over :func:`threshold_bins` along k are enough.
+
+    Thresholds run to ``last_k``, by default that of the largest y.  Finding it
+    reads ``bins`` twice; stage them first where they are dear.
+    """
+    last_k = last_threshold(bins, "y_max", step) if last_k is None else last_k
     along = W.partitionBy(*keys).orderBy("k")
     so_far = along.rowsBetween(W.unboundedPreceding, 0)
     later = along.rowsBetween(1, W.unboundedFollowing)
     # a bin answers for its own k and the empty ones up to the next bin
-    upto = F.least(F.coalesce(F.lead("k").over(along) - 1, last_k), last_k)
+    upto = F.least(F.lead("k").over(along) - 1, last_k)
     return (
         bins.select(
             *keys,
@@ -111,18 +121,20 @@ def threshold_neighbours(
     x: str = "day",
     y: str = "fraction",
     step: float = 0.01,
+    last_k: Column | None = None,
 ) -> DataFrame:
     """The same from true neighbours: each pair answers the thresholds between.
 
     Equals :func:`threshold_pairs` where y never falls.  Where it does, a
     threshold crossed again is listed again, one row per upward crossing.
     """
-    last_k = threshold_count(df, y, step)
-    pairs = neighbour_pairs(df.filter(F.col(y).isNotNull()), keys, order, [x, y], bucket)
+    known = df.filter(F.col(y).isNotNull())
+    last_k = last_threshold(known, y, step) if last_k is None else last_k
     low = F.greatest(interval_bin(F.col(y), step), F.lit(0)).cast("int")
-    high = F.coalesce(interval_bin(F.col(f"next_{y}"), step).cast("int") - 1, last_k)
+    high = F.least(interval_bin(F.col(f"next_{y}"), step).cast("int") - 1, last_k)
     return (
-        pairs.withColumns({"_low": low, "_high": F.least(high, last_k)})
+        neighbour_pairs(known, keys, order, [x, y], bucket)
+        .withColumns({"_low": low, "_high": high})
         .filter("_low <= _high")
         .select(
             *keys,

@@ -19,6 +19,7 @@ from sondera.operators.incubation import (
     respired_fraction,
 )
 from sondera.operators.summary import mean_with_error, summarize_ci
+from sondera.session import stage
 
 GROUP = ("day", "depth", "treatment")
 
@@ -26,18 +27,21 @@ GROUP = ("day", "depth", "treatment")
 def incubation_results(
     readings: DataFrame,
     carbon: DataFrame,
-    order: Sequence[str] = ("day", "time_point"),
+    order: Sequence[str] = ("day", "Date", "Time"),
     days_per_bucket: float = 1.0,
     spec: InstrumentSpec = InstrumentSpec(),
     compat: bool = False,
 ) -> dict[str, DataFrame]:
     """Analysis A: gas readings to respired fractions, rates, Q10 and Q10q."""
-    keys = ["treatment", "depth", "rep"]
+    keys = ["treatment", "depth", "rep", "bottle"]
     bucket = F.floor(F.col("day") / F.lit(days_per_bucket))
     produced = gas_production(drop_aired(readings, "CO2_sys_ppm_p"), spec)
-    respired = respired_fraction(cumulative(produced, keys, order, bucket), carbon, compat=compat)
+    totals = cumulative(produced, keys, order, bucket, carbon=carbon)
+    respired = respired_fraction(totals, compat=compat)
     rates = rate_summary(rate_to_date(respired), GROUP)
-    crossings = sensitivity.crossing_times(sensitivity.threshold_pairs(respired, keys))
+    crossings = sensitivity.crossing_times(
+        sensitivity.threshold_pairs(stage(sensitivity.threshold_bins(respired, keys)), keys)
+    )
     return {
         "respired": respired,
         "summary": summarize_ci(respired, GROUP, "fraction", mean="fraction"),
@@ -55,11 +59,8 @@ def series_loss(
     compat: bool = False,
 ) -> DataFrame:
     """Analysis B: yearly loss, in mmol per mol, in the ``k`` fullest windows of one series."""
-    pooled = (
-        bins.groupBy("month", "bin").agg(F.sum("n").alias("n")).withColumn("series", F.lit("all"))
-    )
-    top = coverage.top_windows(coverage.pooled_windows(bins), k).select("series", "start")
-    hist = histogram.window_histogram(pooled, top, "series", by=["start"])
+    top = coverage.top_windows(coverage.pooled_windows(bins), k).select("start")
+    hist = histogram.series_histogram(bins, top)
     curve = response.arrhenius(rates, compat=compat)
     return response.annual_loss(hist, curve, ["start"], cadence_days, scale=1000.0)
 

@@ -29,6 +29,7 @@ from sondera.operators import (
 )
 from sondera.plans import network
 from sondera.plans.views import BOTTLE_KEYS, BOTTLE_ORDER, Views
+from sondera.session import stage
 from sondera.sources import generators, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,12 +59,12 @@ def clock_hour(t: str = "day"):
 
 
 def _bins(v: Views) -> DataFrame:
-    return coverage.monthly_bins(v.readings())
+    return stage(coverage.monthly_bins(v.readings()))
 
 
 def _pooled_bins(v: Views) -> DataFrame:
     """For queries that take all stations as one series."""
-    return coverage.monthly_bins(v.readings(), colocate=False)
+    return stage(coverage.monthly_bins(v.readings(), colocate=False))
 
 
 def _coverage(bins: DataFrame) -> DataFrame:
@@ -218,7 +219,8 @@ def q10(v: Views) -> DataFrame:
 
 
 def _pairs(v: Views) -> DataFrame:
-    return sensitivity.threshold_pairs(v.fractions(), BOTTLE_KEYS)
+    bins = stage(sensitivity.threshold_bins(v.fractions(), BOTTLE_KEYS))
+    return sensitivity.threshold_pairs(bins, BOTTLE_KEYS)
 
 
 @query
@@ -229,9 +231,9 @@ def crossing_times(v: Views) -> DataFrame:
 @query
 def crossing_neighbours(v: Views) -> DataFrame:
     """Crossing times from true neighbours instead of running extremes."""
-    pairs = sensitivity.threshold_neighbours(
-        v.fractions(), BOTTLE_KEYS, BOTTLE_ORDER, clock_hour()
-    )
+    columns = [*BOTTLE_KEYS, *BOTTLE_ORDER, "fraction"]
+    points = stage(v.fractions().select(*columns))
+    pairs = sensitivity.threshold_neighbours(points, BOTTLE_KEYS, BOTTLE_ORDER, clock_hour())
     return rounded(sensitivity.crossing_times(pairs))
 
 

@@ -122,5 +122,7 @@ class Views:
             }
         )
         bucket = F.floor(F.col("day") * 24)
-        totals = cumulative(produced, BOTTLE_KEYS, BOTTLE_ORDER, bucket)
-        return respired_fraction(totals, self.carbon())
+        keys = [*BOTTLE_KEYS, "bottle"]
+        return respired_fraction(
+            cumulative(produced, keys, BOTTLE_ORDER, bucket, carbon=self.carbon())
+        )

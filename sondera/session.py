@@ -31,13 +31,22 @@ def local_session(cores: int | str = "*", app: str = "sondera", **conf: str) ->
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Save ``df`` in the cluster's shared checkpoint folder and read it back.
 
-    For a table that several later jobs use, such as the monthly bins.  The
-    folder is the one the session names in ``spark.checkpoint.dir``; without it
-    this fails instead of falling back to a disk that dies with its executor.
+    The folder is the one the session names in ``spark.checkpoint.dir``; without
+    it this fails instead of falling back to a disk that dies with its executor.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """For a small table that one plan reads several times.
+
+    Saved once where the cluster names a shared folder; otherwise left lazy, and
+    each use computes it again.
+    """
+    return cut_lineage(df) if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
