@@ -1,6 +1,6 @@
 """Coverage of rolling 12-month windows and the choice of the fullest one.
 
-The readings are read once, by :func:`monthly_bins`, into one row per station,
+The readings are read once, by :func:`monthly_bins`, into a row per station,
 month and whole-degree bin.  Windows start on the first of a month and are
 whole months long, so coverage and histograms are exact sums of those rows and
 the raw readings are never ranged over again.
@@ -26,26 +26,28 @@ def monthly_bins(
     t: str = "t",
     v: str = "v",
     grid: tuple[int, int] = GRID,
-    colocate: bool = True,
 ) -> DataFrame:
     """Readings per (key, month, half-even bin); bin NULL off the grid.
 
     Map-side aggregation leaves at most grid size + 1 rows per key and month in
     each task, so a station with a third of all readings costs no more to
-    shuffle than any other.  ``colocate`` then brings the few thousand rows of
-    a key together once; windows, joins and sums by key need no other shuffle.
+    shuffle than any other.  Later steps read the result more than once: stage
+    it first.
     """
     rounded = half_even(F.col(v), 0)
     bin_ = F.when(rounded.between(*grid), rounded).cast("int")
-    bins = readings.groupBy(
+    return readings.groupBy(
         F.col(key), month_start(F.col(t)).alias("month"), bin_.alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
-    return bins.repartition(key) if colocate else bins
 
 
 def monthly_counts(bins: DataFrame, key: str = "station") -> DataFrame:
-    """Readings per (key, month), whatever their value."""
-    return bins.groupBy(key, "month").agg(F.sum("n").alias("n"))
+    """Readings per (key, month), whatever their value.
+
+    Shuffled by key alone, a few thousand rows for each, so that the windows
+    along a key's months find its rows in place.
+    """
+    return bins.repartition(key).groupBy(key, "month").agg(F.sum("n").alias("n"))
 
 
 def span(counts: DataFrame) -> tuple[Column, Column]:

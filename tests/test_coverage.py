@@ -1,0 +1,182 @@
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sondera.operators.coverage import (
+    best_window,
+    coverage,
+    monthly_bins,
+    monthly_counts,
+    pooled_windows,
+    restrict_to_window,
+    top_windows,
+)
+from sondera.operators.gaps import gap_histogram, gap_summary
+from sondera.operators.histogram import histogram_wide, series_histogram, window_histogram
+
+
+def add_months(d, k):
+    m = d.month - 1 + k
+    return dt.date(d.year + m // 12, m % 12 + 1, 1)
+
+
+def series(seed=1):
+    """Three stations: one dense, one sparse, one with a single reading."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(600):
+        day = dt.date(2010, 1, 1) + dt.timedelta(days=rng.randrange(900))
+        rows.append(("dense", dt.datetime.combine(day, dt.time(rng.randrange(24))), rng.randrange(-30, 130) / 2))
+    for _ in range(15):
+        day = dt.date(2010, 5, 1) + dt.timedelta(days=rng.randrange(400))
+        rows.append(("sparse", dt.datetime.combine(day, dt.time(0)), rng.randrange(0, 60) / 2))
+    rows.append(("one", dt.datetime(2011, 2, 28, 23, 59), None))
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "station string, t timestamp_ntz, v double")
+
+
+@pytest.fixture(scope="module")
+def bins(spark):
+    return monthly_bins(frame(spark, series()))
+
+
+def brute(rows, begin, end):
+    out = {}
+    for station in {r[0] for r in rows}:
+        start = begin
+        while start <= end:
+            stop = add_months(start, 12)
+            n = sum(1 for s, t, _ in rows if s == station and start <= t.date() < stop)
+            out[station, start] = (n, (stop - start).days)
+            start = add_months(start, 1)
+    return out
+
+
+@pytest.mark.parametrize(
+    "begin, end",
+    [
+        (dt.date(2010, 1, 1), dt.date(2012, 6, 1)),  # wider than most stations
+        (dt.date(2009, 6, 1), dt.date(2013, 2, 1)),  # wider than all
+        (dt.date(2010, 9, 1), dt.date(2010, 11, 1)),  # readings on both sides of it
+    ],
+)
+def test_coverage_against_counting(bins, begin, end):
+    got = coverage(monthly_counts(bins), begin=F.lit(begin), end=F.lit(end), per_day=1).collect()
+    expected = brute(series(), begin, end)
+    assert {(r.station, r.start): (r.n, r.expected) for r in got} == expected
+    assert all(r.pct == pytest.approx(r.n / r.expected) for r in got)
+    assert all((r.year, r.mon) == (r.start.year, r.start.month) for r in got)
+
+
+def test_default_span_is_that_of_the_data(bins):
+    got = coverage(monthly_counts(bins), per_day=1)
+    first, last = got.agg(F.min("start"), F.max("start")).first()
+    assert first == dt.date(2010, 1, 1)
+    assert last == max(t for _, t, _ in series()).date().replace(day=1)
+
+
+def test_tie_goes_to_the_later_window(spark):
+    rows = [("s", dt.datetime(2013, 3, 5), 1.0)]
+    counts = monthly_counts(monthly_bins(frame(spark, rows)))
+    windows = coverage(
+        counts, begin=F.lit("2012-06-01").cast("date"), end=F.lit("2014-01-01").cast("date"), per_day=1
+    )
+    # 2013-03 is the last start that covers the reading; no such window is leap
+    assert best_window(windows).first().start == dt.date(2013, 3, 1)
+
+
+def test_half_even_bins_and_grid(spark):
+    values = [26.5, 27.5, -0.5, 50.5, 51.0, -5.5, -6.0, None]
+    rows = [("s", dt.datetime(2011, 1, 2, i), v) for i, v in enumerate(values)]
+    rows += [("off", dt.datetime(2011, 1, 2), 99.0)]
+    made = monthly_bins(frame(spark, rows))
+    windows = spark.createDataFrame(
+        [("s", dt.date(2011, 1, 1)), ("off", dt.date(2011, 1, 1)), ("none", dt.date(2011, 1, 1))],
+        "station string, start date",
+    )
+    hist = window_histogram(made, windows).collect()
+    assert len(hist) == 3 * 56
+    got = {(r.station, r.temp_c): r.n for r in hist if r.n}
+    assert got == {("s", 26): 1, ("s", 28): 1, ("s", 0): 1, ("s", 50): 1}
+    assert monthly_counts(made).filter("station = 's'").first().n == len(values)
+
+
+def test_histogram_mass_equals_readings_in_the_window(bins, spark):
+    rows = series()
+    best = best_window(coverage(monthly_counts(bins), per_day=1))
+    start = {r.station: r.start for r in best.collect()}
+    hist = window_histogram(bins, best).groupBy("station").agg(F.sum("n")).collect()
+    for station, n in hist:
+        a, b = start[station], add_months(start[station], 12)
+        assert n == sum(
+            1 for s, t, v in rows
+            if s == station and a <= t.date() < b and v is not None and -5.5 < v <= 50.5
+        )
+
+
+def test_restrict_to_window(bins, spark):
+    rows = series()
+    best = best_window(coverage(monthly_counts(bins), per_day=1))
+    start = {r.station: r.start for r in best.collect()}
+    got = restrict_to_window(frame(spark, rows), best, keep=["start"]).collect()
+    expected = [(s, t) for s, t, _ in rows if start[s] <= t.date() < add_months(start[s], 12)]
+    assert sorted((r.station, r.t) for r in got) == sorted(expected)
+
+
+def test_pooled_series(bins):
+    rows = series()
+    got = top_windows(pooled_windows(bins), 3).collect()
+    begin = dt.date(2010, 1, 1)
+    counts = []
+    for k in range(30):
+        a, b = add_months(begin, k), add_months(begin, k + 12)
+        counts.append((-sum(1 for _, t, _ in rows if a <= t.date() < b), a))
+    assert [(-r.n, r.start) for r in got] == sorted(counts)[:3]
+
+
+def test_series_histogram_covers_overlapping_windows(bins):
+    rows = series()
+    top = top_windows(pooled_windows(bins), 4)
+    hist = series_histogram(bins, top).groupBy("start").agg(F.sum("n"), F.count("*")).collect()
+    assert len(hist) == 4
+    for start, n, cells in hist:
+        stop = add_months(start, 12)
+        assert cells == 56
+        assert n == sum(
+            1 for _, t, v in rows if start <= t.date() < stop and v is not None and -5.5 < v <= 50.5
+        )
+
+
+def test_histogram_wide(bins):
+    best = best_window(coverage(monthly_counts(bins), per_day=1))
+    hist = window_histogram(bins, best)
+    wide = histogram_wide(hist, "station", ["dense", "sparse", "absent"]).collect()
+    assert len(wide) == 56 and all(r.absent == 0 for r in wide)
+    assert sum(r.dense for r in wide) == hist.filter("station = 'dense'").agg(F.sum("n")).first()[0]
+
+
+def test_gaps(spark):
+    at = [dt.datetime(2020, 1, 1, 0, m) for m in (0, 6, 12, 30)]
+    rows = [("a", t, 1.0) for t in at] + [("b", t, 1.0) for t in (at[0], at[3])]
+    rows += [("c", at[0], 1.0)] * 3 + [("c", dt.datetime(2020, 1, 1, 5), 1.0)]
+    for parts in (1, 5):
+        gaps = gap_histogram(frame(spark, rows).repartition(parts))
+        assert sorted(map(tuple, gaps.collect())) == [
+            ("a", 6.0, 2), ("a", 18.0, 1), ("b", 30.0, 1), ("c", 0.0, 2), ("c", 300.0, 1)
+        ]
+    summary = {r.station: tuple(r)[1:] for r in gap_summary(gaps).collect()}
+    assert summary["a"] == (18.0, 1, 2, pytest.approx(2 / 3))
+    assert summary["b"] == (30.0, 1, 0, 0.0)
+
+
+def test_gap_across_hours_and_nulls(spark):
+    rows = [("a", dt.datetime(2020, 1, 1, h, 59), 1.0) for h in range(5)]
+    gaps = gap_histogram(frame(spark, rows))
+    assert [tuple(r) for r in gaps.collect()] == [("a", 60.0, 4)]

@@ -1,0 +1,87 @@
+from __future__ import annotations
+
+import math
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sondera.functions import propagate, with_error
+
+
+def row(spark, **values):
+    names = list(values)
+    return spark.createDataFrame([tuple(float(values[n]) for n in names)], names)
+
+
+def test_ratio(spark):
+    got = with_error(row(spark, a=6, da=0.3, b=3, db=0.1), "y ~ a / b").first()
+    assert got.y == pytest.approx(2.0)
+    assert got.dy == pytest.approx(math.sqrt((0.3 / 3) ** 2 + (6 * 0.1 / 9) ** 2))
+
+
+FORMULAS = {
+    "a + 2 * b - c": lambda a, b, c: a + 2 * b - c,
+    "a * b / c": lambda a, b, c: a * b / c,
+    "-(log(a) - log(b)) * 0.0083 / (1 / c)": lambda a, b, c: -(math.log(a) - math.log(b)) * 0.0083 / (1 / c),
+    "exp(a / 5) * sqrt(b)": lambda a, b, c: math.exp(a / 5) * math.sqrt(b),
+    "a ** 2 + b ** c": lambda a, b, c: a**2 + b**c,
+    "1 / (a + b * a)": lambda a, b, c: 1 / (a + b * a),
+}
+
+
+@pytest.mark.parametrize("formula", FORMULAS)
+@settings(max_examples=3, deadline=None)
+@given(
+    st.floats(0.5, 4), st.floats(0.5, 4), st.floats(0.5, 3),
+    st.floats(0.01, 0.3), st.floats(0.01, 0.3), st.floats(0.01, 0.3),
+)
+def test_against_finite_differences(spark, formula, a, b, c, da, db, dc):
+    f = FORMULAS[formula]
+    got = with_error(row(spark, a=a, b=b, c=c, da=da, db=db, dc=dc), f"y ~ {formula}").first()
+    h = 1e-6
+    slopes = [
+        (f(a + h, b, c) - f(a - h, b, c)) / (2 * h),
+        (f(a, b + h, c) - f(a, b - h, c)) / (2 * h),
+        (f(a, b, c + h) - f(a, b, c - h)) / (2 * h),
+    ]
+    expected = math.sqrt(sum((s * d) ** 2 for s, d in zip(slopes, (da, db, dc))))
+    assert got.y == pytest.approx(f(a, b, c), rel=1e-12)
+    assert got.dy == pytest.approx(expected, rel=1e-5, abs=1e-9)
+
+
+def test_exact_names_need_no_error(spark):
+    got = with_error(row(spark, days=10, k=0.5, dk=0.1), "loss ~ days * k", exact=["days"]).first()
+    assert (got.loss, got.dloss) == (5.0, pytest.approx(1.0))
+    all_exact = with_error(row(spark, a=1, b=2), "y ~ a + b", exact=["a", "b"]).first()
+    assert all_exact.dy == 0.0
+
+
+def test_missing_error_column_is_refused(spark):
+    with pytest.raises(ValueError, match="dk"):
+        with_error(row(spark, k=1), "y ~ 2 * k")
+    with pytest.raises(ValueError, match="no column"):
+        with_error(row(spark, k=1, dk=1), "y ~ q * k")
+
+
+@pytest.mark.parametrize("body", ["k.real", "__import__('os')", "k if k else k", "k[0]", "sin(k)"])
+def test_anything_but_arithmetic_is_refused(spark, body):
+    with pytest.raises(ValueError):
+        propagate(body, ["k", "dk"])
+
+
+def test_simultaneous_and_sequential(spark):
+    df = row(spark, x=0.5, dx=0.2, k1=2, dk1=0.1)
+    plain = with_error(df, "x ~ exp(x + log(k1))").first()
+    new = math.exp(0.5) * 2
+    assert plain.x == pytest.approx(new)
+    assert plain.dx == pytest.approx(math.hypot(0.2 * new, 0.1 * new / 2))
+    late = with_error(df, "x ~ exp(x + log(k1))", sequential=True).first()
+    again = math.exp(new) * 2
+    assert late.x == pytest.approx(new)
+    assert late.dx == pytest.approx(math.hypot(0.2 * again, 0.1 * again / 2))
+
+
+def test_division_by_zero_gives_null(spark):
+    got = with_error(row(spark, a=1, da=1, b=0, db=1), "y ~ a / b").first()
+    assert got.y is None and got.dy is None

@@ -1,0 +1,141 @@
+from __future__ import annotations
+
+import math
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sondera.functions import (
+    crossing_time,
+    days_between,
+    expected_slots,
+    half_even,
+    in_window,
+    interval_bin,
+    minutes_between,
+    mixed,
+    month_start,
+    no_nan,
+    object_name,
+    parse_measure,
+    signif,
+    station_from_file,
+    t_quantile,
+)
+from sondera.functions.quantiles import expansion_terms, t_table
+
+
+def one(spark, *columns):
+    return list(spark.range(1).select(*columns).first())
+
+
+def test_half_even_ties_go_to_even(spark):
+    values = [26.5, 27.5, -0.5, 50.5, 24.3]
+    got = one(spark, *[half_even(F.lit(x)).alias(f"c{i}") for i, x in enumerate(values)])
+    assert got == [26.0, 28.0, 0.0, 50.0, 24.0]
+
+
+def test_no_nan(spark):
+    assert one(spark, no_nan(F.lit(float("nan"))), no_nan(F.lit(1.5))) == [None, 1.5]
+
+
+@pytest.mark.parametrize(
+    "x, digits, expected",
+    [(0.0, 3, 0.0), (18.2349, 3, 18.2), (-0.0123456, 3, -0.0123), (98765.0, 3, 98800.0), (5.0, 1, 5.0)],
+)
+def test_signif(spark, x, digits, expected):
+    assert one(spark, signif(F.lit(x), digits))[0] == expected
+
+
+def test_interval_bin_agrees_with_the_comparison(spark):
+    step = 0.01
+    ys = [k * step + d for k in range(0, 101, 7) for d in (-1e-12, 0.0, 1e-12)]
+    df = spark.createDataFrame([(y,) for y in ys], "y double")
+    for y, k in df.select("y", interval_bin(F.col("y"), step)).collect():
+        assert y <= k * step and not y <= (k - 1) * step
+
+
+def test_crossing_time(spark):
+    def at(*v):
+        return crossing_time(*[F.lit(x).cast("double") for x in v])
+
+    got = one(
+        spark,
+        at(0.02, 10.0, 0.018, 12.0, 0.022).alias("a"),
+        at(0.02, 10.0, 0.018, None, None).alias("b"),
+        at(0.02, 10.0, 0.018, 10.0, 0.022).alias("c"),
+        at(0.02, 10.0, 0.018, 12.0, 0.018).alias("d"),
+    )
+    assert got[0] == pytest.approx(11.0) and got[1:] == [None, None, None]
+
+
+def test_windows_and_leap_years(spark):
+    slots = [
+        expected_slots(F.lit(d).cast("date")).alias(f"c{i}")
+        for i, d in enumerate(["2019-03-01", "2020-03-01", "2020-01-01", "2020-12-01"])
+    ]
+    assert one(spark, *slots) == [87840, 87600, 87840, 87600]
+    start = F.lit("2019-03-01").cast("date")
+    inside = [
+        in_window(F.lit(t).cast("timestamp_ntz"), start).alias(f"c{i}")
+        for i, t in enumerate(
+            ["2019-02-28 23:59:59", "2019-03-01 00:00:00", "2020-02-29 23:59:59", "2020-03-01 00:00:00"]
+        )
+    ]
+    assert one(spark, *inside) == [False, True, True, False]
+
+
+def test_durations_and_months(spark):
+    a, b = (F.lit(t).cast("timestamp_ntz") for t in ("2020-01-31 00:00:00", "2020-02-01 06:30:00"))
+    got = one(spark, minutes_between(a, b), days_between(a, b), month_start(b).cast("string"))
+    assert got[0] == 1830.0 and got[1] == pytest.approx(1.2708333333) and got[2] == "2020-02-01"
+
+
+def test_names(spark):
+    got = one(
+        spark,
+        object_name(F.lit("Cape Town, East Pier"), F.lit("ZZ")),
+        station_from_file(F.lit("CapeTownEastPier.ZZ.csv")),
+    )
+    assert got == ["CapeTownEastPier.ZZ", "CapeTownEastPier.ZZ"]
+
+
+@pytest.mark.parametrize(
+    "name, bank, rate, metric",
+    [
+        ("erodedSedVolume_LargeShort", "Shallow", "Large", "erodedSedVolume"),
+        ("erodedSedC_SmallTall", "Deep", "Small", "erodedSedCarbon"),
+        ("Decomp_SmallShort", "Shallow", "Small", "Decomp"),
+        ("dDecomp_LargeTall", "Deep", "Large", "SD"),
+    ],
+)
+def test_parse_measure(spark, name, bank, rate, metric):
+    parts = parse_measure(F.lit(name))
+    assert one(spark, *parts.values()) == [bank, rate, metric]
+
+
+def test_mixed(spark):
+    assert one(spark, mixed(F.lit(0.3), F.lit(0.6)))[0] == pytest.approx(0.5)
+
+
+def test_t_quantile_known_values(spark):
+    # values from printed tables of the t distribution
+    known = {1: 12.7062047, 2: 4.3026527, 5: 2.5705818, 10: 2.2281389, 30: 2.0422725, 120: 1.9799304}
+    df = spark.createDataFrame([(k,) for k in known], "df bigint")
+    for k, t in df.select("df", t_quantile(0.975, F.col("df"))).collect():
+        assert t == pytest.approx(known[k], abs=5e-7)
+    edge = spark.createDataFrame([(0,), (200,), (201,), (1_000_000,)], "df bigint")
+    got = [r[1] for r in edge.select("df", t_quantile(0.975, F.col("df"))).orderBy("df").collect()]
+    assert got[0] is None
+    assert got[1] == pytest.approx(1.9718962, abs=5e-7)
+    assert got[2] == pytest.approx(got[1], abs=1e-4) and got[2] < got[1]
+    assert got[3] == pytest.approx(1.9599664, abs=1e-5)
+
+
+@given(st.sampled_from([0.9, 0.95, 0.975, 0.995]))
+def test_t_table_meets_its_series(p):
+    c = expansion_terms(p)
+    series = sum(x / 200**i for i, x in enumerate(c))
+    assert math.isclose(t_table(p)[-1], series, rel_tol=1e-8)

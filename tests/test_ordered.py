@@ -1,0 +1,73 @@
+"""Bucketed windows against plain Python, with one key holding most rows."""
+
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from sondera.operators.ordered import neighbour_pairs, running_total
+
+
+def skewed(n=400, seed=5):
+    rng = random.Random(seed)
+    keys = ["hot"] * 6 + ["a", "b", None]
+    rows = [(rng.choice(keys), i, rng.uniform(0, 10), round(rng.uniform(-2, 9), 2)) for i in range(n)]
+    rows += [("single", n, 3.0, 1.25), ("edge", n + 1, 4.0, 1.0), ("edge", n + 2, 4.0, 2.0)]
+    rng.shuffle(rows)
+    return rows
+
+
+def by_key(rows):
+    groups = defaultdict(list)
+    for key, i, x, v in rows:
+        groups[key].append((x, i, v))
+    return {k: sorted(g) for k, g in groups.items()}
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    return spark.createDataFrame(skewed(), "key string, id int, x double, v double")
+
+
+@pytest.mark.parametrize("width", [0.05, 1.0, 100.0])
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_total(frame, width, parts):
+    out = running_total(
+        frame.repartition(parts), ["key"], ["x", "id"], {"v": "total"}, F.floor(F.col("x") / width)
+    )
+    got = {r.id: r.total for r in out.collect()}
+    expected = {}
+    for group in by_key(skewed()).values():
+        total = Decimal(0)
+        for _, i, v in group:
+            total += Decimal(str(v))
+            expected[i] = float(total)
+    assert got == expected
+    assert out.columns == ["key", "id", "x", "v", "total"]
+
+
+def test_running_total_attaches_a_table_by_key(spark, frame):
+    table = spark.createDataFrame([("hot", 2.0), ("a", 3.0)], "key string, size double")
+    out = running_total(
+        frame, ["key"], ["x", "id"], {"v": "total"}, F.floor("x"), attach=table, on=["key"]
+    )
+    sizes = {(r.key, r["size"]) for r in out.select("key", "size").distinct().collect()}
+    assert sizes == {("hot", 2.0), ("a", 3.0), ("b", None), (None, None), ("single", None), ("edge", None)}
+    assert out.count() == frame.count()
+
+
+@pytest.mark.parametrize("width", [0.05, 1.0, 100.0])
+def test_neighbour_pairs(frame, width):
+    pairs = neighbour_pairs(frame, ["key"], ["x", "id"], ["v"], F.floor(F.col("x") / width))
+    got = sorted((r.id, r.next_id, r.next_v) for r in pairs.collect() if r.next_id is not None)
+    last = sorted(r.id for r in pairs.collect() if r.next_id is None)
+    expected, ends = [], []
+    for group in by_key(skewed()).values():
+        ends.append(group[-1][1])
+        expected += [(a[1], b[1], b[2]) for a, b in zip(group, group[1:])]
+    assert got == sorted(expected)
+    assert last == sorted(ends)
