@@ -1,6 +1,7 @@
 """Column-level functions: rounding, calendar, text, quantiles, error propagation."""
 
 from sondera.functions.calendar import (
+    clock_hour,
     days_between,
     expected_slots,
     in_window,
@@ -23,10 +24,12 @@ from sondera.functions.text import (
     object_name,
     parse_measure,
     station_from_file,
+    window_label,
     yyyymmdd,
 )
 
 __all__ = [
+    "clock_hour",
     "crossing_time",
     "days_between",
     "expected_slots",
@@ -45,6 +48,7 @@ __all__ = [
     "station_from_file",
     "t_quantile",
     "window_end",
+    "window_label",
     "with_error",
     "yyyymmdd",
 ]

@@ -29,11 +29,21 @@ def expected_slots(start: Column, per_day: float = 240, months: int = 12) -> Col
     return F.date_diff(window_end(start, months), start) * F.lit(per_day)
 
 
+def _seconds_between(earlier: Column, later: Column) -> Column:
+    # plain subtraction of wall-clock times knows no zone, so no hour goes missing
+    return (later - earlier).cast("interval second").cast("decimal(18, 6)").cast("double")
+
+
 def minutes_between(earlier: Column, later: Column) -> Column:
     """Elapsed minutes, always in minutes whatever the cadence."""
-    return F.timestamp_diff("SECOND", earlier, later) / F.lit(60.0)
+    return _seconds_between(earlier, later) / F.lit(60.0)
 
 
 def days_between(earlier: Column, later: Column) -> Column:
     """Elapsed days with their fraction."""
-    return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(86_400_000_000.0)
+    return _seconds_between(earlier, later) / F.lit(86_400.0)
+
+
+def clock_hour(t: Column) -> Column:
+    """Number of the wall-clock hour; never decreases along ``t``."""
+    return F.unix_date(t.cast("date")) * 24 + F.hour(t)

@@ -16,6 +16,11 @@ def station_from_file(file_name: Column) -> Column:
     return F.regexp_replace(file_name, r"\.csv(\.gz)?$", "")
 
 
+def window_label(start: Column) -> Column:
+    """Readable name of a window: full month name and year of its start."""
+    return F.date_format(start, "MMMMyyyy")
+
+
 def yyyymmdd(day: Column) -> Column:
     return F.date_format(day, "yyyyMMdd")
 

@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondera.functions.calendar import minutes_between
+from sondera.functions.calendar import clock_hour, minutes_between
 from sondera.operators.ordered import neighbour_pairs
 
 
-def hour_of(t: str) -> Column:
-    """Default bucket: the hour of the clock."""
-    return F.date_trunc("hour", F.col(t))
-
-
 def gap_histogram(
     readings: DataFrame,
     key: str = "station",
@@ -23,13 +18,13 @@ def gap_histogram(
 ) -> DataFrame:
     """How often each gap, in minutes, occurs per key.
 
+    ``bucket`` splits the times of a key, by default into hours of the clock.
     Equal timestamps are counted before they travel: d copies are d - 1 gaps of
     zero, and the distinct times alone are put in order.
     """
     times = readings.groupBy(key, t).agg(F.count(F.lit(1)).alias("copies"))
-    pairs = neighbour_pairs(
-        times, [key], [t], ["copies"], hour_of(t) if bucket is None else bucket
-    )
+    bucket = clock_hour(F.col(t)) if bucket is None else bucket
+    pairs = neighbour_pairs(times, [key], [t], ["copies"], bucket)
     gap = minutes_between(F.col(t), F.col(f"next_{t}"))
     gap = gap if digits is None else F.bround(gap, digits)
     step = F.struct(gap.alias("gap"), F.lit(1).cast("bigint").alias("n"))

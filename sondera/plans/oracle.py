@@ -167,7 +167,7 @@ rolled AS (
 _TICKS = """
 ticks AS (SELECT user_id AS station, ts AS t, value / 10 AS v FROM events),
 gaps AS (
-  SELECT station, round_even(date_diff('microsecond', prev, t) // 1000000 / 60.0::DOUBLE, 0) AS gap, count(*) AS n
+  SELECT station, round_even(date_diff('microsecond', prev, t) / 60000000.0::DOUBLE, 0) AS gap, count(*) AS n
   FROM (SELECT station, t, lag(t) OVER (PARTITION BY station ORDER BY t) AS prev FROM ticks)
   WHERE prev IS NOT NULL GROUP BY 1, 2)"""
 
@@ -295,7 +295,7 @@ SELECT year(m)::INT AS year, month(m)::INT AS mon, count(t) AS n
 FROM months LEFT JOIN readings ON date_trunc('month', t)::DATE = m GROUP BY m""",
     "coverage_windows": f"WITH {_COVERAGE} SELECT station, start, year, mon, n, expected, round(pct, 6) AS pct FROM cov",
     "best_window": f"WITH {_COVERAGE} SELECT station, start, year, mon, n, expected, round(pct, 6) AS pct FROM best",
-    "top_windows": f"WITH {_READINGS}, {_POOLED} SELECT * FROM top10",
+    "top_windows": f"WITH {_READINGS}, {_POOLED} SELECT *, strftime(start, '%B%Y') AS label FROM top10",
     "temp_histogram": f"WITH {_COVERAGE} SELECT * FROM hist",
     "hist_wide": f"""WITH {_COVERAGE}, {_PLACES}
 SELECT temp_c, {", ".join(f"(sum(n) FILTER (region = '{x}'))::BIGINT AS \"{x}\"" for x in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sondera.functions.calendar import month_start
 from sondera.functions.numeric import half_even, percent, signif
-from sondera.functions.text import object_name
+from sondera.functions.text import object_name, window_label
 from sondera.operators import (
     budget,
     coverage,
@@ -96,7 +96,8 @@ def best_window(v: Views) -> DataFrame:
 
 @query
 def top_windows(v: Views) -> DataFrame:
-    return coverage.top_windows(coverage.pooled_windows(_bins(v))).drop("series")
+    top = coverage.top_windows(coverage.pooled_windows(_bins(v))).drop("series")
+    return top.withColumn("label", window_label(F.col("start")))
 
 
 @query

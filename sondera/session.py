@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Wall-clock times never change zone, so UTC keeps every day 24 hours long.
@@ -12,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Formulas build thousands of small expressions; do not record a call site for each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -29,18 +33,21 @@ def local_session(cores: int | str = "*", app: str = "sondera", **conf: str) ->
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Save ``df`` in the cluster's shared checkpoint folder and read it back.
+    """Write ``df`` to the cluster's shared folder as Parquet and read it back.
 
     The folder is the one the session names in ``spark.checkpoint.dir``; without
     it this fails instead of falling back to a disk that dies with its executor.
+    Unlike an RDD checkpoint the table is computed once, and later reads prune
+    its columns.  Tables collect under ``sondera-stage``; delete them with the
+    other checkpoints.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/sondera-stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sondera.functions import (
+    clock_hour,
     crossing_time,
     days_between,
     expected_slots,
@@ -23,6 +24,7 @@ from sondera.functions import (
     signif,
     station_from_file,
     t_quantile,
+    window_label,
 )
 from sondera.functions.quantiles import expansion_terms, t_table
 
@@ -139,3 +141,15 @@ def test_t_table_meets_its_series(p):
     c = expansion_terms(p)
     series = sum(x / 200**i for i, x in enumerate(c))
     assert math.isclose(t_table(p)[-1], series, rel_tol=1e-8)
+
+
+def test_wall_clock_is_free_of_daylight_saving(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # clocks go forward between these two times
+        a, b = (F.lit(t).cast("timestamp_ntz") for t in ("2020-03-08 01:30:00", "2020-03-08 03:30:00.25"))
+        got = one(spark, minutes_between(a, b), clock_hour(b) - clock_hour(a), window_label(b.cast("date")))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [pytest.approx(120 + 0.25 / 60), 2, "March2020"]
