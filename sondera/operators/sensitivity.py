@@ -95,7 +95,8 @@ def threshold_pairs(
     last_k = last_threshold(bins, "y_max", step) if last_k is None else last_k
     along = W.partitionBy(*keys).orderBy("k")
     so_far = along.rowsBetween(W.unboundedPreceding, 0)
-    later = along.rowsBetween(1, W.unboundedFollowing)
+    # the bins above, read backwards: a frame that only grows is linear in the bins
+    later = W.partitionBy(*keys).orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, -1)
     # a bin answers for its own k and the empty ones up to the next bin
     upto = F.least(F.lead("k").over(along) - 1, last_k)
     return (

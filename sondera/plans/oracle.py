@@ -316,7 +316,7 @@ SELECT event_id, {r("co2_bottle AS CO2_bottle_umol, co2_made AS CO2_production_u
 FROM produced WINDOW w AS (PARTITION BY treatment, depth, rep ORDER BY day, event_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "respired_fraction": f"""WITH {_FRACTIONS}
-SELECT event_id, bottle, {r("respired_umol, remaining_mol, fraction")}, round(respired_per_c, 2) AS respired_per_c FROM fractions""",
+SELECT event_id, bottle, {r("respired_umol, fraction")}, {r("remaining_mol", 12)}, {r("respired_per_c", 2)} FROM fractions""",
     "fraction_summary_ci": f"""WITH {_FRACTIONS},
 s AS (SELECT floor(day)::BIGINT AS whole_day, depth, treatment, count(*) AS n, avg(fraction) AS fraction,
   stddev_samp(fraction) AS sd, stddev_samp(fraction) / sqrt(count(*)) AS se FROM fractions GROUP BY 1, 2, 3)

@@ -188,8 +188,10 @@ def gas_production(v: Views) -> DataFrame:
 def respired_fraction(v: Views) -> DataFrame:
     cols = ["respired_umol", "respired_per_c", "remaining_mol", "fraction"]
     table = v.fractions().select("event_id", "bottle", *cols)
-    # respired_per_c is about a million times the fraction
-    return rounded(table.withColumn("respired_per_c", F.round("respired_per_c", 2)))
+    # respired_per_c is about a million times the fraction; the remaining carbon
+    # is a decimal of ten places, which six would cut at ties
+    digits = {"respired_umol": 6, "respired_per_c": 2, "remaining_mol": 12, "fraction": 6}
+    return table.withColumns({c: F.round(F.col(c), d) for c, d in digits.items()})
 
 
 @query
