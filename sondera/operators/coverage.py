@@ -129,7 +129,10 @@ def best_window(windows: DataFrame, key: str = "station") -> DataFrame:
 
 
 def pooled_windows(bins: DataFrame, months: int = 12) -> DataFrame:
-    """Window counts of all readings taken as one series."""
+    """Window counts of all readings taken as one series.
+
+    The series meets in one task as one row per month of its span.
+    """
     pooled = bins.groupBy("month").agg(F.sum("n").alias("n"))
     whole = pooled.withColumn("series", F.lit("all"))
     return coverage(whole, "series", months=months, per_day=1).drop("expected", "pct")

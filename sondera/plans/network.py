@@ -27,7 +27,7 @@ GROUP = ("day", "depth", "treatment")
 def incubation_results(
     readings: DataFrame,
     carbon: DataFrame,
-    order: Sequence[str] = ("day", "Date", "Time"),
+    order: Sequence[str] = ("day", "time_order", "time_point"),
     days_per_bucket: float = 1.0,
     spec: InstrumentSpec = InstrumentSpec(),
     compat: bool = False,

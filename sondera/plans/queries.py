@@ -38,7 +38,7 @@ REGISTRY: dict[str, Query] = {}
 # One reading a day is complete; synthetic stations reach about a third of it.
 PER_DAY = 1
 GATE = 0.30
-CODA = {"IRAN": 66459.0}
+OVERRIDES = {"IRAN": 66459.0}
 
 
 def query(fn: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
@@ -319,11 +319,11 @@ def state_mean_loss(v: Views) -> DataFrame:
 
 
 def _state_budget(v: Views) -> DataFrame:
-    return budget.state_budget(budget.shoreline_lengths(v.shore(), CODA), _means(v))
+    return budget.state_budget(budget.shoreline_lengths(v.shore(), OVERRIDES), _means(v))
 
 
 def _rolled(v: Views) -> DataFrame:
-    return network.national_budget(v.shore(), _means(v), overrides=CODA)
+    return network.national_budget(v.shore(), _means(v), overrides=OVERRIDES)
 
 
 @query

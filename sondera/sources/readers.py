@@ -34,7 +34,11 @@ def read_incubation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def incubation_names(df: DataFrame) -> DataFrame:
-    """File headers to the column names the operators use."""
+    """File headers to the column names the operators use.
+
+    ``time_order`` is the number in the time point's name, so that the tenth
+    reading of a day follows the second.
+    """
     gas = {
         f"{g}.{kind}": f"{g}_{kind.replace('.', '_')}"
         for g in ("CO2", "CH4")
@@ -47,7 +51,8 @@ def incubation_names(df: DataFrame) -> DataFrame:
         "Depth": "depth",
         "Rep": "rep",
     }
-    return df.withColumnsRenamed({**gas, **plain})
+    number = F.regexp_extract("time_point", r"(\d+(\.\d+)?)", 1).try_cast("double")
+    return df.withColumnsRenamed({**gas, **plain}).withColumn("time_order", number)
 
 
 def read_carbon(spark: SparkSession, path: str) -> DataFrame:

@@ -124,11 +124,12 @@ def test_incubation_scan_by_name(spark, tmp_path):
         tmp_path / "gas.csv",
         "Extra,Date,Time,Time.Point,day,ElapsedDays,Bottle,Treatment,Depth,Rep,CO2.sys.ppm.p,CH4.sys.ppm.p,"
         "CO2.air.ppm,CH4.air.ppm,CO2.sys.ppm,CH4.sys.ppm,More\n"
-        "x,1/2/20,10:00,t1,0,0.1,IB 20-S1,IB 20,S,1,opened bottles to atmosphere,2,400,2,NA,2.5,y\n",
+        "x,1/2/20,10:00,T12,0,0.1,IB 20-S1,IB 20,S,1,opened bottles to atmosphere,2,400,2,NA,2.5,y\n",
     )
     row = readers.incubation_names(readers.read_incubation(spark, path)).first()
     assert (row.bottle, row.day, row.CO2_sys_ppm_p) == ("IB 20-S1", 0.0, "opened bottles to atmosphere")
-    assert row.CO2_sys_ppm is None and row.CH4_sys_ppm == 2.5 and len(row) == 15
+    assert row.CO2_sys_ppm is None and row.CH4_sys_ppm == 2.5 and len(row) == 16
+    assert row.time_order == 12.0
 
 
 def test_sensor_scan(spark, tmp_path):

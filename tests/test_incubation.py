@@ -19,7 +19,7 @@ from sondera.operators.summary import mean_with_error, summarize_ci, summarize_s
 from sondera.plans.network import incubation_results
 
 GAS = (
-    "bottle string, treatment string, depth string, rep string, day double, Date string, Time string, "
+    "bottle string, treatment string, depth string, rep string, day double, time_point string, time_order double, "
     "CO2_sys_ppm_p string, CH4_sys_ppm_p string, CO2_air_ppm double, CH4_air_ppm double, "
     "CO2_sys_ppm double, CH4_sys_ppm double"
 )
@@ -35,11 +35,11 @@ def gas_rows():
                     ppm = 400 + 900 * speed * share * day * (1 + 0.02 * int(rep))
                     prior = "n/a" if day == 3 else "410.5"
                     rows.append(
-                        (name, treatment, depth, rep, float(day), f"d{day:02d}", "10:00",
+                        (name, treatment, depth, rep, float(day), f"T{day}", float(day),
                          prior, "2.5", 400.0, 2.0, ppm, 2.0 + day / 10)
                     )
                 rows.append(
-                    (name, treatment, depth, rep, 7.0, "d07", "11:00", AIRED, AIRED, 1.0, 1.0, 1.0, 1.0)
+                    (name, treatment, depth, rep, 7.0, "T8", 8.0, AIRED, AIRED, 1.0, 1.0, 1.0, 1.0)
                 )
     return rows
 
