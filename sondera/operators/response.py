@@ -95,9 +95,11 @@ def annual_loss(
     """Loss over the window: time at each temperature times the rate there.
 
     The wide curve has one row per temperature of the grid, so it is broadcast
-    whatever the number of readings.  ``scale`` 1000 gives mmol per mol.
+    whatever the number of readings.  Without a rate the loss is NULL, and the
+    station stays.  ``scale`` 1000 gives mmol per mol.
     """
-    joined = hist.join(F.broadcast(curve_wide(curve)), "temp_c").withColumn(
+    rate = F.broadcast(curve_wide(curve))
+    joined = hist.join(rate, "temp_c", "left").withColumn(
         "days", F.col("n") * F.lit(cadence_days * scale)
     )
     for d in DEPTHS:

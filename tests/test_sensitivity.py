@@ -166,6 +166,8 @@ def test_annual_loss_by_hand(spark):
     constant = {r.station: r for r in total_constant_rate(hist, rates(spark)).collect()}
     assert constant["s"].loss_shallow == pytest.approx(3 * 1.5e-3 * 1000)
     assert curve_wide(curve).count() == 56
+    none = annual_loss(hist, curve.filter("false")).collect()
+    assert {(r.station, r.loss_deep) for r in none} == {("s", None), ("empty", None)}
 
 
 def test_normalise_year(spark):
