@@ -8,9 +8,11 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import connect, differences, type_differences
+from sondera.plans.oracle import ORACLE
+from sondera.plans.queries import REGISTRY
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = REGISTRY, ORACLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -22,6 +24,7 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
 
 
 def test_entry(spark):
