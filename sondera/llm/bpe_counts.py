@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondera.llm.common import small_batches
+from sondera.llm.common import python_tasks
 
 #: Words seen lately, so that frequent ones are merged once; emptied when full.
 CACHED_WORDS, CACHED_LENGTH = 600_000, 48
@@ -122,6 +122,7 @@ def token_counter(spark: SparkSession, vocabulary: str) -> Column:
     ``vocabulary`` is the path of the file on the driver.  Its text is
     broadcast: a few MB, fixed by the vocabulary and not by the data.
     """
+    python_tasks(spark)
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
 
@@ -143,7 +144,6 @@ def count_tokens(
     text has 0 bytes and 0 tokens; repeated rows give repeated rows; columns of
     the same names are replaced, others kept; an empty table gives none.
     """
-    small_batches(docs.sparkSession)
     counter = token_counter(docs.sparkSession, vocabulary)
     clean = docs.drop("n_bytes", "n_tokens", "over_limit")
     return clean.select(

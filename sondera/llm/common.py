@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,22 @@ def saved(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
-    """Bound the Arrow batches by bytes, so that very long texts do not pile up."""
+_SHIPPED: set[str] = set()
+
+
+def python_tasks(spark: SparkSession, megabytes: int = 8) -> None:
+    """Make ready for Python in tasks.
+
+    Arrow batches are bounded by bytes, so that very long texts do not pile up,
+    and the executors get this package, whether or not it is installed there.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        packed = Path(tempfile.mkdtemp(prefix="sondera-")) / "sondera.zip"
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(packed))
+        _SHIPPED.add(context.applicationId)

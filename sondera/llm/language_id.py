@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondera.llm.common import small_batches
+from sondera.llm.common import python_tasks
 
 DIMS = 8192
 ORDERS = (1, 2, 3)
@@ -132,7 +132,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", dims: int = DI
 
     Every text weighs the same, however long.  Copies count as often as they occur.
     """
-    small_batches(train.sparkSession)
+    python_tasks(train.sparkSession)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -181,7 +181,7 @@ def predict(
     Equal losses go to the language first by code point.  Columns of the same
     names are replaced.
     """
-    small_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
     names = np.array([*model.languages, UNKNOWN], dtype=object)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")

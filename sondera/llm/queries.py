@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondera.llm import bpe_counts, language_id
+from sondera.llm import bpe_counts, chat_windows, curriculum_mix, language_id, quality_model
 from sondera.llm.common import table
 
 
@@ -24,6 +24,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model)
 
 
+def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = curriculum_mix.mix(docs).withColumn("first_position", F.get("positions", F.lit(0)))
+    copies = F.explode(F.array_repeat(F.lit(True), F.col("rows").cast("int")))
+    return (
+        mixed.withColumn("_row", copies)
+        .repartitionByRange("first_position", "doc_id")
+        .sortWithinPartitions("first_position", "doc_id")
+        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "first_position")
+    )
+
+
 def op6_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,8 +43,35 @@ def op6_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    text = r"\### Assistant: </turn> ok"
+    fixture = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(text).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    count = bpe_counts.token_counter(spark, public_tokenizers.path("word_bpe_49k.json"))
+    tokens = count(F.concat_ws(" ", "role", "text"))
+    return chat_windows.read_back(chat_windows.chat_windows(turns.unionByName(fixture), tokens))
+
+
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(id_rest("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text"
+    )
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_model.quality_scores(docs, labels, train="NOT held_out")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_curriculum_mix": op2_curriculum_mix,
     "op6_bpe_counts": op6_bpe_counts,
+    "op8_chat_windows": op8_chat_windows,
+    "op10_quality_model": op10_quality_model,
 }
 SQL: dict[str, str] = {}
