@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondera.llm import bpe_counts, chat_windows, curriculum_mix, language_id, quality_model
+from sondera.llm import (
+    bpe_counts,
+    chat_windows,
+    curriculum_mix,
+    language_id,
+    line_frequency,
+    packing,
+    quality_model,
+)
 from sondera.llm.common import table
 
 
@@ -36,6 +44,22 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # what the query returns is needed only, so the texts are not saved with the measures
+    return line_frequency.quality_rules(docs, keep_text=False).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "removed_words",
+        "kept",
+    )
+
+
 def op6_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +83,14 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.chat_windows(turns.unionByName(fixture), tokens))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack_tokens(docs, path, public_tokenizers.PATTERN)
+
+
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.coalesce(id_rest("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text"
@@ -70,8 +102,10 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_curriculum_mix": op2_curriculum_mix,
+    "op4_line_frequency": op4_line_frequency,
     "op6_bpe_counts": op6_bpe_counts,
     "op8_chat_windows": op8_chat_windows,
+    "op9_packing": op9_packing,
     "op10_quality_model": op10_quality_model,
 }
 SQL: dict[str, str] = {}
