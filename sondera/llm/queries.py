@@ -11,12 +11,14 @@ from sondera.llm import (
     bpe_counts,
     chat_windows,
     curriculum_mix,
+    decontamination,
     language_id,
     line_frequency,
     packing,
     quality_model,
 )
 from sondera.llm.common import table
+from sondera.llm.sql import SQL
 
 
 def id_rest(key: str, parts: int) -> Column:
@@ -44,6 +46,11 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     # what the query returns is needed only, so the texts are not saved with the measures
@@ -102,10 +109,11 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_curriculum_mix": op2_curriculum_mix,
+    "op3_decontamination": op3_decontamination,
     "op4_line_frequency": op4_line_frequency,
     "op6_bpe_counts": op6_bpe_counts,
     "op8_chat_windows": op8_chat_windows,
     "op9_packing": op9_packing,
     "op10_quality_model": op10_quality_model,
 }
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
