@@ -16,8 +16,9 @@ from sondera.llm import (
     line_frequency,
     packing,
     quality_model,
+    suffix_dedup,
 )
-from sondera.llm.common import table
+from sondera.llm.common import python_tasks, table
 from sondera.llm.sql import SQL
 
 
@@ -67,6 +68,17 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_tasks(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    outputs = {
+        "n_words": F.col("n_words"),
+        "n_removed": suffix_dedup.n_removed(),
+        "kept_sha256": F.sha2(suffix_dedup.kept_text(), 256),
+    }
+    return suffix_dedup.without_repeats(docs, outputs)
+
+
 def op6_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_curriculum_mix": op2_curriculum_mix,
     "op3_decontamination": op3_decontamination,
     "op4_line_frequency": op4_line_frequency,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_bpe_counts": op6_bpe_counts,
     "op8_chat_windows": op8_chat_windows,
     "op9_packing": op9_packing,
