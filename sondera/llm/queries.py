@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sondera.llm import (
     bpe_counts,
     chat_windows,
+    chosen_path,
     curriculum_mix,
     decontamination,
     language_id,
@@ -86,6 +87,10 @@ def op6_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_frequency": op4_line_frequency,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_bpe_counts": op6_bpe_counts,
+    "op7_chosen_path": op7_chosen_path,
     "op8_chat_windows": op8_chat_windows,
     "op9_packing": op9_packing,
     "op10_quality_model": op10_quality_model,
