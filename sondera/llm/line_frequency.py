@@ -5,7 +5,7 @@ Everything runs as column expressions, aggregations and joins.
 Lines are normalised (case, digits, punctuation, blanks) and hashed with their
 host.  A line is above the limit if more than ``most_documents`` distinct
 documents of the host hold it.  Copies of a document are not distinct: they
-are counted by a sketch of the document, the least hash of its long words,
+are counted by a sketch of the document, the least md5 of its long words,
 which exact copies share and near copies nearly always do.  So the lines of a
 document that was copied a thousand times are not taken for boilerplate.
 """
@@ -63,13 +63,11 @@ def base_measures(docs: DataFrame, text: str = "text", host: str = "source") ->
 
     def measures(w: Column) -> Column:
         long = F.filter(w, lambda x: F.char_length(x) >= LONG_WORD)
-        sketch = F.coalesce(
-            F.array_min(F.transform(long, lambda x: F.xxhash64(x))), F.xxhash64(body)
-        )
+        sketch = F.coalesce(F.array_min(F.transform(long, lambda x: F.md5(x))), F.md5(body))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             let(F.transform(w, lambda x: F.xxhash64(x)), _repeated_words).alias("n_repeat_words"),
-            sketch.alias("_sketch"),
+            F.xxhash64(sketch).alias("_sketch"),
         )
 
     def lines(x: Column) -> Column:

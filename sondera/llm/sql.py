@@ -39,4 +39,153 @@ FROM (SELECT doc_id, item_id, greatest(start, 0) AS start, similarity FROM score
 GROUP BY doc_id, item_id
 """
 
-SQL = {"op3_decontamination": DECONTAMINATION}
+
+_WORDS = r"""
+d AS (
+    SELECT doc_id, source, coalesce(text, '') AS text,
+        coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
+    FROM documents
+)"""
+
+CURRICULUM_MIX = rf"""
+WITH {_WORDS}, n AS (
+    SELECT doc_id, source, len(w) AS size, md5(CAST(doc_id AS VARCHAR)) AS o FROM d
+), totals AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs,
+        row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn
+    FROM n GROUP BY source
+), leveled AS (
+    SELECT *, turn % 3 + 1 AS weight, 3 * source_size / (turn % 3 + 1) AS "full" FROM totals
+), level AS (
+    SELECT *, (sum(source_size) OVER () - (sum(3 * source_size) OVER o - 3 * source_size))
+            / (sum(weight) OVER () - sum(weight) OVER o + weight) AS own
+    FROM leveled WINDOW o AS (ORDER BY "full", turn ROWS UNBOUNDED PRECEDING)
+), targets AS (
+    SELECT *, least(CAST(3 * source_size AS DOUBLE),
+        coalesce(max(own) FILTER (own <= "full") OVER (), 0) * weight) AS target
+    FROM level
+), placed AS (
+    SELECT n.*, source_size, turn, target, size * n_docs > source_size AS large,
+        CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes
+    FROM n JOIN targets t ON n.source IS NOT DISTINCT FROM t.source
+), summed AS (
+    SELECT *, target - passes * source_size AS more,
+        sum(size) OVER (PARTITION BY source, large ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) - size
+            + size / 2 AS middle,
+        sum(size) OVER (PARTITION BY source, large) AS in_class
+    FROM placed
+), first_part AS (
+    SELECT *, large AND middle <= more * in_class / source_size AS picked FROM summed
+), decided AS (
+    SELECT *, more - coalesce(sum(size) FILTER (picked) OVER (PARTITION BY source), 0) AS rest
+    FROM first_part
+), counted AS (
+    SELECT *, CASE WHEN size = 0 THEN 0
+        ELSE passes + CAST(CASE WHEN large THEN picked ELSE middle <= rest END AS INTEGER) END AS copies
+    FROM decided
+), shared AS (
+    SELECT *, least(CASE WHEN passes > 0 THEN (0 + middle / in_class) * source_size / target
+        ELSE (passes * source_size + middle / in_class * more) / target END, 1.0) AS q
+    FROM counted
+)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies AS INTEGER) AS copies,
+    CAST(size * copies AS BIGINT) AS taken,
+    CASE WHEN copies > 0 THEN CAST(CASE turn % 3
+        WHEN 1 THEN least(2 * q / (1 + sqrt(1.0)), 1.0)
+        WHEN 0 THEN CASE
+            WHEN q >= 0.625 THEN least(0.5 + 2 * (q - 0.625) / (1 + sqrt(1 - 2 * (q - 0.625))), 1.0)
+            ELSE least(2 * q / (1.5 + sqrt(2.25 - 2 * q)), 0.5) END
+        ELSE CASE
+            WHEN q >= 0.375 THEN least(0.5 + 2 * (q - 0.375) / (1 + sqrt(1 + 2 * (q - 0.375))), 1.0)
+            ELSE least(2 * q / (0.5 + sqrt(0.25 + 2 * q)), 0.5) END
+        END AS DOUBLE) END AS first_position
+FROM shared
+"""
+
+LINE_FREQUENCY = rf"""
+WITH {_WORDS}, windows AS (
+    SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(w[p:p + 7], ' ')) AS c
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8)
+), repeated AS (
+    SELECT doc_id, count(DISTINCT i) AS n_repeat_words
+    FROM (SELECT doc_id, unnest(range(p, p + 8)) AS i FROM windows WHERE c > 1) GROUP BY doc_id
+), sketches AS (
+    SELECT doc_id, source, text, coalesce((SELECT min(md5(x)) FROM (SELECT unnest(w) AS x) WHERE length(x) >= 8), md5(text)) AS sketch
+    FROM d
+), lines AS (
+    SELECT doc_id, source, sketch, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words,
+        trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS line
+    FROM (SELECT doc_id, source, sketch, unnest(string_split(text, chr(10))) AS l FROM sketches)
+    WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+), frequent AS (
+    SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT sketch) > 100
+), counted AS (
+    SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines GROUP BY doc_id
+), removed AS (
+    SELECT doc_id, sum(words) AS words
+    FROM lines SEMI JOIN frequent
+        ON lines.line = frequent.line AND lines.source IS NOT DISTINCT FROM frequent.source
+    GROUP BY doc_id
+), measured AS (
+    SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+        CAST(coalesce(removed.words, 0) AS BIGINT) AS removed_words
+    FROM d LEFT JOIN repeated USING (doc_id) LEFT JOIN counted USING (doc_id) LEFT JOIN removed USING (doc_id)
+), failed AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured
+)
+SELECT *, NOT base_failed AND n_words - removed_words >= 0.3 * n_words AS kept FROM failed
+"""
+
+SUFFIX_DEDUP = rf"""
+WITH {_WORDS}, windows AS (
+    SELECT doc_id, p, count(*) OVER (PARTITION BY array_to_string(w[p:p + 34], ' ')) AS c
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM windows WHERE c > 1
+), words AS (
+    SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d
+), kept AS (
+    SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n
+    FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+CHOSEN_PATH = rf"""
+WITH RECURSIVE {_WORDS}, s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+    FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+), near AS (
+    SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+    WHERE 10 * pairs.n >= 8 * (p.n + q.n - pairs.n)
+), links AS (
+    SELECT a, b FROM near UNION ALL SELECT b, a FROM near
+), reach AS (
+    SELECT a, b FROM links
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), classes AS (
+    SELECT a, min(b) AS least FROM reach GROUP BY a
+), degrees AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT doc_id, least(doc_id, coalesce(least, doc_id)) AS class_id, coalesce(n, 0) AS n_links
+FROM documents LEFT JOIN classes c ON c.a = doc_id LEFT JOIN degrees g ON g.a = doc_id
+"""
+
+SQL = {
+    "op2_curriculum_mix": CURRICULUM_MIX,
+    "op3_decontamination": DECONTAMINATION,
+    "op4_line_frequency": LINE_FREQUENCY,
+    "op5_suffix_dedup": SUFFIX_DEDUP,
+    "op7_chosen_path": CHOSEN_PATH,
+}
