@@ -108,7 +108,7 @@ class Codes:
             yes, no = (p[self.code[:, b] == s].mean(axis=0) + smooth for s in (1, -1))
             self.weights[:, b] = np.log(yes / no)
         margin = p @ self.weights  # expected outputs for each language
-        self.scale = np.maximum(np.abs(margin).mean(axis=0), 1e-9)
+        self.scale = np.maximum(np.abs(margin).sum(axis=0) / max(len(languages), 1), 1e-9)
         right = np.clip(margin * self.code / self.scale, 1e-3, None)
         self.trust = right / right.sum(axis=1, keepdims=True) if right.size else right
 

@@ -1,0 +1,51 @@
+from __future__ import annotations
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from corpus import FOLDER
+from sondera.llm.bpe_counts import MergeCounter, count_tokens
+from sondera.llm.queries import op6_bpe_counts
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+ODD = [
+    "", " ", "ΑΣ ΣΑΣ", "İstanbul", "<|endoftext|>hi <|startoftext|>", "a<|endoftext|", "x'll've'LL 123 ½ ²",
+    "é é\u0301 e\u0301", "\x1c\x85  a\u200bb", "日本語 テキスト 😀😀", "ǅ ß ẞ", "a" * 5000, "ab" * 3000, "\x00\x01 \ufeff",
+    "\u2126 \u2135 \u212a \u212b", "ﬁ Ⅷ ٣", "<|endoftext|>", "THE the ThE's",
+]
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(PATH)
+    return lambda texts: [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_counts_as_the_library(library):
+    counter = MergeCounter(open(PATH).read())
+    assert [counter.count(t) for t in ODD] == library(ODD)
+
+
+def test_equal_after_the_cache_was_emptied(library, monkeypatch):
+    monkeypatch.setattr("sondera.llm.bpe_counts.CACHED_WORDS", 2)
+    counter = MergeCounter(open(PATH).read())
+    assert [counter.count(t) for t in ODD * 2] == library(ODD * 2)
+
+
+def test_query(spark, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op6_bpe_counts(spark, FOLDER).collect()}
+    assert set(got) == set(texts)
+    for (i, text), n in zip(texts.items(), library(list(texts.values()))):
+        assert (got[i].n_bytes, got[i].n_tokens) == (len(text.encode()), n)
+        assert got[i].over_limit == (n > 2048)
+
+
+def test_nulls_repeats_names_and_no_rows(spark):
+    rows = [(1, None, 5), (1, None, 5), (None, "a b", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    got = count_tokens(df, PATH)
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 0, 0, False), (1, 0, 0, False), (None, 3, 2, False)]
+    assert count_tokens(df.limit(0), PATH).count() == 0
