@@ -140,7 +140,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, text: str = "text") -> DataFram
                     filled = np.diff(cut) > 0
                     part = np.zeros((len(cut) - 1, rows.shape[1]), dtype=np.float32)
                     if filled.any():
-                        sums = np.add.reduceat(rows, (cut[:-1] - cut[0])[filled], axis=0)
+                        sums = np.add.reduceat(rows, (cut[:-1] - cut[0])[filled], axis=0, dtype=float)
                         part[filled] = sums / np.diff(cut)[filled, None]
                     out.extend(part)
             yield pd.Series(out)
@@ -219,7 +219,7 @@ def fit_network(rows: DataFrame, key: str, label: str = "quality", sample: int =
         .limit(sample)
         .collect()
     )
-    x = np.array([r["pooled"] for r in train], dtype=float).reshape(len(train), -1)
+    x = np.array([r["pooled"] for r in train], dtype=float) if train else np.zeros((0, 1))
     return Network().fit(x, np.array([r[label] for r in train], dtype=float))
 
 
