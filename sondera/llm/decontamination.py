@@ -35,24 +35,42 @@ def normal_words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def _places(words: Column, one) -> Column:
+    """``one`` of the five at each place of ``words``."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size(words) - SHINGLE),
+        lambda i: one([F.get(words, i + k) for k in range(SHINGLE)]),
+    )
+
+
 def shingles(words: Column) -> Column:
     """Hash and weight of the five words at each place; none for fewer words."""
-    parts = F.transform(
-        words, lambda w: F.struct(F.xxhash64(w).alias("h"), F.char_length(w).alias("n"))
-    )
 
-    def at(p: Column, i: Column) -> Column:
-        each = [F.get(p, i + k) for k in range(SHINGLE)]
-        letters = each[0]["n"]
-        for x in each[1:]:
+    def one(five: list[Column]) -> Column:
+        letters = five[0]["n"]
+        for x in five[1:]:
             letters = letters + x["n"]
-        return F.struct(F.xxhash64(*[x["h"] for x in each]).alias("h"), letters.cast("long").alias("w"))
+        return F.struct(
+            F.xxhash64(*[x["h"] for x in five]).alias("h"), letters.cast("long").alias("w")
+        )
 
-    places = lambda p: F.transform(
-        F.sequence(F.lit(0), F.size(p) - SHINGLE), lambda i: at(p, i)
-    )
+    part = lambda w: F.struct(F.xxhash64(w).alias("h"), F.char_length(w).alias("n"))
     none = F.array().cast("array<struct<h:bigint,w:bigint>>")
-    return F.when(F.size(words) >= SHINGLE, let(parts, places)).otherwise(none)
+    return let(
+        words,
+        lambda w: F.when(
+            F.size(w) >= SHINGLE, let(F.transform(w, part), lambda p: _places(p, one))
+        ).otherwise(none),
+    )
+
+
+def shingle_hashes(words: Column) -> Column:
+    """The hashes of ``shingles`` alone, at half the cost."""
+    hashes = lambda w: let(
+        F.transform(w, lambda x: F.xxhash64(x)), lambda p: _places(p, lambda five: F.xxhash64(*five))
+    )
+    none = F.array().cast("array<bigint>")
+    return let(words, lambda w: F.when(F.size(w) >= SHINGLE, hashes(w)).otherwise(none))
 
 
 def simhash(weighted: str) -> Column:
@@ -113,8 +131,7 @@ def matches(
         index = F.broadcast(index)
     body = docs.select(F.col(text).alias("_text"), *text_key(text)).filter("_text IS NOT NULL")
     hits = saved(
-        body.select("_k1", "_k2", shingles(normal_words("_text")).alias("s"))
-        .select("_k1", "_k2", F.posexplode("s.h").alias("p", "h"))
+        body.select("_k1", "_k2", F.posexplode(shingle_hashes(normal_words("_text"))).alias("p", "h"))
         .join(index, "h")
         .select("_k1", "_k2", (F.col("p") - F.col("q")).alias("start"), "n")
         .distinct()
@@ -133,23 +150,29 @@ def matches(
         .select("_k1", "_k2", "at.start", "at.n", window.alias("w"))
         .withColumn("content", F.xxhash64("w"))
     )
-    contents = (
+    contents = saved(
         windows.dropDuplicates(["content"])
         .select("content", shingles(F.col("w")).alias("own"))
         .filter(F.size("own") > 0)
         .withColumn("own_print", simhash("own"))
     )
     filed = bench.withColumn("block", F.explode(_blocks("item_print"))).select(
-        "item_id", "item", "item_print", "block.b", F.explode(
+        "item_id", "item_print", "block.b", F.explode(
             F.transform(F.lit(NEAR), lambda x: x.bitwiseXOR(F.col("block.v")))
         ).alias("v")
     )
-    found = (
+    # hundreds of values for each item, more than its file's size tells: never broadcast
+    close = (
         contents.withColumn("block", F.explode(_blocks("own_print")))
-        .select("content", "own", "own_print", "block.b", "block.v")
-        .join(filed, ["b", "v"])
+        .select("content", "own_print", "block.b", "block.v")
+        .join(filed.hint("merge"), ["b", "v"])
         .filter(F.bit_count(F.col("own_print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-        .dropDuplicates(["content", "item_id"])
+        .select("content", "item_id")
+        .distinct()
+    )
+    found = (
+        close.join(contents.select("content", "own"), "content")
+        .join(bench.select("item_id", "item"), "item_id")
         .withColumn("similarity", similarity("own", "item"))
         .filter(F.col("similarity") >= least)
         .select("content", "item_id", "similarity", (F.size("item") + SHINGLE - 1).alias("n"))
