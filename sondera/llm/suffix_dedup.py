@@ -20,8 +20,8 @@ of that depth.  The tree is never built as a whole:
   At that length every group of two is a node deep enough, so an aggregation
   by that prefix, pre-aggregated before the shuffle, takes the subtree's place.
 
-Texts are first merged with their exact copies (all windows of a text that
-occurs twice are repeats) and shuffled once.  Keys of texts and of prefixes are
+Exact copies of a text are merged before their spans are made (all windows of a
+text that occurs twice are repeats), and texts are shuffled once.  Keys of texts and of prefixes are
 64-bit hashes; in the subtrees the words themselves are compared.
 """
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondera.llm.common import python_tasks
+from sondera.llm.common import python_tasks, saved
 
 WINDOW, PREFIX, GROUP = 35, 8, 2000
 ALL = -1  # a mask: every window of the anchor
@@ -103,15 +103,15 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
 
 
 _ANCHORS = pa.schema(
-    [("k", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32())]
+    [("k", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("c", pa.int64())]
 )
 
 
 def _find_anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, n = batch.column("k").to_numpy(), batch.column("n").to_numpy()
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            key = batch.column("k").to_numpy()
+            cols: list[list[np.ndarray]] = [[], [], [], []]
             for i, text in _texts(batch):
                 words = word_hashes(text)
                 if len(words) < window:
@@ -123,7 +123,6 @@ def _find_anchors(window: int):
                     places.astype(np.int32),
                     prefixes[places].view(np.int64),
                     _surroundings(words, places, window).view(np.int64),
-                    np.full(len(places), min(n[i], 2), dtype=np.int32),
                 )
                 for col, x in zip(cols, found):
                     col.append(x)
@@ -317,25 +316,26 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     if not PREFIX < window <= PREFIX + 55:
         raise ValueError(f"window must be {PREFIX + 1} to {PREFIX + 55} words")
     python_tasks(docs.sparkSession)
-    texts = (
-        docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-        .withColumn("k", F.xxhash64("text"))
-        .groupBy("k")
-        .agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
+        "k", F.xxhash64("text")
     )
-    anchors = texts.mapInArrow(_find_anchors(window), "k long, pos int, h long, c long, n int")
+    # read by several branches with other columns each, so the words are hashed once only
+    anchors = saved(body.mapInArrow(_find_anchors(window), "k long, pos int, h long, c long"))
     repeated = (
         anchors.groupBy("h")
-        .agg(F.sum("n").alias("total"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+        .agg(F.count("*").alias("total"), F.min("c").alias("c1"), F.max("c").alias("c2"))
         .filter("total >= 2")
         .select("h", (F.col("c1") != F.col("c2")).alias("differ"))
     )
-    groups = anchors.join(repeated, "h")
-    same = groups.filter("NOT differ AND n = 1").select("k", "pos", F.lit(ALL).cast("long").alias("mask"))
+    groups = saved(anchors.join(repeated, "h"))
+    same = groups.filter("NOT differ").select("k", "pos", F.lit(ALL).cast("long").alias("mask"))
     members = groups.filter("differ")
-    kinds = members.groupBy("h", "c").agg(
-        F.sum("n").alias("m"), F.min(F.struct("k", "pos")).alias("at")
+    kinds = saved(
+        members.groupBy("h", "c").agg(
+            F.count("*").alias("m"), F.min(F.struct("k", "pos")).alias("at")
+        )
     )
+    texts = body.groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     large = kinds.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP)
 
     def spans(which: DataFrame) -> DataFrame:
@@ -364,9 +364,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     )
     twice = kinds.filter("m >= 2").select("h", "c", F.lit(ALL).cast("long").alias("mask"))
     masks = twice.unionByName(subtrees).unionByName(split)
-    judged = members.filter("n = 1").join(masks, ["h", "c"]).select("k", "pos", "mask")
+    judged = members.join(masks, ["h", "c"]).select("k", "pos", "mask")
     verdicts = (
         same.unionByName(judged)
+        .distinct()  # copies of a text say the same
         .groupBy("k")
         .agg(F.collect_list(F.struct("pos", "mask")).alias("verdicts"))
     )
