@@ -22,7 +22,6 @@ from sondera.functions.numeric import (
 from sondera.functions.quantiles import t_quantile
 from sondera.functions.text import (
     object_name,
-    parse_measure,
     station_from_file,
     window_label,
     yyyymmdd,
@@ -41,7 +40,6 @@ __all__ = [
     "month_start",
     "no_nan",
     "object_name",
-    "parse_measure",
     "percent",
     "propagate",
     "signif",

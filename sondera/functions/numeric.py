@@ -46,8 +46,8 @@ def crossing_time(
 
     NULL when a point is missing or both have the same ``x`` or ``y``.
     """
-    slope = F.try_divide(y1 - y0, x1 - x0)
-    return F.try_divide(level - (y1 - slope * x1), slope)
+    span = F.when(x1 != x0, x1 - x0)
+    return x0 + F.try_divide((level - y0) * span, y1 - y0)
 
 
 def percent(x: Column) -> Column:

@@ -24,20 +24,3 @@ def window_label(start: Column) -> Column:
 def yyyymmdd(day: Column) -> Column:
     return F.date_format(day, "yyyyMMdd")
 
-
-def parse_measure(variable: Column) -> dict[str, Column]:
-    """Dimensions held in a wide measure name such as ``dDecomp.LargeTall``.
-
-    ``Short`` banks are labelled Shallow and all others Deep, as published.
-    """
-    metric = (
-        F.when(variable.contains("Volume"), "erodedSedVolume")
-        .when(variable.contains("SedC"), "erodedSedCarbon")
-        .when(variable.startswith("dD"), "SD")
-        .otherwise("Decomp")
-    )
-    return {
-        "BankHt": F.when(variable.contains("Short"), "Shallow").otherwise("Deep"),
-        "ErosionRate": F.when(variable.contains("Large"), "Large").otherwise("Small"),
-        "metric": metric,
-    }

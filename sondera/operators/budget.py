@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondera.functions.errors import with_error
-from sondera.functions.text import parse_measure
-from sondera.operators.frame import cast_wide, melt, override
+from sondera.operators.frame import override
 from sondera.operators.summary import quadrature
 
 # Erosion in m per year, layer thickness in m, kg carbon per m3,
@@ -20,12 +19,11 @@ DEEP_M = {"Tall": 0.2, "Short": 0.0}
 CARBON_DENSITY = 27.0
 LENGTH_OVERRIDES = {"LA": 66459.0}
 
-METRICS = {
-    "erodedSedVolume": "volume",
-    "erodedSedC": "carbon",
-    "Decomp": "decomp",
-    "dDecomp": "sd",
-}
+# Prefixes of the wide measures, and published names of banks and measures.
+MEASURES = {"volume": "erodedSedVolume", "carbon": "erodedSedC", "decomp": "Decomp", "sd": "dDecomp"}
+BANK_NAMES = {"Tall": "Deep", "Short": "Shallow"}
+LONG_NAMES = {"volume": "erodedSedVolume", "carbon": "erodedSedCarbon", "decomp": "Decomp", "sd": "SD"}
+STATE_MEANS = ("deep", "ddeep", "shallow", "dshallow")
 
 
 def shoreline_lengths(shore: DataFrame, overrides: dict | None = None) -> DataFrame:
@@ -152,40 +150,39 @@ def roll_up(budget: DataFrame) -> DataFrame:
     )
 
 
-def measure_names() -> dict[str, tuple[str, str, str]]:
-    """Wide column name to (metric column, erosion, bank)."""
-    return {
-        f"{prefix}_{rate}{bank}": (metric, rate, bank)
-        for prefix, metric in METRICS.items()
-        for rate in EROSION_RATES
-        for bank in DEEP_M
-    }
-
-
 def budget_wide(
     rolled: DataFrame, keys: Sequence[str] = ("level", "region", "state", "marsh_shore", "n")
 ) -> DataFrame:
-    """One row per place with its 16 measures side by side."""
+    """One row per place with its 16 measures side by side, ``<measure>_<erosion><bank>``."""
     cells = [
-        F.max(
-            F.when((F.col("erosion") == rate) & (F.col("bank") == bank), F.col(metric))
-        ).alias(name)
-        for name, (metric, rate, bank) in measure_names().items()
+        F.max(F.when((F.col("erosion") == rate) & (F.col("bank") == bank), F.col(column))).alias(
+            f"{prefix}_{rate}{bank}"
+        )
+        for column, prefix in MEASURES.items()
+        for rate in EROSION_RATES
+        for bank in DEEP_M
     ]
     return rolled.groupBy(*keys).agg(*cells)
 
 
-def budget_long(
-    wide: DataFrame, keys: Sequence[str] = ("level", "region", "state", "marsh_shore", "n")
-) -> DataFrame:
-    """Back to one row per place, bank and erosion rate, as published.
+def state_budget_wide(rolled: DataFrame, means: DataFrame) -> DataFrame:
+    """The wide rows of the states beside the state means they were made from."""
+    wide = budget_wide(rolled.filter("level = 'state'")).drop("level")
+    return wide.join(means.select("region", "state", *STATE_MEANS), ["region", "state"], "left")
 
-    Every measure name is taken apart into bank, rate and metric; one grouped
-    cast then puts the four metrics side by side.
-    """
-    long = melt(wide, keys, list(measure_names()))
-    parsed = long.withColumns(parse_measure(F.col("variable")))
-    metrics = ["erodedSedVolume", "erodedSedCarbon", "Decomp", "SD"]
-    return cast_wide(
-        parsed, [*keys, "BankHt", "ErosionRate"], "metric", "value", {m: m for m in metrics}
+
+def budget_long(rolled: DataFrame) -> DataFrame:
+    """One row per place, bank and erosion rate under the published names."""
+    bank = F.lit(None).cast("string")
+    for name, published in BANK_NAMES.items():
+        bank = F.when(F.col("bank") == name, published).otherwise(bank)
+    return rolled.select(
+        "level",
+        "region",
+        "state",
+        "marsh_shore",
+        "n",
+        bank.alias("BankHt"),
+        F.col("erosion").alias("ErosionRate"),
+        *[F.col(c).alias(name) for c, name in LONG_NAMES.items()],
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondera.functions.numeric import half_even, no_nan
@@ -110,16 +111,52 @@ def _typed_series(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_series_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """All station files ``<station>.csv`` of a folder as one table."""
-    raw = spark.read.csv(
-        f"{folder}/*.csv",
-        schema=schemas.ddl(schemas.SERIES),
-        header=True,
-        nullValue="NA",
-        mode="PERMISSIVE",
+def _station_of(path: str) -> Column:
+    """Station key of a series file, from the encoded path of its row.
+
+    Either the name of a file ``<key>.csv`` or the folder ``station=<key>``,
+    in which a writer has escaped some characters once more.
+    """
+    decoded = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    plain = decoded(F.col(path))
+    folder = F.regexp_extract(plain, r"/station=([^/]+)/[^/]+$", 1)
+    name = station_from_file(F.regexp_extract(plain, r"([^/]+)$", 1))
+    return F.when(folder != "", decoded(folder)).otherwise(name)
+
+
+def station_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``station, path`` of the series files of a folder; contents are not read."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv{,.gz}")
+        .load(folder)
+    )
+    return files.select(F.col("_metadata.file_path").alias("encoded"), "path").select(
+        _station_of("encoded").alias("station"), "path"
     )
-    return _typed_series(raw.withColumn("station", station_from_file(F.col("_metadata.file_name"))))
+
+
+def _read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    # a row per file; file names are plan-time data in any scan
+    paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r.path) for r in files.select("path").collect()]
+    schema = schemas.ddl(schemas.SERIES)
+    if not paths:
+        raw = spark.createDataFrame([], f"{schema}, station string")
+    else:
+        raw = spark.read.csv(paths, schema=schema, header=True, nullValue="NA", mode="PERMISSIVE")
+        raw = raw.select("*", F.col("_metadata.file_path").alias("_path"))
+        raw = raw.withColumn("station", _station_of("_path"))
+    return _typed_series(raw)
+
+
+def read_series_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """All station files of a folder as one table.
+
+    Rows whose time or value does not parse stay, with NULL; ``undated`` counts
+    those without a time.
+    """
+    return _read_files(spark, station_files(spark, folder))
 
 
 def read_station_series(
@@ -128,13 +165,26 @@ def read_station_series(
     """Readings of the listed stations, and the stations without a file.
 
     The folder is listed, not asked for one name after the other, so a missing
-    file is a row of the second table and never an error.
+    file is a row of the second table and never an error; a file without rows
+    is there.  Only files of listed stations are read.  Files are those of
+    ``write_station_files`` or one ``<key>.csv`` (or ``.csv.gz``) per station.
     """
-    listed = stations.select(key).distinct()
-    readings = read_series_csv(spark, folder).join(listed, key, "left_semi")
-    return readings, listed.join(readings.select(key).distinct(), key, "left_anti")
+    listed = stations.select(F.col(key).alias("station")).distinct()
+    files = station_files(spark, folder)
+    readings = _read_files(spark, files.join(listed, "station", "left_semi"))
+    missing = listed.join(files.select("station").distinct(), "station", "left_anti")
+    return readings, missing.withColumnRenamed("station", key)
+
+
+def undated(readings: DataFrame) -> DataFrame:
+    """``station, n``: readings without a time, which are in no window."""
+    lost = readings.filter("t IS NULL")
+    return lost.groupBy("station").agg(F.count("*").alias("n"))
 
 
 def read_series(spark: SparkSession, folder: str) -> DataFrame:
-    """Readings as written by ``write_series``: Parquet, prunable by year."""
-    return spark.read.parquet(folder).drop("year")
+    """Readings as written by ``write_series``: Parquet with ``year``, the partition.
+
+    A filter on ``year``, or a join on it, skips the other years' files.
+    """
+    return spark.read.parquet(folder)

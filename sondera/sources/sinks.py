@@ -1,35 +1,33 @@
-"""Writers.  These are the only functions of the library that start jobs."""
+"""Writers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondera.operators.budget import EROSION_RATES
+from sondera.operators.budget import budget_long, budget_wide, state_budget_wide
 from sondera.operators.frame import label
 from sondera.operators.histogram import histogram_wide
 
-# Published headers.  One of them is misspelt where it is published.
-_BANKS = {"Tall": "Deep", "Short": "Shallow"}
-_MISSPELT = {("Small", "Short"): "Shllow"}
-
-
-def _sediment_headers() -> dict[str, str]:
-    volume, carbon, lost = {}, {}, {}
-    for bank in _BANKS:
-        for rate in EROSION_RATES:
-            name = f"{_MISSPELT.get((rate, bank), _BANKS[bank])} Bank & {rate} Erosion"
-            volume[f"erodedSedVolume_{rate}{bank}"] = f"Eroded Marsh Sediment Volume {name} (m^3/yr)"
-            carbon[f"erodedSedC_{rate}{bank}"] = f"Eroded Marsh Sediment Carbon {name} (kg/yr)"
-    for rate in EROSION_RATES:
-        for bank in ("Short", "Tall"):
-            name = f"Eroded Carbon Decomposed {_BANKS[bank]} Bank & {rate} Erosion"
-            lost[f"Decomp_{rate}{bank}"] = f"{name} (kg/yr)"
-            lost[f"dDecomp_{rate}{bank}"] = f"{name} SD (kg/yr)"
-    return {**volume, **carbon, **lost}
-
-
-SEDIMENT_HEADERS = _sediment_headers()
+# Published headers, with the misspelling of two of them.
+SEDIMENT_HEADERS = {
+    "erodedSedVolume_LargeTall": "Eroded Marsh Sediment Volume Deep Bank & Large Erosion (m^3/yr)",
+    "erodedSedVolume_SmallTall": "Eroded Marsh Sediment Volume Deep Bank & Small Erosion (m^3/yr)",
+    "erodedSedVolume_LargeShort": "Eroded Marsh Sediment Volume Shallow Bank & Large Erosion (m^3/yr)",
+    "erodedSedVolume_SmallShort": "Eroded Marsh Sediment Volume Shllow Bank & Small Erosion (m^3/yr)",
+    "erodedSedC_LargeTall": "Eroded Marsh Sediment Carbon Deep Bank & Large Erosion (kg/yr)",
+    "erodedSedC_SmallTall": "Eroded Marsh Sediment Carbon Deep Bank & Small Erosion (kg/yr)",
+    "erodedSedC_LargeShort": "Eroded Marsh Sediment Carbon Shallow Bank & Large Erosion (kg/yr)",
+    "erodedSedC_SmallShort": "Eroded Marsh Sediment Carbon Shllow Bank & Small Erosion (kg/yr)",
+    "Decomp_LargeShort": "Eroded Carbon Decomposed Shallow Bank & Large Erosion (kg/yr)",
+    "dDecomp_LargeShort": "Eroded Carbon Decomposed Shallow Bank & Large Erosion SD (kg/yr)",
+    "Decomp_LargeTall": "Eroded Carbon Decomposed Deep Bank & Large Erosion (kg/yr)",
+    "dDecomp_LargeTall": "Eroded Carbon Decomposed Deep Bank & Large Erosion SD (kg/yr)",
+    "Decomp_SmallShort": "Eroded Carbon Decomposed Shallow Bank & Small Erosion (kg/yr)",
+    "dDecomp_SmallShort": "Eroded Carbon Decomposed Shallow Bank & Small Erosion SD (kg/yr)",
+    "Decomp_SmallTall": "Eroded Carbon Decomposed Deep Bank & Small Erosion (kg/yr)",
+    "dDecomp_SmallTall": "Eroded Carbon Decomposed Deep Bank & Small Erosion SD (kg/yr)",
+}
 PLACE_HEADERS = {"n": "n stations", "marsh_shore": "Marsh Shoreline (km)"}
 NATION_HEADERS = {**PLACE_HEADERS, **SEDIMENT_HEADERS}
 REGION_HEADERS = {"region": "Region", **NATION_HEADERS}
@@ -92,7 +90,7 @@ def write_histogram_wide(hist: DataFrame, path: str, stations: list[str]) -> Non
 
 
 def write_station_files(readings: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
-    """A folder ``station=<key>`` of CSV per station, for exchange.
+    """A folder ``station=<key>`` of CSV per station, as ``read_station_series`` reads it.
 
     Rows are spread by station and month, so no station has to pass one task,
     and a file never exceeds ``rows_per_file``.
@@ -123,3 +121,33 @@ def write_series(readings: DataFrame, path: str, rows_per_file: int = 50_000_000
         .partitionBy("year")
         .parquet(path)
     )
+
+
+def publish(
+    path: str,
+    stations: DataFrame,
+    hist: DataFrame,
+    means: DataFrame,
+    rolled: DataFrame,
+    columns: list[str],
+) -> dict[str, str]:
+    """All seven result tables as CSV folders under ``path``; returns where each lies.
+
+    ``stations`` is the metadata with the losses, ``hist`` the histogram of the
+    fullest windows with the stations of ``columns`` across, ``means`` the state
+    means and ``rolled`` the budget rolled up from them.
+    """
+    wide = budget_wide(rolled)
+    tables = {
+        "stations": (stations, station_headers(stations)),
+        "state_means": (means, STATE_MEAN_HEADERS),
+        "state_budget": (state_budget_wide(rolled, means), STATE_BUDGET_HEADERS),
+        "region_budget": (wide.filter("level = 'region'"), REGION_HEADERS),
+        "nation_budget": (wide.filter("level = 'nation'"), NATION_HEADERS),
+        "long_budget": (budget_long(rolled), LONG_HEADERS),
+    }
+    places = {name: f"{path.rstrip('/')}/{name}" for name in [*tables, "temperatures"]}
+    for name, (table, headers) in tables.items():
+        write_csv(table, places[name], headers)
+    write_histogram_wide(hist, places["temperatures"], columns)
+    return places

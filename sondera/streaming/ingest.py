@@ -1,61 +1,90 @@
-"""Incremental form of the page ingest: new landed pages, each reading once."""
+"""Incremental form of the page ingest: new landed pages, each reading once.
+
+Nothing is dropped by age.  A reading is compared with all that is stored, so
+the result does not depend on when its page landed, nor on how pages are dealt
+to batches.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sondera.sources import schemas
 
+READING = ["station", "t", "v", "f"]
+
 
 def page_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """Landed pages as a stream, a bounded number of files per batch."""
+    """Landed pages as a stream, a bounded number of files per batch.
+
+    By default the source passes over files a week older than the newest one;
+    here no backlog is too old.
+    """
     return (
         spark.readStream.schema(schemas.ddl(schemas.PAGE))
         .option("header", True)
         .option("nullValue", "NA")
         .option("maxFilesPerTrigger", max_files)
+        .option("maxFileAge", "36500d")
         .csv(folder)
     )
 
 
-def deduplicated(pages: DataFrame, delay: str = "60 days") -> DataFrame:
-    """Readings of the stream, each once.
+def stored_readings(spark: SparkSession, out: str) -> DataFrame | None:
+    """What the stream has written, with ``year``, ``feed`` and ``batch``; None before the first batch."""
+    try:
+        return spark.read.parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
 
-    The watermark runs on the time a page landed, not on the time it was read:
-    pages of many stations and years land together, and an old reading is not a
-    late one.  Files are taken in landing order, so no row falls behind the
-    watermark; copies landing within ``delay`` of each other are removed.
+def append_new(pages: DataFrame, out: str, feed: str, batch: int) -> None:
+    """Write the readings of a batch that no other batch has stored.
+
+    Only years that the batch touches are read back.  A batch owns one folder
+    and overwrites it, so a replayed batch leaves the same rows once.
     """
-    return (
+    spark = pages.sparkSession
+    fresh = (
         pages.filter("t IS NOT NULL AND v IS NOT NULL")
-        .select("station", "t", "v", "f", F.col("_metadata.file_modification_time").alias("landed"))
-        .withWatermark("landed", delay)
-        .dropDuplicatesWithinWatermark(["station", "t", "v", "f"])
-        .drop("landed")
+        .select(*READING, F.year("t").alias("year"))
+        .dropDuplicates(READING)
     )
+    stored = stored_readings(spark, out)
+    if stored is not None:
+        years = [r.year for r in fresh.select("year").distinct().collect()]  # one row per year
+        others = stored.filter(
+            F.col("year").isin(years) & ~((F.col("feed") == feed) & (F.col("batch") == batch))
+        ).select(*READING)
+        same = [fresh[c].eqNullSafe(others[c]) for c in READING]
+        fresh = fresh.join(others, same, "left_anti")
+    folder = f"{out.rstrip('/')}/feed={feed}/batch={batch}"
+    fresh.write.mode("overwrite").partitionBy("year").parquet(folder)
 
 
 def ingest_stream(
     spark: SparkSession, landing: str, out: str, checkpoint: str | None = None
 ) -> StreamingQuery:
-    """Start one pass over everything new in ``landing``, appending Parquet to ``out``.
+    """Start one pass over everything new in ``landing``, adding Parquet to ``out``.
 
-    Progress is kept under ``checkpoint``, by default in the shared folder the
-    cluster names in ``spark.checkpoint.dir``.
+    Progress is kept under ``checkpoint``, by default beside the output, so that
+    two feeds never share one.  Several feeds may write to one output, one after
+    the other.
     """
-    if checkpoint is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            raise ValueError("name a checkpoint folder or set spark.checkpoint.dir")
-        checkpoint = f"{shared.rstrip('/')}/sondera-page-ingest"
+
+    def write(pages: DataFrame, batch: int) -> None:
+        feed = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_new(pages, out, feed, batch)
+
     return (
-        deduplicated(page_stream(spark, landing))
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
+        page_stream(spark, landing)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint or f"{out.rstrip('/')}.progress")
         .trigger(availableNow=True)
         .start()
     )

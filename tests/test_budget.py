@@ -5,10 +5,10 @@ import pytest
 from sondera.operators.budget import (
     budget_long,
     budget_wide,
-    measure_names,
     roll_up,
     shoreline_lengths,
     state_budget,
+    state_budget_wide,
 )
 from sondera.sources import sinks
 
@@ -112,13 +112,18 @@ def shore(spark):
 
 
 @pytest.fixture(scope="module")
-def wide(means, shore):
-    return budget_wide(roll_up(state_budget(shore, means, compat=True)))
+def rolled(means, shore):
+    return roll_up(state_budget(shore, means, compat=True))
 
 
 @pytest.fixture(scope="module")
-def published(wide):
-    return budget_long(wide).collect()
+def wide(rolled):
+    return budget_wide(rolled)
+
+
+@pytest.fixture(scope="module")
+def published(rolled):
+    return budget_long(rolled).collect()
 
 
 def test_shoreline_override_leaves_one_row(shore):
@@ -163,7 +168,7 @@ def test_totals_over_missing_values_are_zero(spark, shore, means):
 
 
 def test_headers(wide):
-    assert len(measure_names()) == 16
+    assert len(sinks.SEDIMENT_HEADERS) == 16
     assert len(sinks.NATION_HEADERS) == 18
     assert len(sinks.REGION_HEADERS) == 19
     assert len(sinks.STATE_BUDGET_HEADERS) == 24
@@ -171,3 +176,38 @@ def test_headers(wide):
         "Eroded Marsh Sediment Volume Shllow Bank & Small Erosion (m^3/yr)"
     )
     assert set(sinks.NATION_HEADERS) <= set(wide.columns)
+
+
+def test_wide_and_long_agree(wide, published):
+    banks = {"Deep": "Tall", "Shallow": "Short"}
+    names = {"erodedSedVolume": "erodedSedVolume", "erodedSedCarbon": "erodedSedC", "Decomp": "Decomp", "SD": "dDecomp"}
+    side = {(r.level, r.region, r.state): r for r in wide.collect()}
+    assert len(side) == 24 + 3 + 1
+    for r in published:
+        row = side[r.level, r.region, r.state]
+        for column, prefix in names.items():
+            assert r[column] == row[f"{prefix}_{r.ErosionRate}{banks[r.BankHt]}"]
+
+
+def test_publish(spark, rolled, means, tmp_path):
+    stations = spark.createDataFrame([("a", 0.1, 0.2)], "station string, loss_deep double, loss_shallow double")
+    hist = spark.createDataFrame([("a", 1, 5)], "station string, temp_c int, n bigint")
+    places = sinks.publish(str(tmp_path / "out"), stations, hist, means, rolled, ["a"])
+    read = {n: spark.read.csv(p, header=True, inferSchema=True) for n, p in places.items()}
+    rows = {n: (df.count(), len(df.columns)) for n, df in read.items()}
+    assert rows == {
+        "stations": (1, 3), "state_means": (23, 7), "state_budget": (24, 24), "region_budget": (3, 19),
+        "nation_budget": (1, 18), "long_budget": (112, 10), "temperatures": (1, 2),
+    }
+    assert read["state_budget"].columns == list(sinks.STATE_BUDGET_HEADERS.values())
+    deep = "Deep Sed Annual Decomp (mol C/mol C)"
+    got = {(r.Region, r.State): r[deep] for r in read["state_budget"].collect()}
+    want = {(r.region, r.state): r.deep for r in means.collect()}
+    assert got == {**dict.fromkeys(got), **want} and got["Atlantic", "NH"] is None
+    total = read["nation_budget"].first()
+    assert total["n stations"] == 155 and total["Marsh Shoreline (km)"] == 142362
+
+
+def test_state_rows_carry_their_means(rolled, means):
+    rows = {(r.region, r.state): r for r in state_budget_wide(rolled, means).collect()}
+    assert len(rows) == 24 and rows["Gulf", "TX"].shallow == 0.249404047070375

@@ -17,7 +17,7 @@ from sondera.sources.ingest import (
     read_pages,
     trim_range,
 )
-from sondera.streaming.ingest import ingest_stream
+from sondera.streaming.ingest import append_new, ingest_stream, stored_readings
 
 
 def save(path, text):
@@ -96,20 +96,56 @@ def test_page_ingest(spark, landing):
     ]
 
 
+def stored(spark, out):
+    return sorted(map(tuple, stored_readings(spark, out).select("station", "t", "v", "f").collect()))
+
+
+def in_batch(spark, folder):
+    pages = read_pages(spark, str(folder)).filter("t IS NOT NULL AND v IS NOT NULL")
+    return sorted(map(tuple, distinct_readings(pages.select("station", "t", "v", "f")).collect()))
+
+
 def test_stream_equals_batch(spark, landing, tmp_path):
-    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
-    ingest_stream(spark, str(landing), out, progress).awaitTermination()
-    batch = distinct_readings(read_pages(spark, str(landing)).filter("v IS NOT NULL").select("station", "t", "v", "f"))
-    expected = sorted(map(tuple, batch.collect()))
-    assert sorted(map(tuple, spark.read.parquet(out).select("station", "t", "v", "f").collect())) == expected
+    out = str(tmp_path / "out")
+    ingest_stream(spark, str(landing), out).awaitTermination()
+    first = in_batch(spark, landing)
+    assert stored(spark, out) == first
     # later pages: a copy of an old reading, and a reading far older than all others
     save(
         landing / "b2.csv",
         page([("b", "20100131", "2010-03-02 00:00:00", "7.0", "0"), ("b", "20100131", "1999-01-01 00:00:00", "3.0", "0")]),
     )
-    ingest_stream(spark, str(landing), out, progress).awaitTermination()
-    got = sorted(map(tuple, spark.read.parquet(out).select("station", "t", "v", "f").collect()))
-    assert got == sorted([*expected, ("b", dt.datetime(1999, 1, 1), 3.0, "0")])
+    ingest_stream(spark, str(landing), out).awaitTermination()
+    assert stored(spark, out) == sorted([*first, ("b", dt.datetime(1999, 1, 1), 3.0, "0")]) == in_batch(spark, landing)
+    ingest_stream(spark, str(landing), out).awaitTermination()  # nothing new
+    assert stored(spark, out) == in_batch(spark, landing)
+
+
+def test_stream_takes_old_files_and_null_flags(spark, landing, tmp_path):
+    out = str(tmp_path / "out")
+    ingest_stream(spark, str(landing), out).awaitTermination()
+    for age, name in ((10, "old"), (90, "older"), (0, "new")):
+        rows = [("s", "20100101", f"2011-01-0{1 + age // 45} 00:00:00", "1.0", ""), ("a", "20100101", "2010-01-01 00:00:00", "4.0", "0")]
+        path = save(landing / f"{name}.csv", page(rows))
+        then = os.path.getmtime(path) - age * 86400
+        os.utime(path, (then, then))
+    ingest_stream(spark, str(landing), out).awaitTermination()
+    assert stored(spark, out) == in_batch(spark, landing)
+    assert sum(r[0] == "s" for r in stored(spark, out)) == 2
+
+
+def test_a_replayed_batch_and_two_feeds(spark, landing, tmp_path):
+    out, pages = str(tmp_path / "out"), read_pages(spark, str(landing))
+    for feed, batch in (("x", 0), ("x", 0), ("x", 1), ("y", 0), ("y", 0)):
+        append_new(pages, out, feed, batch)
+        assert stored(spark, out) == in_batch(spark, landing)
+    other, second = tmp_path / "other", str(tmp_path / "second")
+    other.mkdir()
+    save(other / "q.csv", page([("q", "20100101", "2010-01-01 00:00:00", "4.0", "0")]))
+    ingest_stream(spark, str(landing), str(tmp_path / "first")).awaitTermination()
+    ingest_stream(spark, str(other), second).awaitTermination()
+    assert stored(spark, second) == in_batch(spark, other)
+    assert stored(spark, str(tmp_path / "first")) == in_batch(spark, landing)
 
 
 def test_trim_bounds(spark):
@@ -207,10 +243,39 @@ def test_series_round_trips(spark, tmp_path):
     assert sorted(os.listdir(parquet))[-2:] == ["year=2019", "year=2020"]
     back = readers.read_series(spark, parquet).select("station", "t", "v", "f")
     assert sorted(map(tuple, back.collect())) == expected
-    csv = str(tmp_path / "csv")
-    sinks.write_station_files(df, csv)
-    again = spark.read.csv(csv, header=True, schema="t timestamp_ntz, v double, f string, station string")
-    assert sorted(map(tuple, again.select("station", "t", "v", "f").collect())) == expected
+
+
+def test_station_files_round_trip(spark, tmp_path):
+    names = ["A B.TX", "A#1.TX", "A%1.TX", "O'Connor.TX", "A+B.TX", "plain.TX", "[x]{y}.TX"]
+    rows = [(s, dt.datetime(2020, 3, d), d + 0.5, "0,0,0") for s in names for d in (1, 2)]
+    df = spark.createDataFrame(rows, "station string, t timestamp_ntz, v double, f string")
+    path = str(tmp_path / "csv")
+    sinks.write_station_files(df, path)
+    stations = spark.createDataFrame([(s,) for s in [*names[:-1], "none.TX"]], "station string")
+    found, missing = readers.read_station_series(spark, path, stations)
+    assert sorted(map(tuple, found.select("station", "t", "v", "f").collect())) == sorted(r for r in rows if r[0] != names[-1])
+    assert [r.station for r in missing.collect()] == ["none.TX"]
+    assert sorted({r.station for r in readers.read_series_csv(spark, path).collect()}) == sorted(names)
+
+
+def test_files_by_name(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "series"
+    folder.mkdir()
+    stations = spark.createDataFrame([(s,) for s in ("A B.TX", "A#1.TX", "A%1.TX", "empty.TX", "zipped.TX")], "station string")
+    found, missing = readers.read_station_series(spark, str(folder), stations)
+    assert found.count() == 0 and missing.count() == 5  # an empty folder
+    head = '"t","v","f"\n'
+    for name in ("A B.TX", "A#1.TX", "A%1.TX"):
+        save(folder / f"{name}.csv", head + '2010-06-25 16:00:00,26.1,"0,0,0"\n')
+    save(folder / "empty.TX.csv", head)
+    with gzip.open(folder / "zipped.TX.csv.gz", "wt") as f:
+        f.write(head + "2010-06-25 16:00:00,1,0\nrubbish,2,0\n")
+    found, missing = readers.read_station_series(spark, str(folder), stations)
+    assert sorted(r.station for r in found.collect()) == ["A B.TX", "A#1.TX", "A%1.TX", "zipped.TX", "zipped.TX"]
+    assert missing.count() == 0  # a file with a header only is there
+    assert [tuple(r) for r in readers.undated(found).collect()] == [("zipped.TX", 1)]
 
 
 def test_csv_with_headers(spark, tmp_path):
