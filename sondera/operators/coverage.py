@@ -29,6 +29,7 @@ def monthly_bins(
 ) -> DataFrame:
     """Readings per (key, month, half-even bin); bin NULL off the grid.
 
+    A reading without a time is in no month and is left out.
     Map-side aggregation leaves at most grid size + 1 rows per key and month in
     each task, so a station with a third of all readings costs no more to
     shuffle than any other.  Later steps read the result more than once: stage
@@ -36,7 +37,7 @@ def monthly_bins(
     """
     rounded = half_even(F.col(v), 0)
     bin_ = F.when(rounded.between(*grid), rounded).cast("int")
-    return readings.groupBy(
+    return readings.filter(F.col(t).isNotNull()).groupBy(
         F.col(key), month_start(F.col(t)).alias("month"), bin_.alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
 
@@ -70,12 +71,13 @@ def fill_months(
     """
     along = W.partitionBy(key).orderBy("month")
     # greatest and least skip NULL: the first row starts at begin, the last stops at end
-    later = F.when(F.lag("month").over(along).isNotNull(), F.col("month"))
+    later = F.when(F.row_number().over(along) > 1, F.col("month"))
     start = F.greatest(later, begin)
     stop = F.least(F.add_months(F.lead("month").over(along), -1), end)
     step = F.expr("interval 1 month")
     return (
-        counts.withColumns({"_start": start, "_stop": stop})
+        counts.filter("month IS NOT NULL")
+        .withColumns({"_start": start, "_stop": stop})
         .filter("_start <= _stop")
         .select(key, "month", "n", F.explode(F.sequence("_start", "_stop", step)).alias("_m"))
         .select(
@@ -160,7 +162,9 @@ def restrict_to_window(
     """Raw readings inside their key's window.
 
     Each window is written out as its months, which turns the range test into
-    an equality on (key, month) and spreads one station over twelve keys.
+    an equality on (key, month) and spreads one station over twelve keys.  If
+    the readings have a ``year`` (see ``read_series``) it is joined as well, so
+    that files of years without a window are not read.
     """
     step = F.expr("interval 1 month")
     stop = F.add_months(window_end(F.col("start"), months), -1)
@@ -168,4 +172,7 @@ def restrict_to_window(
         key, *keep, F.explode(F.sequence(F.col("start"), stop, step)).alias("_month")
     )
     dated = readings.withColumn("_month", month_start(F.col(t)))
-    return dated.join(chosen, [key, "_month"]).drop("_month")
+    on = [key, "_month"]
+    if "year" in readings.columns:
+        chosen, on = chosen.withColumn("year", F.year("_month")), [*on, "year"]
+    return dated.join(chosen, on).drop("_month")

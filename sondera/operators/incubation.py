@@ -88,7 +88,6 @@ def cumulative(
         order,
         {f"{g}_production_umol": f"{g}_cumulative_umol" for g in gases},
         bucket,
-        digits=max(GAS_DIGITS[g] for g in gases),
         attach=None if carbon is None else carbon.select(on, "c_mol"),
         on=[on],
     )

@@ -48,28 +48,38 @@ def neighbour_pairs(
     return within.unionByName(edges).drop("_first", "_last")
 
 
+PLACES = 18
+
+
+def exact_amount(x: Column) -> Column:
+    """``x`` as a decimal of ``PLACES`` places; an error if that would change it."""
+    amount = x.cast(f"decimal(38,{PLACES})")
+    lost = F.raise_error(F.concat(F.lit(f"more than {PLACES} decimal places: "), x.cast("string")))
+    return F.when(amount.cast("double") == x.cast("double"), amount).when(x.isNotNull(), lost)
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     values: dict[str, str],
     bucket: Column,
-    digits: int = 2,
     attach: DataFrame | None = None,
     on: Sequence[str] = (),
 ) -> DataFrame:
-    """Running totals of rounded amounts along an order.
+    """Running totals of amounts along an order.
 
-    ``values`` maps amount columns to output columns.  Amounts are rounded to
-    ``digits`` places already, so they are added as decimals: exact, and the
-    same for every partitioning.
+    ``values`` maps amount columns to output columns.  Amounts are added as
+    decimals of ``PLACES`` places: exact, and the same for every partitioning.
+    An amount that needs more places stops the query instead of being rounded;
+    the total alone becomes a double.
 
     ``attach`` is a table by key columns ``on`` to be left-joined as well.  It
     meets the bucket totals, a few rows per key, and reaches the rows with
     them, so the rows are not shuffled by a hot key for its sake.
     """
     keyed = df.withColumn("_group", F.struct(*keys, bucket.alias("_bucket")))
-    exact = {v: F.col(v).cast(f"decimal(28,{digits})") for v in values}
+    exact = {v: exact_amount(F.col(v)) for v in values}
     earlier = (
         W.partitionBy(*[f"_group.{k}" for k in keys])
         .orderBy("_group._bucket")

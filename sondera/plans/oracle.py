@@ -294,6 +294,8 @@ months AS (SELECT unnest(generate_series(first_m::TIMESTAMP, last_m::TIMESTAMP,
 SELECT year(m)::INT AS year, month(m)::INT AS mon, count(t) AS n
 FROM months LEFT JOIN readings ON date_trunc('month', t)::DATE = m GROUP BY m""",
     "coverage_windows": f"WITH {_COVERAGE} SELECT station, start, year, mon, n, expected, round(pct, 6) AS pct FROM cov",
+    "coverage_dirty": f"""WITH {_COVERAGE.replace("FROM lineitem)", "FROM lineitem WHERE l_orderkey % 5 <> 0)")}
+SELECT station, start, year, mon, n, expected, round(pct, 6) AS pct FROM cov""",
     "best_window": f"WITH {_COVERAGE} SELECT station, start, year, mon, n, expected, round(pct, 6) AS pct FROM best",
     "top_windows": f"WITH {_READINGS}, {_POOLED} SELECT *, strftime(start, '%B%Y') AS label FROM top10",
     "temp_histogram": f"WITH {_COVERAGE} SELECT * FROM hist",
@@ -429,8 +431,8 @@ j AS (SELECT p.state, m.region, m.deep, m.shallow, x, y,
     CASE WHEN p.state = 'IRAN' AND m.region = 'MIDDLE EAST' THEN 'IRAN (East)' ELSE p.state END AS postal
   FROM centroid c JOIN places p ON p.nationkey = c.nationkey LEFT JOIN means m ON m.state = p.state)
 SELECT state, region, postal,
-  round(CASE WHEN postal = 'IRAN (East)' THEN -80.650238 ELSE x END, 3) AS x,
-  round(CASE WHEN postal = 'IRAN (East)' THEN 27.5 ELSE y END, 3) AS y,
+  round(CASE WHEN postal = 'IRAN (East)' THEN 25.0 ELSE x END, 3) AS x,
+  round(CASE WHEN postal = 'IRAN (East)' THEN 61.5 ELSE y END, 3) AS y,
   {_label("postal", "(shallow * (1.0::DOUBLE / 3) + deep * (1 - 1.0::DOUBLE / 3)) * 100")} AS label_mixed,
   {_label("postal", "shallow * 100")} AS label_shallow, {_label("postal", "deep * 100")} AS label_deep
 FROM j""",

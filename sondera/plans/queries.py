@@ -89,6 +89,14 @@ def coverage_windows(v: Views) -> DataFrame:
     return _window_columns(_coverage(_bins(v)))
 
 
+@query
+def coverage_dirty(v: Views) -> DataFrame:
+    """Windows where every fifth order's readings have lost their time."""
+    lost = F.when(F.col("l_orderkey") % 5 != 0, F.col("l_shipdate"))
+    dated = v.table("lineitem").select(F.col("l_suppkey").alias("station"), lost.alias("t"), F.col("l_quantity").alias("v"))
+    return _window_columns(_coverage(stage(coverage.monthly_bins(dated))))
+
+
 @query
 def best_window(v: Views) -> DataFrame:
     return _window_columns(_best(_bins(v)))
@@ -341,7 +349,7 @@ def budget_rollup(v: Views) -> DataFrame:
 
 @query
 def budget_long(v: Views) -> DataFrame:
-    return rounded(budget.budget_long(budget.budget_wide(_rolled(v))), 2)
+    return rounded(budget.budget_long(_rolled(v)), 2)
 
 
 @query
@@ -553,6 +561,6 @@ def state_labels(v: Views) -> DataFrame:
         named,
         _means(v),
         renames=[("IRAN", "MIDDLE EAST", "IRAN (East)")],
-        positions=[("IRAN", "MIDDLE EAST", -80.650238, 27.5)],
+        positions=[("IRAN", "MIDDLE EAST", 25.0, 61.5)],
     )
     return rounded(table, 3)

@@ -180,3 +180,41 @@ def test_gap_across_hours_and_nulls(spark):
     rows = [("a", dt.datetime(2020, 1, 1, h, 59), 1.0) for h in range(5)]
     gaps = gap_histogram(frame(spark, rows))
     assert [tuple(r) for r in gaps.collect()] == [("a", 60.0, 4)]
+
+
+def test_readings_without_a_time_are_in_no_window(spark):
+    april = [("b", dt.datetime(2020, 4, d), 1.0) for d in (1, 2)] + [("b", dt.datetime(2020, 5, 1), 2.0)]
+    january = [("a", dt.datetime(2020, 1, 1), 1.0)]
+    undated = [("b", None, 3.0), ("b", None, None), ("c", None, 1.0)]
+    count = lambda rows: sorted(
+        map(tuple, coverage(monthly_counts(monthly_bins(frame(spark, rows))), months=12).collect())
+    )
+    clean = count(january + april)
+    assert count(january + april + undated) == clean
+    assert [r[1].month for r in clean if r[0] == "b"] == [1, 2, 3, 4, 5]
+
+
+def test_restrict_to_window_reads_the_years_of_the_windows_only(spark, tmp_path):
+    from sondera.sources.readers import read_series
+    from sondera.sources.sinks import write_series
+
+    path = str(tmp_path / "series")
+    rows = [(s, dt.datetime(y, m, 1), 1.0) for s in ("a", "b") for y in range(2010, 2020) for m in (1, 7)]
+    write_series(frame(spark, rows), path)
+    rows = [("a", dt.date(2012, 3, 1), 1), ("b", dt.date(2012, 5, 1), 1), ("b", dt.date(2014, 5, 1), 2)]
+    ranked = spark.createDataFrame(rows, "station string, start date, rank int")
+    windows = ranked.filter("rank = 1").drop("rank")
+    inside = restrict_to_window(read_series(spark, path), windows)
+    assert sorted(r.t.year for r in inside.collect()) == [2012, 2012, 2013, 2013]
+    assert "dynamicpruning" in inside._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted(inside.columns) == ["station", "t", "v", "year"]
+
+
+def test_the_listed_groups_hold_all_readings(spark):
+    from sondera.plans.queries import REGISTRY
+
+    folder = "/root/testdata/sf0.001"
+    wide = REGISTRY["hist_wide"](spark, folder)
+    total = wide.select(sum(F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in wide.columns if c != "temp_c").alias("n"))
+    long = REGISTRY["temp_histogram"](spark, folder).agg(F.sum("n")).first()[0]
+    assert total.agg(F.sum("n")).first()[0] == long

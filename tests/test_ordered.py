@@ -71,3 +71,17 @@ def test_neighbour_pairs(frame, width):
         expected += [(a[1], b[1], b[2]) for a, b in zip(group, group[1:])]
     assert got == sorted(expected)
     assert last == sorted(ends)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_small_amounts_are_not_rounded(spark, parts):
+    df = spark.range(100).select(F.lit("k").alias("key"), "id", F.lit(0.004).alias("v"), F.lit(1e-15).alias("w"))
+    out = running_total(df.repartition(parts), ["key"], ["id"], {"v": "total", "w": "tiny"}, F.col("id") % 1)
+    last = out.orderBy(F.desc("id")).first()
+    assert (last.total, last.tiny) == (0.4, 1e-13)
+
+
+def test_amounts_beyond_the_places_are_refused(spark):
+    df = spark.createDataFrame([("k", 1, 1e-19), ("k", 2, None)], "key string, id int, v double")
+    with pytest.raises(Exception, match="more than 18 decimal places"):
+        running_total(df, ["key"], ["id"], {"v": "total"}, F.lit(0)).collect()
