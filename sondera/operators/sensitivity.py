@@ -157,6 +157,11 @@ def crossing_times(pairs: DataFrame, step: float = 0.01) -> DataFrame:
     )
 
 
+def first_crossings(crossings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per threshold: the first time it is crossed, NULL if never."""
+    return crossings.groupBy(*keys, "k").agg(F.min("crossing").alias("crossing"))
+
+
 def elapsed_by_portion(crossings: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Time spent on each further step: difference of successive crossings."""
     along = W.partitionBy(*keys).orderBy("k")

@@ -32,16 +32,25 @@ def incubation_results(
     spec: InstrumentSpec = InstrumentSpec(),
     compat: bool = False,
 ) -> dict[str, DataFrame]:
-    """Analysis A: gas readings to respired fractions, rates, Q10 and Q10q."""
+    """Analysis A: gas readings to respired fractions, rates, Q10 and Q10q.
+
+    Thresholds are crossed between neighbouring readings, for the first time
+    where a fraction falls again; ``compat`` takes independent extremes instead,
+    which is the same where fractions never fall.
+    """
     keys = ["treatment", "depth", "rep", "bottle"]
     bucket = F.floor(F.col("day") / F.lit(days_per_bucket))
     produced = gas_production(drop_aired(readings, "CO2_sys_ppm_p"), spec)
     totals = cumulative(produced, keys, order, bucket, carbon=carbon)
-    respired = respired_fraction(totals, compat=compat)
+    respired = stage(respired_fraction(totals, compat=compat))
     rates = rate_summary(rate_to_date(respired), GROUP)
-    crossings = sensitivity.crossing_times(
-        sensitivity.threshold_pairs(stage(sensitivity.threshold_bins(respired, keys)), keys)
-    )
+    bins = stage(sensitivity.threshold_bins(respired, keys))
+    if compat:
+        crossings = sensitivity.crossing_times(sensitivity.threshold_pairs(bins, keys))
+    else:
+        last = sensitivity.last_threshold(bins, "y_max")
+        pairs = sensitivity.threshold_neighbours(respired, keys, order, bucket, last_k=last)
+        crossings = sensitivity.first_crossings(sensitivity.crossing_times(pairs), keys)
     return {
         "respired": respired,
         "summary": summarize_ci(respired, GROUP, "fraction", mean="fraction"),

@@ -6,7 +6,9 @@ threshold, and all partial derivatives are written out by hand.
 
 from __future__ import annotations
 
-from sondera.functions.quantiles import expansion_terms, t_table
+import math
+
+import numpy as np
 
 R = "0.00831446"
 TC, TW = "293.15", "303.15"
@@ -218,11 +220,27 @@ pages AS (
   SELECT station, a, d AS page_from, lead(d) OVER (PARTITION BY station ORDER BY d) AS page_to FROM points)"""
 
 
+def _student_975(df: int) -> float:
+    """Point with 2.5 % of Student's distribution above it: Newton steps on the integrated density."""
+    nodes, weights = np.polynomial.legendre.leggauss(120)
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    density = lambda x: scale * (1 + x * x / df) ** (-(df + 1) / 2)
+    t = 1.96 + 2.4 / df
+    for _ in range(60):
+        inside = t / 2 * float((weights * density(t / 2 * (nodes + 1))).sum())
+        t = min(t + (0.475 - inside) / density(t), 2 * t)
+    return t
+
+
 def _t_quantile(n: str) -> str:
-    """Table up to 200 degrees of freedom, series beyond."""
-    values = ", ".join(repr(x) for x in t_table(0.975))
-    c = expansion_terms(0.975)
-    series = " + ".join(f"({x!r}) / pow({n} - 1, {i})" for i, x in enumerate(c))
+    """Values up to 200 degrees of freedom, the asymptotic series of the tables beyond."""
+    values = ", ".join(repr(_student_975(df)) for df in range(1, 201))
+    z, v = "1.959963984540054::DOUBLE", f"({n} - 1)"
+    series = (
+        f"{z} + (pow({z}, 3) + {z}) / (4 * {v}) + (5 * pow({z}, 5) + 16 * pow({z}, 3) + 3 * {z}) / (96 * pow({v}, 2))"
+        f" + (3 * pow({z}, 7) + 19 * pow({z}, 5) + 17 * pow({z}, 3) - 15 * {z}) / (384 * pow({v}, 3))"
+        f" + (79 * pow({z}, 9) + 776 * pow({z}, 7) + 1482 * pow({z}, 5) - 1920 * pow({z}, 3) - 945 * {z}) / (92160 * pow({v}, 4))"
+    )
     return f"CASE WHEN {n} < 2 THEN NULL WHEN {n} <= 201 THEN ([{values}])[{n} - 1] ELSE {series} END"
 
 
@@ -308,6 +326,13 @@ days AS (SELECT unnest(generate_series(date_trunc('year', first_m)::TIMESTAMP,
   make_date(year(last_m), 12, 31)::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM span)
 SELECT year(d)::INT AS year, count(*) AS days, count(*) * 24 AS hours, count(*) * 1440 AS minutes, count(*) * 240 AS slots
 FROM days GROUP BY 1""",
+    "window_starts": f"""WITH {_READINGS},
+own AS (SELECT station, date_trunc('month', min(t)) AS a, date_trunc('month', max(t)) AS b FROM readings GROUP BY station)
+SELECT station, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS start FROM own""",
+    "threshold_grid": f"""WITH {_FRACTIONS},
+top AS (SELECT treatment, depth, CAST(round(round_even(max(fraction), 2) / 0.01, 0) AS INT) AS last_k FROM fractions GROUP BY 1, 2)
+SELECT treatment, depth, k, round(k * 0.01::DOUBLE, 6) AS portion
+FROM (SELECT treatment, depth, unnest(range(0, last_k + 1))::INT AS k FROM top)""",
     "top_and_first": f"""WITH {_COVERAGE}
 SELECT station, count(*) FILTER (n > 0) AS windows, count(*) FILTER (pct >= 0.30) AS qualified,
   (array_agg(start ORDER BY n DESC, start))[1] AS start, max(n) AS n

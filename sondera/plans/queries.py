@@ -51,7 +51,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in doubles})
 
 
-def clock_hour(t: str = "day"):
+def elapsed_hour(t: str = "day"):
     return F.floor(F.col(t) * 24)
 
 
@@ -144,6 +144,22 @@ def expected_slots(v: Views) -> DataFrame:
     return table.withColumn("slots", F.col("slots").cast("bigint"))
 
 
+@query
+def window_starts(v: Views) -> DataFrame:
+    """Month starts between the first and the last reading of each station."""
+    month = month_start(F.col("t"))
+    own = v.readings().groupBy("station").agg(F.min(month).alias("a"), F.max(month).alias("b"))
+    return generators.window_starts(own, F.col("a"), F.col("b"), ["station"])
+
+
+@query
+def threshold_grid(v: Views) -> DataFrame:
+    """Thresholds up to the largest fraction of each treatment and depth."""
+    last = F.round(half_even(F.max("fraction"), 2) / F.lit(0.01), 0).cast("int")
+    top = v.fractions().groupBy("treatment", "depth").agg(last.alias("last_k"))
+    return rounded(generators.threshold_grid(top, F.col("last_k"), 0.01, ["treatment", "depth"]))
+
+
 @query
 def top_and_first(v: Views) -> DataFrame:
     """Per station: windows with readings, the best one, and the first of its list."""
@@ -179,7 +195,7 @@ def _final(v: Views) -> DataFrame:
 def gas_production(v: Views) -> DataFrame:
     kept = incubation.drop_aired(v.gas_readings(), "CO2_sys_ppm_p")
     produced = incubation.gas_production(kept)
-    totals = incubation.cumulative(produced, BOTTLE_KEYS, BOTTLE_ORDER, clock_hour())
+    totals = incubation.cumulative(produced, BOTTLE_KEYS, BOTTLE_ORDER, elapsed_hour())
     return rounded(
         totals.select(
             "event_id",
@@ -237,9 +253,8 @@ def crossing_times(v: Views) -> DataFrame:
 @query
 def crossing_neighbours(v: Views) -> DataFrame:
     """Crossing times from true neighbours instead of running extremes."""
-    pairs = sensitivity.threshold_neighbours(
-        v.fractions(), BOTTLE_KEYS, BOTTLE_ORDER, clock_hour()
-    )
+    fractions = stage(v.fractions().select(*BOTTLE_KEYS, *BOTTLE_ORDER, "fraction"))
+    pairs = sensitivity.threshold_neighbours(fractions, BOTTLE_KEYS, BOTTLE_ORDER, elapsed_hour())
     return rounded(sensitivity.crossing_times(pairs))
 
 
@@ -397,25 +412,25 @@ def _days(v: Views) -> DataFrame:
     return v.readings().select("station", F.col("t").cast("date").alias("day")).distinct()
 
 
-def _station_range(v: Views) -> DataFrame:
-    return _days(v).groupBy("station").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+def _station_range(days: DataFrame) -> DataFrame:
+    return days.groupBy("station").agg(F.min("day").alias("a"), F.max("day").alias("b"))
 
 
 @query
 def request_plan(v: Views) -> DataFrame:
     """Pages of 30 days over each station's own range of dates."""
-    plan = ingest.plan_requests(_station_range(v), F.col("a"), F.col("b"))
+    plan = ingest.plan_requests(_station_range(_days(v)), F.col("a"), F.col("b"))
     return plan.select("station", "chunk_begin", "chunk_end")
 
 
 @query
 def failed_pages(v: Views) -> DataFrame:
     """Pages of 7 days in which a station left no reading."""
-    ranges = _station_range(v)
+    days = stage(_days(v))
+    ranges = _station_range(days)
     plan = ingest.plan_requests(ranges, F.col("a"), F.col("b"), 7, ["station", "a"])
     landed = (
-        _days(v)
-        .join(ranges, "station")
+        days.join(ranges, "station")
         .select("station", ingest.page_of(F.col("day"), F.col("a"), 7).alias("chunk_begin"))
     )
     return ingest.failed_pages(plan, landed).select("station", "chunk_begin", "chunk_end")

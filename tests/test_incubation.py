@@ -139,3 +139,15 @@ def test_whole_analysis(readings, carbon):
     rows = result["q10q"].collect()
     assert rows and all(r.k > 0 for r in rows)
     assert result["summary"].count() == 16
+
+
+def test_both_crossing_forms_agree_where_fractions_never_fall(readings, carbon):
+    rows = lambda compat: {
+        (r.k, r.depth): (r.q10q, r.n) for r in incubation_results(readings, carbon, compat=compat)["q10q"].collect()
+    }
+    neighbours, extremes = rows(False), rows(True)
+    assert neighbours.keys() == extremes.keys()
+    for k, (ratio, n) in neighbours.items():
+        assert n == extremes[k][1]
+        assert (ratio is None) == (extremes[k][0] is None)
+        assert ratio is None or ratio == pytest.approx(extremes[k][0])
