@@ -141,7 +141,7 @@ def test_whole_analysis(readings, carbon):
     assert result["summary"].count() == 16
 
 
-def test_both_crossing_forms_agree_where_fractions_never_fall(readings, carbon):
+def test_both_crossing_forms_agree_where_fractions_hardly_fall(readings, carbon):
     rows = lambda compat: {
         (r.k, r.depth): (r.q10q, r.n) for r in incubation_results(readings, carbon, compat=compat)["q10q"].collect()
     }
@@ -150,4 +150,4 @@ def test_both_crossing_forms_agree_where_fractions_never_fall(readings, carbon):
     for k, (ratio, n) in neighbours.items():
         assert n == extremes[k][1]
         assert (ratio is None) == (extremes[k][0] is None)
-        assert ratio is None or ratio == pytest.approx(extremes[k][0])
+        assert ratio is None or ratio == pytest.approx(extremes[k][0], rel=1e-4)  # a trace of CH4 falls
