@@ -43,8 +43,15 @@ def _places(words: Column, one) -> Column:
     )
 
 
+def parts(words: Column) -> Column:
+    """Hash and length of each word."""
+    return F.transform(
+        words, lambda w: F.struct(F.xxhash64(w).alias("h"), F.char_length(w).alias("n"))
+    )
+
+
 def shingles(words: Column) -> Column:
-    """Hash and weight of the five words at each place; none for fewer words."""
+    """Hash and weight of the five words at each place of ``parts``; none for fewer words."""
 
     def one(five: list[Column]) -> Column:
         letters = five[0]["n"]
@@ -54,43 +61,36 @@ def shingles(words: Column) -> Column:
             F.xxhash64(*[x["h"] for x in five]).alias("h"), letters.cast("long").alias("w")
         )
 
-    part = lambda w: F.struct(F.xxhash64(w).alias("h"), F.char_length(w).alias("n"))
     none = F.array().cast("array<struct<h:bigint,w:bigint>>")
-    return let(
-        words,
-        lambda w: F.when(
-            F.size(w) >= SHINGLE, let(F.transform(w, part), lambda p: _places(p, one))
-        ).otherwise(none),
-    )
+    return let(words, lambda p: F.when(F.size(p) >= SHINGLE, _places(p, one)).otherwise(none))
 
 
 def shingle_hashes(words: Column) -> Column:
-    """The hashes of ``shingles`` alone, at half the cost."""
-    hashes = lambda w: let(
-        F.transform(w, lambda x: F.xxhash64(x)), lambda p: _places(p, lambda five: F.xxhash64(*five))
-    )
+    """The hashes of ``shingles`` alone."""
     none = F.array().cast("array<bigint>")
-    return let(words, lambda w: F.when(F.size(w) >= SHINGLE, hashes(w)).otherwise(none))
+    one = lambda five: F.xxhash64(*[x["h"] for x in five])
+    return let(words, lambda p: F.when(F.size(p) >= SHINGLE, _places(p, one)).otherwise(none))
 
 
 def simhash(weighted: str) -> Column:
     """64 signs, one for each bit of the hashes, as a long; ties count as 0."""
-    sums = (
-        f"aggregate({weighted}, 0L, (a, x) -> a + if(shiftright(x.h, b) & 1L = 1L, x.w, -x.w))"
-    )
-    return F.expr(
-        f"aggregate(transform(sequence(0, 63), b -> if({sums} > 0L, shiftleft(1L, b), 0L)), 0L, (a, x) -> a | x)"
+    total = (
+        f"aggregate({weighted}, 0L, (_sum, _s) -> "
+        "_sum + if(shiftright(_s.h, _bit) & 1L = 1L, _s.w, -_s.w))"
     )
+    bits = f"transform(sequence(0, 63), _bit -> if({total} > 0L, shiftleft(1L, _bit), 0L))"
+    return F.expr(f"aggregate({bits}, 0L, (_sum, _s) -> _sum | _s)")
 
 
 def similarity(left: str, right: str) -> Column:
     """Weighted Jaccard similarity of two shingle lists, repeats counted."""
+    times = lambda side: f"size(filter({side}, _t -> _t.h = _s.h))"
     both = (
-        f"aggregate(array_distinct({left}), 0L, (a, x) -> a + x.w * least("
-        f"size(filter({left}, y -> y.h = x.h)), size(filter({right}, y -> y.h = x.h))))"
+        f"aggregate(array_distinct({left}), 0L, "
+        f"(_sum, _s) -> _sum + _s.w * least({times(left)}, {times(right)}))"
     )
-    total = f"aggregate({left}, 0L, (a, x) -> a + x.w) + aggregate({right}, 0L, (a, x) -> a + x.w)"
-    return F.expr(f"cast({both} as double) / ({total} - {both})")
+    weight = lambda side: f"aggregate({side}, 0L, (_sum, _s) -> _sum + _s.w)"
+    return F.expr(f"cast({both} as double) / ({weight(left)} + {weight(right)} - {both})")
 
 
 def _blocks(fingerprint: str) -> Column:
@@ -105,6 +105,48 @@ def text_key(text: Column | str) -> list[Column]:
     return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2")]
 
 
+def _windows(body: DataFrame, index: DataFrame) -> DataFrame:
+    """``_k1, _k2, start, n, window`` (parts): windows that share a shingle with the index.
+
+    ``index`` has ``h``, its place ``q`` and the item's length ``n``.  With a
+    small index one pass over the texts cuts the windows out where the shingles
+    are found.  A large one is joined by a shuffle of (shingle, place), and the
+    texts that have hits are read again.
+    """
+    texts = body.select("_k1", "_k2", parts(normal_words("_text")).alias("parts"))
+    start = (F.col("p") - F.col("q")).alias("start")
+    window = F.slice(
+        F.col("parts"),
+        F.greatest(F.col("start"), F.lit(0)) + 1,
+        F.col("n") + F.least(F.col("start"), F.lit(0)),
+    ).alias("window")
+    place = ["_k1", "_k2", "start", "n"]
+    found = F.posexplode(shingle_hashes(F.col("parts"))).alias("p", "h")
+    if index.count() <= BROADCAST_SHINGLES:
+        return (
+            texts.select("_k1", "_k2", "parts", found)
+            .join(F.broadcast(index), "h")
+            .select("_k1", "_k2", start, "n", "parts")
+            .select(*place, window)
+            .dropDuplicates(place)
+        )
+    hits = saved(
+        texts.select("_k1", "_k2", found)
+        .join(index, "h")
+        .select("_k1", "_k2", start, "n")
+        .distinct()
+    )
+    places = hits.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "n")).alias("places"))
+    return (
+        body.join(places, ["_k1", "_k2"])
+        .dropDuplicates(["_k1", "_k2"])
+        .select("_k1", "_k2", parts(normal_words("_text")).alias("parts"), "places")
+        .select("_k1", "_k2", "parts", F.explode("places").alias("at"))
+        .select("_k1", "_k2", "at.start", "at.n", "parts")
+        .select(*place, window)
+    )
+
+
 def matches(
     docs: DataFrame,
     items: DataFrame,
@@ -120,39 +162,24 @@ def matches(
     long as the text allows.
     """
     bench = saved(
-        items.select(F.col(item_key).alias("item_id"), shingles(normal_words(item_text)).alias("item"))
+        items.select(
+            F.col(item_key).alias("item_id"), shingles(parts(normal_words(item_text))).alias("item")
+        )
         .filter(F.size("item") > 0)
         .withColumn("item_print", simhash("item"))
     )
-    index = bench.select((F.size("item") + SHINGLE - 1).alias("n"), F.posexplode("item")).select(
-        F.col("col.h").alias("h"), F.col("pos").alias("q"), "n"
-    ).distinct()
-    if index.count() <= BROADCAST_SHINGLES:
-        index = F.broadcast(index)
-    body = docs.select(F.col(text).alias("_text"), *text_key(text)).filter("_text IS NOT NULL")
-    hits = saved(
-        body.select("_k1", "_k2", F.posexplode(shingle_hashes(normal_words("_text"))).alias("p", "h"))
-        .join(index, "h")
-        .select("_k1", "_k2", (F.col("p") - F.col("q")).alias("start"), "n")
+    index = saved(
+        bench.select((F.size("item") + SHINGLE - 1).alias("n"), F.posexplode("item"))
+        .select(F.col("col.h").alias("h"), F.col("pos").alias("q"), "n")
         .distinct()
     )
-    texts = hits.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "n")).alias("places"))
-    window = F.slice(
-        F.col("w"),
-        F.greatest(F.col("at.start"), F.lit(0)) + 1,
-        F.col("at.n") + F.least(F.col("at.start"), F.lit(0)),
-    )
+    body = docs.select(F.col(text).alias("_text"), *text_key(text)).filter("_text IS NOT NULL")
     windows = saved(
-        body.join(texts, ["_k1", "_k2"])
-        .dropDuplicates(["_k1", "_k2"])
-        .select("_k1", "_k2", normal_words("_text").alias("w"), "places")
-        .withColumn("at", F.explode("places"))
-        .select("_k1", "_k2", "at.start", "at.n", window.alias("w"))
-        .withColumn("content", F.xxhash64("w"))
+        _windows(body, index).withColumn("content", F.xxhash64("window"))
     )
     contents = saved(
         windows.dropDuplicates(["content"])
-        .select("content", shingles(F.col("w")).alias("own"))
+        .select("content", shingles(F.col("window")).alias("own"))
         .filter(F.size("own") > 0)
         .withColumn("own_print", simhash("own"))
     )
