@@ -4,18 +4,16 @@ Texts of the same shingle set form a *class of copies*, handled as one.  A set
 is embedded by its least token under each of ``COORDINATES`` random orders: two
 sets agree in a coordinate with the probability of their Jaccard similarity,
 and then the least token is one that they share.  A run splits all sets on one
-coordinate.  A bucket that is still too large for brute force is split again on
-coordinates drawn from its own path, ``BRANCHES`` at a time; small buckets are
-leaves.  Runs are repeated until a pair at the threshold meets with at least
+coordinate.  A bucket that is still too large for brute force is split again on one
+or two coordinates drawn from its own path; small buckets are leaves.  Runs are repeated until a pair at the threshold meets with at least
 the target recall.
 
 In a leaf the pairs that meet there for the first time are told from their
 coordinates; then their texts are fetched and their true similarity computed.
 A leaf reports sums and a spanning forest, never pairs, so a group of thousands
 of near copies costs what its members cost.  A bucket that splitting does not
-make smaller is dense: nearly all of its sets are alike.  It is cut into pieces
-in the order of its next coordinates, and each piece also gets the bucket's
-first set, which ties the pieces together.
+make much smaller is dense: its sets are alike.  It is cut into pieces, and each
+piece also gets the same few sets of the bucket, which tie the pieces together.
 """
 
 from __future__ import annotations
@@ -31,7 +29,11 @@ from pyspark.sql import functions as F
 from sondera.llm.common import python_tasks, saved
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
-COORDINATES, LEAF, BRANCHES, DEPTH = 32, 200, 2, 4
+COORDINATES, LEAF, DEPTH = 32, 200, 8
+#: A bucket of which a child holds more than this share is dense: its sets are alike.
+DENSE = 0.7
+#: Sets, drawn for each run anew, that every piece of a dense bucket gets.
+HEADS = 3
 #: Sets alike to the threshold agree in fewer coordinates once in 30,000 times.
 AGREEING = math.floor(
     COORDINATES * THRESHOLD - 4 * math.sqrt(COORDINATES * THRESHOLD * (1 - THRESHOLD))
@@ -103,43 +105,58 @@ def _hashed_words(text: str):
 
 
 def _leaves(sets: DataFrame) -> DataFrame:
-    """``leaf``, ``set_key``, ``dense`` for every bucket of two sets or more, over all runs."""
-
-    def sized(nodes: DataFrame) -> DataFrame:
-        counts = nodes.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
-        return saved(nodes.join(counts, "path"))
-
-    level = sized(
-        sets.select(
-            "set_key",
-            F.posexplode(F.slice("coordinates", 1, RUNS)).alias("run", "value"),
-        ).select("set_key", F.xxhash64("run", "value").alias("path"))
-    )
-    leaves = [level.filter(F.col("members") <= LEAF).select("set_key", F.col("path").alias("leaf"))]
-    for depth in range(DEPTH):
-        large = level.filter(F.col("members") > LEAF)
+    """``leaf``, ``set_key`` for every bucket of two sets or more, over all runs."""
+    own = sets.select("set_key", "coordinates")
+    level = own.select(
+        "set_key", F.posexplode(F.slice("coordinates", 1, RUNS)).alias("run", "value")
+    ).select("set_key", F.xxhash64("run", "value").alias("path"))
+    counts = level.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
+    level = saved(level.join(counts, "path"))
+    leaf = F.col("path").alias("leaf")
+    leaves = [level.filter(F.col("members") <= LEAF).select("set_key", leaf)]
+    large = level.filter(F.col("members") > LEAF)
+    # one coordinate or two, by chance: 1.5 on average keep more than one path of a similar pair
+    draw = lambda b: F.pmod(F.xxhash64("path", F.lit(b)), F.lit(COORDINATES)).cast("int")
+    child = lambda c: F.xxhash64("path", c, F.get("coordinates", c))
+    one, two = child(draw(0)), child(draw(1))
+    branch = F.when(draw("branches") % 2 == 0, F.array(one)).otherwise(F.array(one, two))
+    for _ in range(DEPTH):
         if not large.take(1):
             return _union(leaves)
-        drawn = [F.pmod(F.xxhash64("path", F.lit(b)), F.lit(COORDINATES)).cast("int") for b in range(BRANCHES)]
-        branch = [F.xxhash64("path", c, F.get("coordinates", c)) for c in drawn]
-        level = sized(
-            large.join(sets.select("set_key", "coordinates"), "set_key")
-            .select("set_key", F.explode(F.array_distinct(F.array(*branch))).alias("path"))
+        children = large.join(own, "set_key").select(
+            "set_key", F.col("path").alias("parent"), F.explode(F.array_distinct(branch)).alias("path")
         )
-        leaves.append(level.filter(F.col("members") <= LEAF).select("set_key", F.col("path").alias("leaf")))
-    large = level.filter(F.col("members") > LEAF)
-    # dense buckets: pieces along two further coordinates, of about half a leaf each
-    c = F.pmod(F.xxhash64("path", F.lit("piece")), F.lit(COORDINATES)).cast("int")
-    piece = F.xxhash64(
-        "path", F.pmod(F.xxhash64(F.get("coordinates", c), "set_key"), F.ceil(F.col("members") * 2 / LEAF))
-    )
-    pieces = large.join(sets.select("set_key", "coordinates"), "set_key").select(
-        "set_key", piece.alias("leaf"), "path"
+        counts = children.groupBy("parent", "path").agg(F.count("*").alias("members"))
+        sizes = large.groupBy(F.col("path").alias("parent")).agg(F.count("*").alias("size"))
+        counts = saved(counts.join(sizes, "parent"))
+        dense = counts.groupBy("parent").agg(
+            (F.max(F.col("members") / F.col("size")) > DENSE).alias("dense")
+        )
+        alike = dense.filter("dense").select(F.col("parent").alias("path"))
+        leaves += _pieces(large.join(alike, "path", "left_semi"))
+        split = counts.join(dense.filter("NOT dense"), "parent").filter("members > 1")
+        level = saved(
+            children.join(split.select("parent", "path", "members"), ["parent", "path"]).drop("parent")
+        )
+        leaves.append(level.filter(F.col("members") <= LEAF).select("set_key", leaf))
+        large = level.filter(F.col("members") > LEAF)
+    return _union([*leaves, *_pieces(large)])
+
+
+def _pieces(buckets: DataFrame) -> list[DataFrame]:
+    """Dense buckets in pieces of about half a leaf, with a few sets of the bucket in all of them."""
+    number = F.ceil(F.col("members") * 2 / LEAF)
+    piece = F.xxhash64("path", F.pmod(F.xxhash64("path", "set_key"), number))
+    pieces = saved(buckets.select("set_key", piece.alias("leaf"), "path"))
+    drawn = [F.min(F.struct(F.xxhash64("path", F.lit(j), "set_key"), "set_key")) for j in range(HEADS)]
+    heads = buckets.groupBy("path").agg(F.array(*drawn).alias("heads"))
+    in_each = (
+        pieces.select("path", "leaf")
+        .distinct()
+        .join(heads, "path")
+        .select("leaf", F.explode("heads.set_key").alias("set_key"))
     )
-    heads = large.groupBy("path").agg(F.min("set_key").alias("set_key"))
-    head_rows = pieces.select("path", "leaf").distinct().join(heads, "path").select("set_key", "leaf")
-    leaves += [pieces.select("set_key", "leaf"), head_rows]
-    return _union(leaves)
+    return [pieces.select("set_key", "leaf"), in_each.select("set_key", "leaf")]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

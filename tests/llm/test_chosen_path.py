@@ -41,13 +41,26 @@ def test_against_all_pairs(spark):
         assert got[i] == (least, links), texts[i]
 
 
-def test_dense_groups_keep_their_class(spark, monkeypatch):
-    monkeypatch.setattr(cp, "LEAF", 8)
-    texts = made(3, 3, 150, length=120, edits=2) + ["common line of many words here " + t for t in made(4, 60, 1)]
+@pytest.mark.parametrize("edits", [1, 3])
+def test_groups_larger_than_a_leaf(spark, monkeypatch, edits):
+    monkeypatch.setattr(cp, "LEAF", 20)
+    r = random.Random(edits)
+    word = lambda: f"w{r.randrange(5000)}"
+    texts = ["common line of many words here " + t for t in made(4, 60, 1)]
+    for _ in range(3):
+        base = [word() for _ in range(100)]
+        for _ in range(120):
+            own = list(base)
+            for _ in range(edits):
+                own[r.randrange(100)] = word()
+            texts.append(" ".join(own))
     got = run(spark, texts)
     roots, links = near_classes(texts)
-    assert [got[i][0] for i in range(len(texts))] == roots
-    assert all(got[i][1] <= links[i] and (got[i][1] > 0) == (links[i] > 0) for i in got)
+    linked = [i for i in range(len(texts)) if links[i]]
+    lost = sum(got[i][0] != roots[i] for i in linked)
+    assert lost <= (0 if edits == 1 else 0.005 * len(linked))
+    assert all(got[i] == (i, 0) for i in range(len(texts)) if not links[i])
+    assert all(got[i][1] <= links[i] for i in got)
 
 
 def test_recall_at_the_threshold():
