@@ -321,7 +321,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     )
     # read by several branches with other columns each, so the words are hashed once only
     anchors = saved(body.mapInArrow(_find_anchors(window), "k long, pos int, h long, c long"))
-    repeated = (
+    # saved, so that the join has nothing but two exchanges below it and hot prefixes are split
+    repeated = saved(
         anchors.groupBy("h")
         .agg(F.count("*").alias("total"), F.min("c").alias("c1"), F.max("c").alias("c2"))
         .filter("total >= 2")
