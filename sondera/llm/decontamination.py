@@ -24,8 +24,8 @@ from sondera.llm.common import let, saved
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS, RADIUS = 4, 16, 15
-#: An index of more shingles than this is joined by a shuffle instead of a broadcast (24 bytes each).
-BROADCAST_SHINGLES = 1_000_000
+#: More shingles, or hits, than this are joined by a shuffle instead of a broadcast (24 and 40 bytes each).
+BROADCAST_SHINGLES, BROADCAST_HITS = 1_000_000, 300_000
 #: Block values that differ from 0 in few enough bits.
 NEAR = [x for x in range(1 << BLOCK_BITS) if x.bit_count() <= RADIUS // BLOCKS]
 
@@ -66,10 +66,11 @@ def shingles(words: Column) -> Column:
 
 
 def shingle_hashes(words: Column) -> Column:
-    """The hashes of ``shingles`` alone."""
+    """The hashes of ``shingles`` alone, from the words themselves."""
     none = F.array().cast("array<bigint>")
-    one = lambda five: F.xxhash64(*[x["h"] for x in five])
-    return let(words, lambda p: F.when(F.size(p) >= SHINGLE, _places(p, one)).otherwise(none))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    one = lambda five: F.xxhash64(*five)
+    return let(hashes, lambda h: F.when(F.size(h) >= SHINGLE, _places(h, one)).otherwise(none))
 
 
 def simhash(weighted: str) -> Column:
@@ -106,44 +107,37 @@ def text_key(text: Column | str) -> list[Column]:
 
 
 def _windows(body: DataFrame, index: DataFrame) -> DataFrame:
-    """``_k1, _k2, start, n, window`` (parts): windows that share a shingle with the index.
+    """``_k1, _k2, start, n, window`` (words): windows that share a shingle with the index.
 
-    ``index`` has ``h``, its place ``q`` and the item's length ``n``.  With a
-    small index one pass over the texts cuts the windows out where the shingles
-    are found.  A large one is joined by a shuffle of (shingle, place), and the
-    texts that have hits are read again.
+    ``index`` has ``h``, its place ``q`` and the item's length ``n``.  Shingles
+    travel alone, without the words of their text, so the cost of a text grows
+    with its length and no faster; texts with hits are read once more.  The
+    index, and the list of hits, are broadcast up to a size, and joined by a
+    shuffle beyond.
     """
-    texts = body.select("_k1", "_k2", parts(normal_words("_text")).alias("parts"))
-    start = (F.col("p") - F.col("q")).alias("start")
-    window = F.slice(
-        F.col("parts"),
-        F.greatest(F.col("start"), F.lit(0)) + 1,
-        F.col("n") + F.least(F.col("start"), F.lit(0)),
-    ).alias("window")
-    place = ["_k1", "_k2", "start", "n"]
-    found = F.posexplode(shingle_hashes(F.col("parts"))).alias("p", "h")
-    if index.count() <= BROADCAST_SHINGLES:
-        return (
-            texts.select("_k1", "_k2", "parts", found)
-            .join(F.broadcast(index), "h")
-            .select("_k1", "_k2", start, "n", "parts")
-            .select(*place, window)
-            .dropDuplicates(place)
-        )
+    small = index.count() <= BROADCAST_SHINGLES
     hits = saved(
-        texts.select("_k1", "_k2", found)
-        .join(index, "h")
-        .select("_k1", "_k2", start, "n")
+        body.select("_k1", "_k2", F.posexplode(shingle_hashes(normal_words("_text"))).alias("p", "h"))
+        .join(F.broadcast(index) if small else index, "h")
+        .select("_k1", "_k2", (F.col("p") - F.col("q")).alias("start"), "n")
         .distinct()
     )
+    few = hits.count() <= BROADCAST_HITS
     places = hits.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "n")).alias("places"))
+
+    def cut(words: Column, at: Column) -> Column:
+        first, short = F.greatest(at["start"], F.lit(0)) + 1, F.least(at["start"], F.lit(0))
+        window = F.slice(words, first, at["n"] + short)
+        return F.struct(at["start"].alias("start"), at["n"].alias("n"), window.alias("window"))
+
+    windows = let(
+        normal_words("_text"), lambda w: F.transform(F.col("places"), lambda at: cut(w, at))
+    )
     return (
-        body.join(places, ["_k1", "_k2"])
+        body.join(F.broadcast(places) if few else places, ["_k1", "_k2"])
         .dropDuplicates(["_k1", "_k2"])
-        .select("_k1", "_k2", parts(normal_words("_text")).alias("parts"), "places")
-        .select("_k1", "_k2", "parts", F.explode("places").alias("at"))
-        .select("_k1", "_k2", "at.start", "at.n", "parts")
-        .select(*place, window)
+        .select("_k1", "_k2", windows.alias("windows"))
+        .select("_k1", "_k2", F.inline("windows"))
     )
 
 
@@ -179,7 +173,7 @@ def matches(
     )
     contents = saved(
         windows.dropDuplicates(["content"])
-        .select("content", shingles(F.col("window")).alias("own"))
+        .select("content", shingles(parts(F.col("window"))).alias("own"))
         .filter(F.size("own") > 0)
         .withColumn("own_print", simhash("own"))
     )

@@ -92,6 +92,7 @@ def test_same_by_shuffle(spark, data, monkeypatch):
     docs, items = frames(spark, data)
     want = sorted(map(tuple, dc.contaminated(docs, items).collect()))
     monkeypatch.setattr(dc, "BROADCAST_SHINGLES", 0)
+    monkeypatch.setattr(dc, "BROADCAST_HITS", 0)
     assert sorted(map(tuple, dc.contaminated(docs, items).collect())) == want
 
 
@@ -122,3 +123,12 @@ def test_no_rows(spark, data):
     assert dc.contaminated(docs.limit(0), items).count() == 0
     assert dc.contaminated(docs, items.limit(0)).count() == 0
     assert dc.clean(docs, items.filter(F.lit(False))).count() == len(data[0])
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(7)
+    item = " ".join(f"i{k}" for k in range(40))
+    far = " ".join(f"w{r.randrange(10**6)}" for _ in range(150_000))
+    docs = spark.createDataFrame([(1, f"{far} {item} {far}")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert [tuple(x) for x in dc.contaminated(docs, items).collect()] == [(1, 5, 150_000, 1.0)]
