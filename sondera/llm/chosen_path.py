@@ -11,9 +11,10 @@ the target recall.
 In a leaf the pairs that meet there for the first time are told from their
 coordinates; then their texts are fetched and their true similarity computed.
 A leaf reports sums and a spanning forest, never pairs, so a group of thousands
-of near copies costs what its members cost.  A bucket that splitting does not
-make much smaller is dense: its sets are alike.  It is cut into pieces, and each
-piece also gets the same few sets of the bucket, which tie the pieces together.
+of near copies writes what its members cost.  A bucket that splitting does not
+make much smaller is dense: its sets are alike, or share a long passage.  It is
+cut into pieces, and each piece is compared with itself and with every other, so
+all pairs of the bucket meet.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 COORDINATES, LEAF, DEPTH = 32, 200, 8
 #: A bucket of which a child holds more than this share is dense: its sets are alike.
 DENSE = 0.7
-#: Sets, drawn for each run anew, that every piece of a dense bucket gets.
-HEADS = 3
+#: Sets in a piece of a dense bucket, as a multiple of LEAF; a leaf of it holds two pieces.
+PIECE = 2
 #: Sets alike to the threshold agree in fewer coordinates once in 30,000 times.
 AGREEING = math.floor(
     COORDINATES * THRESHOLD - 4 * math.sqrt(COORDINATES * THRESHOLD * (1 - THRESHOLD))
@@ -105,15 +106,20 @@ def _hashed_words(text: str):
 
 
 def _leaves(sets: DataFrame) -> DataFrame:
-    """``leaf``, ``set_key`` for every bucket of two sets or more, over all runs."""
+    """``leaf``, ``bucket``, ``own``, ``piece``, ``set_key`` for every bucket of two sets or more, over all runs.
+
+    All pairs of a bucket meet, each in one leaf: a small bucket is a leaf, a
+    dense one has a leaf for each piece (``own``) and for each two pieces.
+    """
     own = sets.select("set_key", "coordinates")
     level = own.select(
         "set_key", F.posexplode(F.slice("coordinates", 1, RUNS)).alias("run", "value")
     ).select("set_key", F.xxhash64("run", "value").alias("path"))
     counts = level.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
     level = saved(level.join(counts, "path"))
-    leaf = F.col("path").alias("leaf")
-    leaves = [level.filter(F.col("members") <= LEAF).select("set_key", leaf)]
+    leaf = ["set_key", F.col("path").alias("leaf"), F.col("path").alias("bucket")]
+    leaf += [F.lit(True).alias("own"), F.lit(0).alias("piece")]
+    leaves = [level.filter(F.col("members") <= LEAF).select(*leaf)]
     large = level.filter(F.col("members") > LEAF)
     # one coordinate or two, by chance: 1.5 on average keep more than one path of a similar pair
     draw = lambda b: F.pmod(F.xxhash64("path", F.lit(b)), F.lit(COORDINATES)).cast("int")
@@ -133,30 +139,29 @@ def _leaves(sets: DataFrame) -> DataFrame:
             (F.max(F.col("members") / F.col("size")) > DENSE).alias("dense")
         )
         alike = dense.filter("dense").select(F.col("parent").alias("path"))
-        leaves += _pieces(large.join(alike, "path", "left_semi"))
+        leaves.append(_pieces(large.join(alike, "path", "left_semi")))
         split = counts.join(dense.filter("NOT dense"), "parent").filter("members > 1")
         level = saved(
             children.join(split.select("parent", "path", "members"), ["parent", "path"]).drop("parent")
         )
-        leaves.append(level.filter(F.col("members") <= LEAF).select("set_key", leaf))
+        leaves.append(level.filter(F.col("members") <= LEAF).select(*leaf))
         large = level.filter(F.col("members") > LEAF)
-    return _union([*leaves, *_pieces(large)])
-
-
-def _pieces(buckets: DataFrame) -> list[DataFrame]:
-    """Dense buckets in pieces of about half a leaf, with a few sets of the bucket in all of them."""
-    number = F.ceil(F.col("members") * 2 / LEAF)
-    piece = F.xxhash64("path", F.pmod(F.xxhash64("path", "set_key"), number))
-    pieces = saved(buckets.select("set_key", piece.alias("leaf"), "path"))
-    drawn = [F.min(F.struct(F.xxhash64("path", F.lit(j), "set_key"), "set_key")) for j in range(HEADS)]
-    heads = buckets.groupBy("path").agg(F.array(*drawn).alias("heads"))
-    in_each = (
-        pieces.select("path", "leaf")
-        .distinct()
-        .join(heads, "path")
-        .select("leaf", F.explode("heads.set_key").alias("set_key"))
+    return _union([*leaves, _pieces(large)])
+
+
+def _pieces(buckets: DataFrame) -> DataFrame:
+    """Dense buckets as leaves: each piece by itself, and each two pieces together."""
+    number = F.ceil(F.col("members") / (PIECE * LEAF)).cast("int")
+    pieces = buckets.select(
+        "set_key", "path", number.alias("number"), F.pmod(F.xxhash64("set_key"), number).alias("piece")
+    )
+    return pieces.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("number") - 1))).select(
+        "set_key",
+        F.xxhash64("path", F.least("piece", "other"), F.greatest("piece", "other")).alias("leaf"),
+        F.col("path").alias("bucket"),
+        (F.col("piece") == F.col("other")).alias("own"),
+        F.col("piece").cast("int").alias("piece"),
     )
-    return [pieces.select("set_key", "leaf"), in_each.select("set_key", "leaf")]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -166,11 +171,22 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch; lists as arrays, without an object for each value."""
+    lists = {
+        f.name: (batch.column(f.name).values.to_numpy(), batch.column(f.name).offsets.to_numpy())
+        for f in batch.schema
+        if pa.types.is_list(f.type)
+    }
+    for i, row in enumerate(batch.drop_columns(list(lists)).to_pylist()):
+        yield row | {k: values[ends[i] : ends[i + 1]] for k, (values, ends) in lists.items()}
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
     """Consecutive rows of the same key."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             if held and row[key] != held[0][key]:
                 yield held
                 held = []
@@ -180,13 +196,16 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]
 
 
 def _first_here(rows: list[dict]) -> np.ndarray:
-    """Pairs of a leaf's members that share no earlier leaf."""
-    own, places = rows[0]["leaf"], {}
+    """Pairs that a leaf compares: of its two pieces, if it has two, and of no earlier bucket."""
+    bucket, places = rows[0]["bucket"], {}
     for i, r in enumerate(rows):
-        for leaf in r["leaves"]:
-            if leaf < own:
-                places.setdefault(leaf, []).append(i)
-    pending = ~np.eye(len(rows), dtype=bool)
+        for b in r["buckets"][r["buckets"] < bucket].tolist():
+            places.setdefault(b, []).append(i)
+    if rows[0]["own"]:
+        pending = ~np.eye(len(rows), dtype=bool)
+    else:
+        piece = np.array([r["piece"] for r in rows])
+        pending = piece[:, None] != piece
     for at in places.values():
         if len(at) > 1:
             pending[np.ix_(at, at)] = False
@@ -194,18 +213,22 @@ def _first_here(rows: list[dict]) -> np.ndarray:
 
 
 def _pending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of leaves with the partners to compare them with, by number within the leaf."""
-    schema = pa.schema([("leaf", pa.int64()), ("set_key", pa.int64()), ("partners", pa.list_(pa.int64()))])
+    """Members of leaves with the partners to compare them with, as bits over the ``place`` of each."""
+    schema = pa.schema(
+        [("leaf", pa.int64()), ("set_key", pa.int64()), ("place", pa.int32()), ("partners", pa.binary())]
+    )
     out = []
     for rows in _groups(batches, "leaf"):
         pairs = _first_here(rows)
         if pairs.any():
-            c = np.array([r["coordinates"] for r in rows], dtype=np.int32)
+            c = np.stack([r["coordinates"] for r in rows])
             agree = np.stack([(c == x).sum(axis=1) for x in c])
             pairs &= agree >= AGREEING
-        for i in np.flatnonzero(pairs.any(axis=1)):
-            partners = [rows[j]["set_key"] for j in np.flatnonzero(pairs[i])]
-            out.append({"leaf": rows[i]["leaf"], "set_key": rows[i]["set_key"], "partners": partners})
+        at = np.flatnonzero(pairs.any(axis=1))
+        bits = np.packbits(pairs[np.ix_(at, at)], axis=1)
+        for place, i in enumerate(at):
+            key = rows[i]["set_key"]
+            out.append({"leaf": rows[i]["leaf"], "set_key": key, "place": place, "partners": bits[place].tobytes()})
         if len(out) > 2000:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
             out = []
@@ -249,11 +272,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = []
     for rows in _groups(batches, "leaf"):
         rows.sort(key=lambda r: r["set_key"])
-        number = {r["set_key"]: i for i, r in enumerate(rows)}
-        pairs = np.zeros((len(rows), len(rows)), dtype=bool)
-        for i, r in enumerate(rows):
-            pairs[i, [number[k] for k in r["partners"] if k in number]] = True
-        sets = [shingle_set(np.array(r["words"], dtype=np.int64).view(np.uint64)) for r in rows]
+        place = [r["place"] for r in rows]
+        bits = np.stack([np.frombuffer(r["partners"], dtype=np.uint8) for r in rows])
+        pairs = np.unpackbits(bits, axis=1)[:, place].astype(bool)
+        sets = [shingle_set(r["words"].view(np.uint64)) for r in rows]
         size = np.array([len(s) for s in sets], dtype=np.float64)
         both = common_tokens(sets)
         linked = pairs & (both >= THRESHOLD * (size[:, None] + size - both) - 1e-9)
@@ -298,7 +320,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Documents with a Jaccard similarity of 0.8 or more on shingles of five
     words are linked; linked documents are of one class, named by its least
     ``key``.  ``n_links`` counts the other documents linked to a document,
-    copies included; in dense groups those it was compared with.  Texts of
+    copies included, in groups of any size.  Texts of
     fewer than five words are one shingle; NULL and wordless texts are alike to
     nothing and have the class of their own key.  Repeated rows are copies.  Columns
     of the names added are replaced; an empty table gives none.
@@ -328,14 +350,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         )
     )
     leaves = saved(_leaves(sets))
-    lists = leaves.groupBy("set_key").agg(F.collect_list("leaf").alias("leaves"))
+    lists = leaves.groupBy("set_key").agg(F.collect_set("bucket").alias("buckets"))
     members = leaves.join(
         lists.join(sets.select("set_key", "coordinates"), "set_key"), "set_key"
     )
     pending = saved(
         members.repartition("leaf")
         .sortWithinPartitions("leaf", "set_key")
-        .mapInArrow(_pending, "leaf long, set_key long, partners array<long>")
+        .mapInArrow(_pending, "leaf long, set_key long, place int, partners binary")
     )
     wanted = pending.join(sets.select("set_key", "text_key", "copies"), "set_key")
     texts = docs.select(
@@ -346,7 +368,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     verified = saved(
         wanted.join(fetched, "text_key")
         .repartition("leaf")
-        .select("leaf", "set_key", "partners", "copies", _hashed_words("text").alias("words"))
+        .select("leaf", "set_key", "place", "partners", "copies", _hashed_words("text").alias("words"))
         .sortWithinPartitions("leaf")
         .mapInArrow(_verify, "set_key long, root long, links long")
     )

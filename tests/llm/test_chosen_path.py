@@ -63,6 +63,19 @@ def test_groups_larger_than_a_leaf(spark, monkeypatch, edits):
     assert all(got[i][1] <= links[i] for i in got)
 
 
+def test_near_copies_among_texts_with_a_shared_passage(spark, monkeypatch):
+    monkeypatch.setattr(cp, "LEAF", 20)
+    r = random.Random(5)
+    prose = lambda n: " ".join(f"w{r.randrange(9000)}" for _ in range(n))
+    passage = prose(150)
+    texts = [f"{passage} {prose(45)}" for _ in range(240)]  # alike to about 0.6
+    texts += [t.rsplit(" ", 2)[0] + " " + prose(2) for t in texts[::8]]
+    got = run(spark, texts)
+    roots, links = near_classes(texts)
+    assert sum(n > 0 for n in links) == 60
+    assert [got[i] for i in range(len(texts))] == list(zip(roots, links))
+
+
 def test_recall_at_the_threshold():
     assert 1 - (1 - cp.THRESHOLD) ** cp.RUNS >= cp.RECALL
     assert cp.RUNS <= cp.COORDINATES
