@@ -5,7 +5,7 @@ is embedded by its least token under each of ``COORDINATES`` random orders: two
 sets agree in a coordinate with the probability of their Jaccard similarity,
 and then the least token is one that they share.  A run splits all sets on one
 coordinate.  A bucket that is still too large for brute force is split again on one
-or two coordinates drawn from its own path; small buckets are leaves.  Runs are repeated until a pair at the threshold meets with at least
+or two coordinates drawn from those that its path has not used; small buckets are leaves.  Runs are repeated until a pair at the threshold meets with at least
 the target recall.
 
 In a leaf the pairs that meet there for the first time are told from their
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondera.llm.common import python_tasks, saved
@@ -114,27 +114,33 @@ def _leaves(sets: DataFrame) -> DataFrame:
     own = sets.select("set_key", "coordinates")
     level = own.select(
         "set_key", F.posexplode(F.slice("coordinates", 1, RUNS)).alias("run", "value")
-    ).select("set_key", F.xxhash64("run", "value").alias("path"))
+    ).select("set_key", F.xxhash64("run", "value").alias("path"), F.expr("shiftleft(1L, run)").alias("used"))
     counts = level.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
     level = saved(level.join(counts, "path"))
     leaf = ["set_key", F.col("path").alias("leaf"), F.col("path").alias("bucket")]
     leaf += [F.lit(True).alias("own"), F.lit(0).alias("piece")]
     leaves = [level.filter(F.col("members") <= LEAF).select(*leaf)]
     large = level.filter(F.col("members") > LEAF)
-    # one coordinate or two, by chance: 1.5 on average keep more than one path of a similar pair
-    draw = lambda b: F.pmod(F.xxhash64("path", F.lit(b)), F.lit(COORDINATES)).cast("int")
-    child = lambda c: F.xxhash64("path", c, F.get("coordinates", c))
-    one, two = child(draw(0)), child(draw(1))
-    branch = F.when(draw("branches") % 2 == 0, F.array(one)).otherwise(F.array(one, two))
     for _ in range(DEPTH):
         if not large.take(1):
             return _union(leaves)
-        children = large.join(own, "set_key").select(
-            "set_key", F.col("path").alias("parent"), F.explode(F.array_distinct(branch)).alias("path")
+        sizes = large.groupBy("path").agg(F.count("*").alias("size"), F.min("used").alias("used"))
+        # one coordinate or two, by chance: 1.5 on average keep more than one path of a similar pair
+        number = F.pmod(F.xxhash64("path", F.lit("branches")), F.lit(2)).cast("int") + 1
+        sizes = saved(sizes.withColumn("drawn", F.slice(unused("path", "used"), 1, number)))
+        child = lambda c: F.struct(
+            F.xxhash64("parent", c, F.get("coordinates", c)).alias("path"),
+            F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c)).alias("used"),
         )
-        counts = children.groupBy("parent", "path").agg(F.count("*").alias("members"))
-        sizes = large.groupBy(F.col("path").alias("parent")).agg(F.count("*").alias("size"))
-        counts = saved(counts.join(sizes, "parent"))
+        children = (
+            large.select("set_key", "path")
+            .join(sizes, "path")
+            .withColumnRenamed("path", "parent")
+            .join(own, "set_key")
+            .select("set_key", "parent", "size", F.explode(F.transform("drawn", child)).alias("child"))
+            .select("set_key", "parent", "size", "child.*")
+        )
+        counts = saved(children.groupBy("parent", "path", "size").agg(F.count("*").alias("members")))
         dense = counts.groupBy("parent").agg(
             (F.max(F.col("members") / F.col("size")) > DENSE).alias("dense")
         )
@@ -142,13 +148,23 @@ def _leaves(sets: DataFrame) -> DataFrame:
         leaves.append(_pieces(large.join(alike, "path", "left_semi")))
         split = counts.join(dense.filter("NOT dense"), "parent").filter("members > 1")
         level = saved(
-            children.join(split.select("parent", "path", "members"), ["parent", "path"]).drop("parent")
+            children.select("set_key", "path", "used").join(split.select("path", "members"), "path")
         )
         leaves.append(level.filter(F.col("members") <= LEAF).select(*leaf))
         large = level.filter(F.col("members") > LEAF)
     return _union([*leaves, _pieces(large)])
 
 
+def unused(path: str, used: str) -> Column:
+    """The coordinates whose bit of ``used`` is not set, in an order drawn from the path."""
+    left = F.filter(
+        F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
+        lambda c: F.col(used).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), c)) == 0,
+    )
+    drawn = F.transform(left, lambda c: F.struct(F.xxhash64(path, c).alias("h"), c.alias("c")))
+    return F.transform(F.array_sort(drawn), lambda x: x["c"])
+
+
 def _pieces(buckets: DataFrame) -> DataFrame:
     """Dense buckets as leaves: each piece by itself, and each two pieces together."""
     number = F.ceil(F.col("members") / (PIECE * LEAF)).cast("int")

@@ -11,6 +11,9 @@ from sondera.llm import chosen_path as cp
 SCHEMA = "doc_id long, text string, class_id string"
 
 
+pieces = cp._pieces
+
+
 def run(spark, texts):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
     out = cp.near_duplicates(df)
@@ -76,6 +79,23 @@ def test_near_copies_among_texts_with_a_shared_passage(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == list(zip(roots, links))
 
 
+def test_no_split_reuses_a_coordinate(spark):
+    r = random.Random(8)
+    rows = [(p, sum(1 << c for c in r.sample(range(cp.COORDINATES), p % 12))) for p in range(300)]
+    got = spark.createDataFrame(rows, "path long, used long").withColumn("drawn", cp.unused("path", "used")).collect()
+    for x in got:
+        assert sorted(x.drawn) == [c for c in range(cp.COORDINATES) if not x.used >> c & 1]
+    assert len({x.drawn[0] for x in got}) == cp.COORDINATES
+
+
+def test_unlike_sets_are_never_dense(spark, monkeypatch):
+    monkeypatch.setattr(cp, "LEAF", 30)
+    monkeypatch.setattr(cp, "_pieces", lambda b: pytest.fail("dense") if b.take(1) else pieces(b))
+    r = random.Random(12)
+    rows = [(i, [r.randrange(3) for _ in range(cp.COORDINATES)]) for i in range(900)]
+    cp._leaves(spark.createDataFrame(rows, "set_key long, coordinates array<int>")).count()
+
+
 def test_recall_at_the_threshold():
     assert 1 - (1 - cp.THRESHOLD) ** cp.RUNS >= cp.RECALL
     assert cp.RUNS <= cp.COORDINATES
