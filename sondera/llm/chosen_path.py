@@ -4,9 +4,11 @@ Texts of the same shingle set form a *class of copies*, handled as one.  A set
 is embedded by its least token under each of ``COORDINATES`` random orders: two
 sets agree in a coordinate with the probability of their Jaccard similarity,
 and then the least token is one that they share.  A run splits all sets on one
-coordinate.  A bucket that is still too large for brute force is split again on one
-or two coordinates drawn from those that its path has not used; small buckets are leaves.  Runs are repeated until a pair at the threshold meets with at least
-the target recall.
+coordinate.  A bucket that is still too large for brute force is split again on each of
+``BRANCHES`` coordinates drawn from those that its path has not used; small
+buckets are leaves.  A split loses some pairs, and its branches make up for it:
+branches and runs are such that a pair at the threshold meets with at least the
+target recall, however often its buckets are split.
 
 In a leaf the pairs that meet there for the first time are told from their
 coordinates; then their texts are fetched and their true similarity computed.
@@ -31,16 +33,36 @@ from sondera.llm.common import python_tasks, saved
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 COORDINATES, LEAF, DEPTH = 32, 200, 8
-#: A bucket of which a child holds more than this share is dense: its sets are alike.
-DENSE = 0.7
+#: Coordinates on which a bucket is split at once.
+BRANCHES = 3
+#: A bucket of which a child holds more than this share is dense: splitting it would not leave fewer pairs.
+DENSE = BRANCHES**-0.5
 #: Sets in a piece of a dense bucket, as a multiple of LEAF; a leaf of it holds two pieces.
 PIECE = 2
 #: Sets alike to the threshold agree in fewer coordinates once in 30,000 times.
 AGREEING = math.floor(
     COORDINATES * THRESHOLD - 4 * math.sqrt(COORDINATES * THRESHOLD * (1 - THRESHOLD))
 )
-#: Chance of a pair at the threshold to miss all runs: (1 - THRESHOLD) ** RUNS.
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD))
+
+
+def recall(runs: int, depth: int) -> float:
+    """Chance of a pair at the threshold to meet, if each of its buckets is split ``depth`` times.
+
+    The pair agrees in a binomial number of coordinates; ``kept`` is its chance
+    to share a leaf below a bucket that it shares.
+    """
+    total = 0.0
+    for k in range(COORDINATES + 1):
+        agree, kept = k / COORDINATES, 1.0
+        for _ in range(depth):
+            kept = 1 - (1 - agree * kept) ** BRANCHES
+        chance = math.comb(COORDINATES, k) * THRESHOLD**k * (1 - THRESHOLD) ** (COORDINATES - k)
+        total += chance * (1 - (1 - agree * kept) ** runs)
+    return total
+
+
+#: As many as reach the recall at every depth.
+RUNS = next(n for n in range(1, COORDINATES + 1) if min(recall(n, d) for d in range(DEPTH + 1)) >= RECALL)
 
 _RNG = np.random.default_rng(23)
 _ORDERS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -125,9 +147,7 @@ def _leaves(sets: DataFrame) -> DataFrame:
         if not large.take(1):
             return _union(leaves)
         sizes = large.groupBy("path").agg(F.count("*").alias("size"), F.min("used").alias("used"))
-        # one coordinate or two, by chance: 1.5 on average keep more than one path of a similar pair
-        number = F.pmod(F.xxhash64("path", F.lit("branches")), F.lit(2)).cast("int") + 1
-        sizes = saved(sizes.withColumn("drawn", F.slice(unused("path", "used"), 1, number)))
+        sizes = saved(sizes.withColumn("drawn", F.slice(unused("path", "used"), 1, BRANCHES)))
         child = lambda c: F.struct(
             F.xxhash64("parent", c, F.get("coordinates", c)).alias("path"),
             F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c)).alias("used"),

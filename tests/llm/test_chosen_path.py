@@ -96,6 +96,23 @@ def test_unlike_sets_are_never_dense(spark, monkeypatch):
     cp._leaves(spark.createDataFrame(rows, "set_key long, coordinates array<int>")).count()
 
 
+def test_recall_in_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(cp, "LEAF", 20)
+    r = random.Random(3)
+    rows = []
+    for i in range(800):  # pairs at the threshold, in buckets of hundreds that need three splits
+        c = [r.randrange(3) for _ in range(cp.COORDINATES)]
+        rows.append((2 * i, c))
+        rows.append((2 * i + 1, [x if r.random() < cp.THRESHOLD else (x + r.choice([1, 2])) % 3 for x in c]))
+    leaves = cp._leaves(spark.createDataFrame(rows, "set_key long, coordinates array<int>"))
+    buckets = {}
+    for x in leaves.select("set_key", "bucket").distinct().collect():
+        buckets.setdefault(x.set_key, set()).add(x.bucket)
+    met = sum(bool(buckets.get(2 * i, set()) & buckets.get(2 * i + 1, set())) for i in range(800))
+    assert met >= 0.99 * 800
+    assert all(cp.recall(cp.RUNS, d) >= cp.RECALL for d in range(cp.DEPTH + 1))
+
+
 def test_recall_at_the_threshold():
     assert 1 - (1 - cp.THRESHOLD) ** cp.RUNS >= cp.RECALL
     assert cp.RUNS <= cp.COORDINATES
