@@ -11,13 +11,16 @@ Everything runs as column expressions, aggregations and joins.
    ``RADIUS`` bits differ in at most a fourth of that in some block; so each
    item is filed, block by block, under all values within that distance, and a
    lookup by block value finds every fingerprint within the radius.
-4. Pairs found are compared exactly: sum of the lesser over sum of the greater
+4. Some pairs at the limit differ in more bits.  A window at the limit holds
+   that share of the item's weight; so it holds one of any shingles that weigh
+   more than the rest.  The rarest such shingles of each item find these pairs.
+5. Pairs found are compared exactly: sum of the lesser over sum of the greater
    weights.  A shingle weighs its letters times its occurrences.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondera.llm.common import let, saved
@@ -106,6 +109,27 @@ def text_key(text: Column | str) -> list[Column]:
     return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2")]
 
 
+def _weight(weighted: str) -> Column:
+    return F.expr(f"aggregate({weighted}, 0L, (_sum, _s) -> _sum + _s.w)")
+
+
+def rare_shingles(bench: DataFrame, least: float) -> DataFrame:
+    """``item_id, h, item_weight``: the shingles, rare in all items, of which a window at ``least`` holds one."""
+    own = (
+        bench.select("item_id", F.xxhash64("item").alias("body"), _weight("item").alias("item_weight"), F.explode("item"))
+        .groupBy("item_id", "body", "item_weight", F.col("col.h").alias("h"))
+        .agg(F.sum("col.w").alias("w"))
+    )
+    items = own.groupBy("h").agg(F.count("*").alias("items"))
+    before = Window.partitionBy("item_id", "body").orderBy("items", "h").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        own.join(items, "h")
+        .withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
+        .filter(F.col("before") <= (1 - least) * F.col("item_weight") + 1e-9)
+        .select("item_id", "h", "item_weight")
+    )
+
+
 def _windows(body: DataFrame, index: DataFrame) -> DataFrame:
     """``_k1, _k2, start, n, window`` (words): windows that share a shingle with the index.
 
@@ -189,10 +213,18 @@ def matches(
         .join(filed.hint("merge"), ["b", "v"])
         .filter(F.bit_count(F.col("own_print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
         .select("content", "item_id")
-        .distinct()
+    )
+    weight, item_weight = F.col("own_weight"), F.col("item_weight")
+    sharing = (
+        contents.select("content", _weight("own").alias("own_weight"), F.explode("own.h").alias("h"))
+        .join(rare_shingles(bench, least), "h")
+        .filter(F.least(weight, item_weight) >= least * F.greatest(weight, item_weight) - 1e-6)
+        .select("content", "item_id")
     )
     found = (
-        close.join(contents.select("content", "own"), "content")
+        close.unionByName(sharing)
+        .distinct()
+        .join(contents.select("content", "own"), "content")
         .join(bench.select("item_id", "item"), "item_id")
         .withColumn("similarity", similarity("own", "item"))
         .filter(F.col("similarity") >= least)

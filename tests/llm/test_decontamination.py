@@ -132,3 +132,16 @@ def test_a_very_long_text(spark):
     docs = spark.createDataFrame([(1, f"{far} {item} {far}")], "doc_id long, text string")
     items = spark.createDataFrame([(5, item)], "item_id long, text string")
     assert [tuple(x) for x in dc.contaminated(docs, items).collect()] == [(1, 5, 150_000, 1.0)]
+
+
+def test_windows_just_above_the_limit(spark):
+    r = random.Random(11)
+    make = lambda n: [f"w{r.randrange(10**5)}" for _ in range(n)]
+    items = [make(r.randint(22, 26)) for _ in range(150)]
+    docs = [" ".join(make(10) + w[:-2] + make(12)) for w in items]  # two words cut
+    data = list(enumerate(docs)), [(i, " ".join(w)) for i, w in enumerate(items)]
+    want = brute(*data)
+    assert len(want) > 100 and max(want.values()) < 0.87
+    docs = spark.createDataFrame(data[0], "doc_id long, text string")
+    found = dc.contaminated(docs, spark.createDataFrame(data[1], "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == set(want)
