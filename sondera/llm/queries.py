@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondera.llm import (
+    bond_negatives,
     bpe_counts,
     chat_windows,
     chosen_path,
@@ -18,6 +19,7 @@ from sondera.llm import (
     packing,
     quality_model,
     suffix_dedup,
+    voronoi_join,
 )
 from sondera.llm.common import python_tasks, table
 from sondera.llm.sql import SQL
@@ -123,6 +125,17 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(docs, labels, train="NOT held_out")
 
 
+def op12_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return voronoi_join.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
+
+
+def op13_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return bond_negatives.hard_negatives(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_curriculum_mix": op2_curriculum_mix,
@@ -134,5 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_windows": op8_chat_windows,
     "op9_packing": op9_packing,
     "op10_quality_model": op10_quality_model,
+    "op12_voronoi_join": op12_voronoi_join,
+    "op13_bond_negatives": op13_bond_negatives,
 }
 __all__ = ["QUERIES", "SQL"]

@@ -182,10 +182,53 @@ SELECT doc_id, least(doc_id, coalesce(least, doc_id)) AS class_id, coalesce(n, 0
 FROM documents LEFT JOIN classes c ON c.a = doc_id LEFT JOIN degrees g ON g.a = doc_id
 """
 
+_VECTORS = """
+v AS (
+    SELECT vec_id, label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS f
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+)"""
+
+VORONOI_JOIN = f"""
+WITH {_VECTORS}, scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.f, c.f) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored
+)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5
+"""
+
+BOND_NEGATIVES = f"""
+WITH {_VECTORS}, marked AS (
+    SELECT vec_id, f, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+    FROM v WHERE label IS NOT NULL
+), scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same,
+        CAST(list_inner_product(a.f, c.f) AS BIGINT) AS score
+    FROM marked a JOIN marked c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id
+), positives AS (
+    SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM scored WHERE same
+    ) WHERE n <= 5
+), negatives AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score,
+        n.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS n
+    FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+        AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE n <= 3
+"""
+
 SQL = {
     "op2_curriculum_mix": CURRICULUM_MIX,
     "op3_decontamination": DECONTAMINATION,
     "op4_line_frequency": LINE_FREQUENCY,
     "op5_suffix_dedup": SUFFIX_DEDUP,
     "op7_chosen_path": CHOSEN_PATH,
+    "op12_voronoi_join": VORONOI_JOIN,
+    "op13_bond_negatives": BOND_NEGATIVES,
 }
