@@ -18,6 +18,7 @@ from sondera.llm import (
     line_frequency,
     packing,
     quality_model,
+    spelling_variants,
     suffix_dedup,
     voronoi_join,
 )
@@ -125,6 +126,10 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(docs, labels, train="NOT held_out")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return voronoi_join.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
@@ -147,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_windows": op8_chat_windows,
     "op9_packing": op9_packing,
     "op10_quality_model": op10_quality_model,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_voronoi_join": op12_voronoi_join,
     "op13_bond_negatives": op13_bond_negatives,
 }

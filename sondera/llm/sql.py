@@ -223,12 +223,68 @@ SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive
 FROM negatives WHERE n <= 3
 """
 
+
+def _crc_rest(i: int, polynomial: int = 0xEDB88320) -> int:
+    for _ in range(4):
+        i = i >> 1 ^ (polynomial if i & 1 else 0)
+    return i
+
+
+def _crc_half(value: str) -> str:
+    """SQL for four bits of crc32; DuckDB has no such function."""
+    rests = ", ".join(f"{_crc_rest(i)}::BIGINT" for i in range(16))
+    return f"xor([{rests}][1 + (({value}) & 15)], ({value}) >> 4)"
+
+
+SPELLING_VARIANTS = rf"""
+WITH RECURSIVE runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+        translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents)
+), counted AS (
+    SELECT run, count(*) AS c, hex(encode(doc || ':' || run)) AS b FROM runs GROUP BY doc, run
+), hashed AS (
+    SELECT run, c, xor(4294967295::BIGINT, list_reduce(
+        [4294967295::BIGINT] || [CAST('0x' || b[2 * i - 1 : 2 * i] AS BIGINT) FOR i IN range(1, len(b) // 2 + 1)],
+        lambda v, x: {_crc_half(_crc_half("xor(v, x)"))})) AS h
+    FROM counted
+), slipped AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c
+    FROM hashed
+), v AS (
+    SELECT word, CAST(sum(c) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), shorter AS (
+    SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+    SELECT a.word, b.word AS near FROM shorter a JOIN shorter b USING (i, rest) WHERE a.word <> b.word
+    UNION SELECT shorter.word, v.word FROM shorter JOIN v ON rest = v.word
+    UNION SELECT v.word, shorter.word FROM shorter JOIN v ON rest = v.word
+), ranked AS (
+    SELECT near.word, near, m.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+        row_number() OVER (PARTITION BY near.word ORDER BY m.n DESC, near) AS r
+    FROM near JOIN v m ON m.word = near
+), formed AS (
+    SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form,
+        CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n
+    FROM v LEFT JOIN ranked r ON r.word = v.word AND r.r = 1
+), path AS (
+    SELECT word, form AS root FROM formed WHERE form IS NOT NULL
+    UNION ALL
+    SELECT path.word, f.form FROM path JOIN formed f ON f.word = path.root WHERE f.form IS NOT NULL
+), ends AS (
+    SELECT path.word, path.root FROM path JOIN formed f ON f.word = path.root WHERE f.form IS NULL
+)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN ends USING (word)
+"""
+
 SQL = {
     "op2_curriculum_mix": CURRICULUM_MIX,
     "op3_decontamination": DECONTAMINATION,
     "op4_line_frequency": LINE_FREQUENCY,
     "op5_suffix_dedup": SUFFIX_DEDUP,
     "op7_chosen_path": CHOSEN_PATH,
+    "op11_spelling_variants": SPELLING_VARIANTS,
     "op12_voronoi_join": VORONOI_JOIN,
     "op13_bond_negatives": BOND_NEGATIVES,
 }

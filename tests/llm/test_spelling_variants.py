@@ -1,0 +1,143 @@
+"""Near words and forms against plain Python."""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from sondera.llm import spelling_variants as sv
+from sondera.llm.spelling_variants import ReadingIndex, near_words, spelling_variants, with_one_error
+
+
+def edits(a, b):
+    """Whether two different words differ by one edit."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def plain_words(docs):
+    n = Counter()
+    for doc_id, text in docs:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 97 == 0:
+                i = h % len(run)
+                run = run[:i] + run[i + 1 :]
+            n[run] += 1
+    return {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+
+
+def plain(docs):
+    n = plain_words(docs)
+    near = {w: [v for v in n if edits(w, v)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n.get(form[w])))
+    return sorted(out)
+
+
+def random_words(rng, n, letters="abcé", longest=9):
+    return sorted({"".join(rng.choice(list(letters), int(rng.integers(5, longest)))) for _ in range(n)})
+
+
+def test_index_reads_words():
+    words = random_words(np.random.default_rng(2), 300)
+    index = ReadingIndex(words)
+    for w in words[:40]:
+        lo, hi = np.array([0]), np.array([index.words])
+        for i, c in enumerate(w):
+            code = np.searchsorted(index.letters, ord(c)) + 1
+            lo, hi = index.read(lo, hi, np.array([code]))
+            assert hi[0] - lo[0] == sum(x.startswith(w[: i + 1]) for x in words)
+        lo, hi = index.read(lo, hi, np.array([0]))
+        assert hi[0] - lo[0] == 1 and words[index.word_at[lo[0]]] == w
+
+
+def test_one_error_after_the_exact_part():
+    rng = np.random.default_rng(4)
+    words, asked = random_words(rng, 1500), random_words(rng, 150, "abcéx")
+    exact = np.array([len(w) // 2 for w in asked])
+    a, b = with_one_error(ReadingIndex(words), asked, exact)
+    found = {(asked[i], words[j]) for i, j in zip(a, b)}
+    expected = set()
+    for w in asked:
+        h = len(w) // 2
+        left, right = w[:h], w[h:]
+        for v in words:
+            if v.startswith(left) and v != w:
+                rest = v[h:]
+                same = len(rest) == len(right) and sum(x != y for x, y in zip(rest, right)) == 1
+                fewer = len(rest) == len(right) - 1 and any(right[:i] + right[i + 1 :] == rest for i in range(len(right)))
+                more = len(rest) == len(right) + 1 and any(rest[:i] + rest[i + 1 :] == right for i in range(len(rest)))
+                if same or fewer or more:
+                    expected.add((w, v))
+    assert found == expected and len(expected) > 20
+
+
+@pytest.mark.parametrize("group", [10_000, 40, 7])
+def test_near_words(spark, group):
+    words = random_words(np.random.default_rng(6), 250) + ["zzzzz", "q" * 400, "q" * 399 + "r", "abcab" * 30]
+    df = spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, n long")
+    got = {(r["word"], r["near"], r["near_n"]) for r in near_words(df, group).collect()}
+    assert got == {(v, w, i + 1) for v in words for i, w in enumerate(words) if edits(v, w)}
+    assert near_words(df, group).count() == len(got)
+
+
+def test_groups_stay_bounded(spark, monkeypatch):
+    """All words share prefix and suffix: the bucket is cut into pieces, and nothing is lost."""
+    words = [f"aa{x}{y}{z}aaa" for x in "bcdefgh" for y in "bcdefgh" for z in "bcdefgh"]
+    df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+    assert near_words(df, 50).count() == len(words) * 18
+
+
+def documents():
+    rng = np.random.default_rng(8)
+    words = random_words(rng, 120, "abcd", 8) + ["Straße", "ÀÉÎÕÜ", "naïve×naïve", "short", "tiny"]
+    weights = rng.pareto(1.0, len(words)) + 0.01
+    docs = [(i, " ".join(rng.choice(words, int(rng.integers(1, 200)), p=weights / weights.sum()))) for i in range(150)]
+    docs += [(None, docs[0][1]), (5, docs[5][1]), (900, None), (901, ""), (902, "123 ... !"), (903, "Hello,HELLO hello-Hello " * 3000)]
+    return docs
+
+
+def test_same_as_plain(spark):
+    docs = documents()
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, word string, n int")
+    found = spelling_variants(df, group=30)
+    assert found.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    got, expected = sorted(map(tuple, found.collect()), key=str), sorted(plain(docs), key=str)
+    assert got == expected
+    assert sum(r[1] is not None for r in expected) > 20 and any(r[1] != r[2] for r in expected if r[1])
+
+
+def test_slips_are_applied():
+    docs = documents()
+    runs = {(d, r.lower()) for d, t in docs for r in re.findall(r"[A-Za-z]+", t or "")}
+    assert any(zlib.crc32(f"{d}:{r}".encode()) % 97 == 0 for d, r in runs)
+
+
+def test_roots_follow_long_chains(spark):
+    chain = [(f"w{i}", f"w{i + 1}") for i in range(37)]
+    got = {r["word"]: r["root"] for r in sv.roots(spark.createDataFrame(chain, "word string, form string")).collect()}
+    assert got == {f"w{i}": "w37" for i in range(37)}
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert spelling_variants(df).collect() == []
+    assert spelling_variants(spark.createDataFrame([(1, "once only here")], "doc_id long, text string")).collect() == []
