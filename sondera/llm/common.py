@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -37,16 +38,36 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_OWN_FOLDER: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once to the folder of spark.checkpoint.dir and read back.
 
-    Lost executors then cost a read and not a recomputation.  Where the setting
-    is missing (tests, a notebook) a folder of this machine is put in its place.
+    Lost executors then cost a read and not a recomputation.  Without that setting a session
+    of one machine (tests, a notebook) uses a temporary folder; on a cluster, whose
+    executors don't share one, this fails.  The session's settings stay as they are.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sondera-"))
-    return cut_lineage(df)
+    master = spark.sparkContext.master
+    alone = master == "local" or master.startswith("local[")
+    if spark.conf.get("spark.checkpoint.dir", None) or not alone:
+        return cut_lineage(df)
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="sondera-"))
+    path = f"{_OWN_FOLDER[0]}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written_order() -> list[Column]:
+    """Where a row stands in the Parquet files of a table that Spark wrote: part, file, row.
+
+    For a table that was range-sorted before it was written this is its order.
+    """
+    file = F.col("_metadata.file_name")
+    part = F.regexp_extract(file, r"part-(\d+)", 1).cast("int")
+    return [part.alias("_part"), file.alias("_file"), F.col("_metadata.row_index").alias("_at")]
 
 
 _SHIPPED: set[str] = set()

@@ -4,12 +4,13 @@ Sizes are words.  Each source's target follows from its weight, but stops at
 ``most`` times its size; what it leaves is shared by the others by weight.  A
 document is taken a whole number of times.  Every source has a schedule, its
 weight over the course of training; the integral of the schedule is the
-cumulative demand for its words, and the training position of a copy is where
-the demand reaches the words placed before it.  Range-sorting by position
-gives the training order.
+cumulative demand for its words.  The words taken of a source are numbered, pass
+after pass, and the training position of a copy is where the demand reaches the
+number of its middle word.  Range-sorting by position gives the training order.
 
-Prefix sums run in two steps: totals by (source, class, bucket) and inside a
-bucket, so a source with a third of all rows is spread over the buckets.
+Prefix sums run in two steps: totals by (source, bucket) and inside a bucket, so a
+source with a third of all rows is spread over the buckets.  Sources are numbered
+by a range sort, and the level of the targets is found by aggregations over them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondera.llm.common import saved, word_count
+from sondera.llm.common import saved, word_count, written_order
 
 #: Knots (time, weight) of the schedules that sources take in turn; each integrates to 1.
 SCHEDULES = (
@@ -48,61 +49,90 @@ def inverse_demand(share: Column, knots: Sequence[tuple[float, float]]) -> Colum
     return when
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``turn``, their number from 0 by code point, NULL last."""
+    by_name = F.col("source").asc_nulls_last()
+    ordered = saved(sources.repartitionByRange(by_name).sortWithinPartitions(by_name))
+    placed = ordered.select("*", *written_order())
+    # a row for each file that the range sort wrote
+    before = W.orderBy("_part", "_file").rowsBetween(W.unboundedPreceding, -1)
+    files = (
+        placed.groupBy("_part", "_file")
+        .agg(F.count("*").alias("_rows"))
+        .select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    )
+    return placed.join(F.broadcast(files), "_file").select(
+        *sources.columns, (F.col("_before") + F.col("_at")).alias("turn")
+    )
+
+
+def water_level(sources: DataFrame, most: int) -> float:
+    """The level at which targets of level x weight, stopped at ``most`` x size, sum up to all sizes.
+
+    Each step shares by weight among the sources below their limit what the others
+    leave, and ends when none is above; a step is one aggregation.
+    """
+    level, full = 0.0, -1
+    while True:
+        stopped = level * F.col("weight") > most * F.col("source_size")
+        r = sources.agg(
+            F.sum("source_size"),
+            F.sum(F.when(stopped, most * F.col("source_size"))),
+            F.sum(F.when(~stopped, F.col("weight"))),
+            F.count(F.when(stopped, True)),
+        ).first()
+        if not r[0] or not r[2] or r[3] == full:
+            return level
+        level, full = (r[0] - (r[1] or 0)) / r[2], r[3]
+
+
 def source_targets(
     sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3
 ) -> DataFrame:
     """One row per source: ``source_size``, ``n_docs``, ``turn``, ``target``.
 
-    Sources go by code point, NULL last, and take the weights in turn.  With
-    sources in order of the level at which they reach their limit, the final
-    level is that of the first one that stays below it.  The table has a row
-    per source, and only its windows run in one task.
+    Sources go by code point, NULL last, and take the weights in turn.
     """
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("turn") % len(weights) + 1).cast("int"))
-    totals = (
-        sized.groupBy("source")
-        .agg(
-            F.sum(F.col("size") * F.col("rows")).alias("source_size"),
-            F.sum("rows").alias("n_docs"),
-        )
-        .withColumn("turn", F.row_number().over(by_name) - 1)
-        .withColumn("weight", weight)
-    )
-    full = most * F.col("source_size") / F.col("weight")
-    order = W.orderBy("full", "turn").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy()
-    level = (
-        F.sum("source_size").over(whole)
-        - (F.sum(most * F.col("source_size")).over(order) - most * F.col("source_size"))
-    ) / (F.sum("weight").over(whole) - F.sum("weight").over(order) + F.col("weight"))
-    return (
-        totals.withColumn("full", full)
-        .withColumn("level", level)
-        .withColumn("level", F.max(F.when(F.col("level") <= F.col("full"), F.col("level"))).over(whole))
-        .withColumn(
-            "target",
-            F.least(
-                (most * F.col("source_size")).cast("double"),
-                F.coalesce("level", F.lit(0.0)) * F.col("weight"),
-            ),
-        )
-        .select("source", "source_size", "n_docs", "turn", "target")
+    totals = sized.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n_docs")
     )
+    sources = saved(numbered(totals).withColumn("weight", weight))
+    level = water_level(sources, most)
+    target = F.least((most * F.col("source_size")).cast("double"), F.lit(level) * F.col("weight"))
+    return sources.select("source", "source_size", "n_docs", "turn", target.alias("target"))
+
+
+def _running(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """``df`` with the sums of the rows before each (``name``) and of its whole source (``all_name``), in order of ``_order``."""
+    by_bucket = W.partitionBy("turn").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("turn", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("turn")
+    buckets = df.groupBy("turn", "_bucket").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
+    for n in sums:
+        buckets = buckets.withColumns(
+            {f"_ahead_{n}": F.coalesce(F.sum(f"_sum_{n}").over(by_bucket), F.lit(0)), f"all_{n}": F.sum(f"_sum_{n}").over(whole)}
+        ).drop(f"_sum_{n}")
+    own = df.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    joined = own.join(buckets, ["turn", "_bucket"])
+    return joined.withColumns({n: F.col(n) + F.col(f"_ahead_{n}") for n in sums}).drop(*[f"_ahead_{n}" for n in sums])
 
 
 def mix(docs: DataFrame, text: str = "text", weights: Sequence[int] = WEIGHTS, most: int = 3) -> DataFrame:
     """What the mix takes of each document (``doc_id``, ``source``, ``text``).
 
     One row per (doc_id, source, size) with ``rows`` (equal ones among the
-    documents; they share the decision), ``source_size``, ``target``,
+    documents; they share the decision and the positions), ``source_size``, ``target``,
     ``copies``, ``taken`` and the ``positions`` of the copies, 0 to 1.
 
     Every document is taken floor(target / source size) times.  The words still
     missing come once more from the documents above the mean size, in order of
     the md5 of the id up to their part, and then from the others, so a source
     misses its target by no more than half a document of mean size, if its
-    small documents hold enough.  NULL texts have size 0 and no words to take; NULL ids
+    small documents hold enough.  The copies of a source follow each other pass by pass
+    in that order, and the last, partial pass holds its own documents alone: a
+    copy whose middle is word k of all n words taken stands where the integral of the schedule
+    reaches k / n.  NULL texts have size 0 and no words to take; NULL ids
     and sources are values like others; an empty table gives none.  Reruns agree.
     """
     sized = saved(
@@ -111,53 +141,37 @@ def mix(docs: DataFrame, text: str = "text", weights: Sequence[int] = WEIGHTS, m
         .agg(F.count("*").alias("rows"))
     )
     sources = saved(source_targets(sized, weights, most))
+    few = sources.limit(100_001).count() <= 100_000
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    large, words = F.col("_large"), F.col("_words")
     placed = (
-        sized.join(F.broadcast(sources) if sources.limit(100_001).count() <= 100_000 else sources,
-                   sized["source"].eqNullSafe(sources["source"]))
+        sized.join(F.broadcast(sources) if few else sources, sized["source"].eqNullSafe(sources["source"]))
         .drop(sources["source"])
         .withColumn("_large", F.col("size") * F.col("n_docs") > F.col("source_size"))
         .withColumn("_words", F.col("size") * F.col("rows"))
         .withColumn("_order", order)
         .withColumn("_bucket", F.substring("_order", 1, 3))
     )
-    group = ["source", "_large", "_bucket"]
-    before = W.partitionBy("source", "_large").orderBy("_bucket")
-    whole = W.partitionBy("source", "_large")
-    buckets = (
-        placed.groupBy(*group)
-        .agg(F.sum("_words").alias("_in_bucket"))
-        .withColumn("_ahead", F.sum("_in_bucket").over(before) - F.col("_in_bucket"))
-        .withColumn("_in_class", F.sum("_in_bucket").over(whole))
-        .select(F.struct(F.coalesce("source", F.lit("")), F.col("source").isNull(), "_large", "_bucket").alias("_group"),
-                "_ahead", "_in_class")
-    )
-    inside = W.partitionBy("_group").orderBy("_order", "doc_id", "size")
-    inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    zero = F.lit(0).cast("long")
     summed = saved(
-        placed.withColumn("_group", F.struct(F.coalesce("source", F.lit("")), F.col("source").isNull(), "_large", "_bucket"))
-        .withColumn("_run", F.sum("_words").over(inside) - F.col("_words"))
-        .join(buckets, "_group")
-        .withColumn("_ahead", F.col("_ahead") + F.col("_run"))
+        _running(placed, {"large": F.when(large, words).otherwise(zero), "small": F.when(~large, words).otherwise(zero)})
         .withColumn("_passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("_more", F.col("target") - F.col("_passes") * F.col("source_size"))
-        .drop("_group", "_run", "_bucket", "_order")
     )
-    middle = F.col("_ahead") + F.col("_words") / 2
-    part = F.col("_more") * F.col("_in_class") / F.col("source_size")
-    first = F.col("_large") & (middle <= part)
-    large = summed.filter(first).groupBy("source").agg(F.sum("_words").alias("_from_large"))
-    large = large.withColumnRenamed("source", "_source")
-    decided = summed.join(large, summed["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
+    # the partial pass: large documents up to their part, then small ones up to the rest
+    first = large & (F.col("large") + words / 2 <= F.col("_more") * F.col("all_large") / F.col("source_size"))
+    from_large = summed.filter(first).groupBy("turn").agg(F.sum("_words").alias("_from_large"))
     rest = F.col("_more") - F.coalesce("_from_large", F.lit(0))
-    extra = F.when(F.col("_words") == 0, False).when(F.col("_large"), first).otherwise(middle <= rest)
-    at = middle / F.col("_in_class")
-    share = lambda j: F.when(
-        j < F.col("_passes"), (j + at) * F.col("source_size") / F.col("target")
-    ).otherwise((F.col("_passes") * F.col("source_size") + at * F.col("_more")) / F.col("target"))
+    extra = F.when(words == 0, False).when(large, first).otherwise(F.col("small") + words / 2 <= rest)
+    decided = summed.join(F.broadcast(from_large) if few else from_large, "turn", "left").withColumn("_extra", extra)
+    counted = _running(decided, {"extra": F.when(F.col("_extra"), words).otherwise(zero)})
+    size = F.col("source_size")
+    begin = lambda j: F.when(j < F.col("_passes"), j * size + F.col("large") + F.col("small")).otherwise(
+        F.col("_passes") * size + F.col("extra")
+    )
 
     def position(j: Column) -> Column:
-        q = F.least(share(j), F.lit(1.0))
+        q = (begin(j) + words / 2) / (F.col("_passes") * size + F.col("all_extra"))
         kinds = [inverse_demand(q, k) for k in SCHEDULES]
         out = kinds[0]
         for i, t in enumerate(kinds[1:], 1):
@@ -165,7 +179,7 @@ def mix(docs: DataFrame, text: str = "text", weights: Sequence[int] = WEIGHTS, m
         return out
 
     return (
-        decided.withColumn("copies", F.when(F.col("_words") == 0, 0).otherwise(F.col("_passes") + extra.cast("int")).cast("int"))
+        counted.withColumn("copies", F.when(words == 0, 0).otherwise(F.col("_passes") + F.col("_extra").cast("int")).cast("int"))
         .withColumn("taken", F.col("size") * F.col("copies"))
         .withColumn(
             "positions",
@@ -179,8 +193,9 @@ def mix(docs: DataFrame, text: str = "text", weights: Sequence[int] = WEIGHTS, m
 def training_order(docs: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` as often as the mix takes them, in order of position; the columns of ``docs``.
 
-    Documents that the mix doesn't take are left out.  Rows are range-sorted by position over the
-    partitions, ties by doc_id.
+    Documents that the mix doesn't take are left out, so NULL and wordless texts are; NULL
+    ids and sources are found as values like others, and repeated rows are taken each.  Rows
+    are range-sorted by position over the partitions, ties by doc_id; an empty table gives none.
     """
     names = [f"_{k}" for k in KEY]
     plan = mixed.filter("copies > 0").select(

@@ -1,9 +1,10 @@
 """Token ids packed into rows of one length, best fit decreasing.
 
-Documents are dealt to shards of bounded size by a hash, so a shard fits in a
-task and every row of the matrix belongs to one shard.  Within a shard the
-pieces go from long to short, each to the row with the least room that holds
-it.  A segment tree over the amounts of room finds that row in log(length)
+Documents are dealt to shards of bounded size, so a shard fits in a task and every
+row of the matrix belongs to one shard.  Without an order they are dealt by a hash; with
+one, shards are cut from the documents in that order, and follow each other in it.
+Within a shard the pieces go from long to short, each to the row with the least room
+that holds it.  A segment tree over the amounts of room finds that row in log(length)
 steps.  A document longer than a row is cut into full rows and a rest; nothing
 is lost or moved, and ``offsets`` tell where each piece begins.
 """
@@ -11,15 +12,16 @@ is lost or moved, and ``offsets`` tell where each piece begins.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondera.llm.common import python_tasks
+from sondera.llm.common import python_tasks, saved
 
 PACKED = (
     "shard long, pack int, n_tokens int, ids binary, position_ids binary, "
@@ -102,11 +104,11 @@ def best_fit(lengths: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-def _pack(shard: int, docs: list[tuple[int | None, np.ndarray]], length: int, pad: int, kind):
+def _pack(shard: int, first: int, docs: list[tuple[int | None, np.ndarray]], length: int, pad: int, kind):
     pieces = [
         (doc, at, ids[at : at + length]) for doc, ids in docs for at in range(0, len(ids), length)
     ]
-    for pack, members in enumerate(best_fit([len(p[2]) for p in pieces], length)):
+    for pack, members in enumerate(best_fit([len(p[2]) for p in pieces], length), first):
         row, place = np.full(length, pad, dtype=kind), np.zeros(length, dtype=kind)
         ends = [0]
         for i in members:
@@ -126,9 +128,50 @@ def _pack(shard: int, docs: list[tuple[int | None, np.ndarray]], length: int, pa
         }
 
 
-def number_of_shards(docs: DataFrame, text: str, shard_bytes: int) -> int:
-    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    return total // shard_bytes + 1
+#: Copies of a row that are dealt together; bytes of text in a task; a shard is written early above this many times its size.
+COPIES, TASK_BYTES, EARLY = 64, 32 << 20, 4
+
+
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+
+
+def _dealt(docs: DataFrame, shards: int, parts: int) -> DataFrame:
+    """``docs`` (doc_id, text) by ``_shard``, a hash; of a row that occurs very often at most COPIES lie together.
+
+    Such rows are found by a count of hashes, aggregated, and cut into pieces with
+    a number of ``copies``.
+    """
+    key = F.xxhash64("doc_id", "text")
+    often = (
+        docs.select(key.alias("_key")).groupBy("_key").agg(F.count("*").alias("n")).filter(F.col("n") > COPIES).select("_key")
+    )
+    keyed = docs.withColumn("_key", key)
+    if often.take(1):
+        often = saved(often)
+        pieces = F.ceil(F.col("n") / COPIES).cast("long")
+        own = F.least(F.lit(COPIES), F.col("n") - F.col("piece") * COPIES).cast("int")
+        hot = (
+            keyed.join(often, "_key", "left_semi")
+            .groupBy("doc_id", "text")
+            .agg(F.count("*").alias("n"))
+            .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+            .select("doc_id", "text", "piece", own.alias("copies"))
+        )
+        keyed = (
+            keyed.join(often, "_key", "left_anti")
+            .select("doc_id", "text", F.lit(0).cast("long").alias("piece"), F.lit(1).alias("copies"))
+            .unionByName(hot)
+        )
+    else:
+        keyed = keyed.select("doc_id", "text", F.lit(0).cast("long").alias("piece"), F.lit(1).alias("copies"))
+    hashed = F.when(F.col("piece") == 0, key).otherwise(F.xxhash64(key, "piece"))
+    return (
+        keyed.withColumn("_shard", F.pmod(hashed, F.lit(shards)))
+        .repartition(parts, "_shard")
+        .sortWithinPartitions("_shard", "doc_id", "text", "piece")
+        .select("_shard", "doc_id", "text", "copies")
+    )
 
 
 def pack_tokens(
@@ -138,6 +181,7 @@ def pack_tokens(
     length: int = 2048,
     text: str = "text",
     shard_bytes: int = 4 << 20,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of ``length`` token ids from ``docs`` (doc_id, text); other columns are not read.
 
@@ -147,6 +191,10 @@ def pack_tokens(
     segments, from 0; positions start at 0 again in each.  ``doc_ids`` and
     ``offsets`` name the document of each segment and its place in that.
 
+    With the columns ``order`` the documents are range-sorted by them, shards of about
+    ``shard_bytes`` of text are cut off in turn, and rows come in order of ``shard``: no
+    document of a shard comes after one of the next.  Otherwise a hash deals them.
+
     NULL, empty texts have no tokens and so no segment; a NULL id stays NULL in
     ``doc_ids``; repeated rows are packed as often as they occur; an empty
     table gives none.  ``vocabulary`` is a file of ranks on the driver, whose
@@ -159,33 +207,41 @@ def pack_tokens(
         ranks = spark.sparkContext.broadcast(f.read())
     pad = max(int(line.split()[1]) for line in ranks.value.splitlines()) + 1
     kind = "<u2" if pad < 1 << 16 and length <= 1 << 16 else "<u4"
+    cut = bool(order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding(ranks.value, pattern)
-        shard, held = None, []
+        # in order, shards are numbered by task and then in turn
+        shard, held, size, first = TaskContext.get().partitionId() << 32 if cut else None, [], 0, 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            rows = list(_pack(shard, held, length, pad, kind))
+            nonlocal held, size, first
+            rows = list(_pack(shard, first, held, length, pad, kind))
+            held, size, first = [], 0, first + len(rows)
             for i in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_pylist(rows[i : i + 256], schema=_SCHEMA)
 
         for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("_shard", "doc_id", "text"))
-            for own, doc, body in zip(*cols):
-                if own != shard:
-                    if held:
+            cols = (batch.column(c).to_pylist() for c in ("_shard", "doc_id", "text", "copies"))
+            for own, doc, body, copies in zip(*cols):
+                if not cut and own != shard:
+                    yield from done()
+                    shard, first = own, 0
+                ids = np.array(encoder.encode_ordinary(body), dtype=kind)
+                for _ in range(copies):
+                    held.append((doc, ids))
+                    size += len(body)
+                    if size >= shard_bytes * (1 if cut else EARLY):
                         yield from done()
-                    shard, held = own, []
-                held.append((doc, np.array(encoder.encode_ordinary(body), dtype=kind)))
-        if held:
-            yield from done()
-
-    shards = number_of_shards(docs, text, shard_bytes)
-    return (
-        docs.select("doc_id", F.col(text).alias("text"))
-        .filter("text IS NOT NULL AND text <> ''")
-        .withColumn("_shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-        .repartition("_shard")
-        .sortWithinPartitions("_shard", "doc_id", "text")
-        .mapInArrow(pack, PACKED)
-    )
+                        shard, first = (shard + 1, 0) if cut else (shard, first)
+        yield from done()
+
+    texts = docs.select("doc_id", F.col(text).alias("text"), *order).filter("text IS NOT NULL AND text <> ''")
+    size = text_bytes(texts, "text")
+    parts = size // TASK_BYTES + 1
+    if cut:
+        columns = [F.lit(None).cast("long").alias("_shard"), "doc_id", "text", F.lit(1).alias("copies")]
+        dealt = texts.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*columns)
+    else:
+        dealt = _dealt(texts, size // shard_bytes + 1, parts)
+    return dealt.mapInArrow(pack, PACKED)

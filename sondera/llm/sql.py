@@ -83,14 +83,15 @@ WITH {_WORDS}, n AS (
     SELECT *, CASE WHEN size = 0 THEN 0
         ELSE passes + CAST(CASE WHEN large THEN picked ELSE middle <= rest END AS INTEGER) END AS copies
     FROM decided
+), taken AS (
+    SELECT doc_id, source, turn, pass, size,
+        sum(size) OVER (PARTITION BY source ORDER BY pass, o, doc_id ROWS UNBOUNDED PRECEDING) AS last_word,
+        sum(size) OVER (PARTITION BY source) AS words
+    FROM (SELECT *, unnest(range(copies)) AS pass FROM counted)
 ), shared AS (
-    SELECT *, least(CASE WHEN passes > 0 THEN (0 + middle / in_class) * source_size / target
-        ELSE (passes * source_size + middle / in_class * more) / target END, 1.0) AS q
-    FROM counted
-)
-SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies AS INTEGER) AS copies,
-    CAST(size * copies AS BIGINT) AS taken,
-    CASE WHEN copies > 0 THEN CAST(CASE turn % 3
+    SELECT doc_id, source, turn % 3 AS kind, (last_word - size / 2) / words AS q FROM taken WHERE pass = 0
+), placed_first AS (
+    SELECT doc_id, source, CASE kind
         WHEN 1 THEN least(2 * q / (1 + sqrt(1.0)), 1.0)
         WHEN 0 THEN CASE
             WHEN q >= 0.625 THEN least(0.5 + 2 * (q - 0.625) / (1 + sqrt(1 - 2 * (q - 0.625))), 1.0)
@@ -98,8 +99,13 @@ SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, CAST(c
         ELSE CASE
             WHEN q >= 0.375 THEN least(0.5 + 2 * (q - 0.375) / (1 + sqrt(1 + 2 * (q - 0.375))), 1.0)
             ELSE least(2 * q / (0.5 + sqrt(0.25 + 2 * q)), 0.5) END
-        END AS DOUBLE) END AS first_position
-FROM shared
+        END AS first_position
+    FROM shared
+)
+SELECT c.doc_id, c.source, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies AS INTEGER) AS copies,
+    CAST(size * copies AS BIGINT) AS taken, CAST(first_position AS DOUBLE) AS first_position
+FROM counted c LEFT JOIN placed_first p
+    ON c.doc_id IS NOT DISTINCT FROM p.doc_id AND c.source IS NOT DISTINCT FROM p.source
 """
 
 LINE_FREQUENCY = rf"""

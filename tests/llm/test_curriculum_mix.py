@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from corpus import words
+from corpus import FOLDER, words
 from sondera.llm import curriculum_mix as cm
 
 SCHEMA = "doc_id long, source string, text string, size string"
@@ -70,6 +70,49 @@ def test_training_order(spark, rows):
     assert order == [i for _, i in place]
 
 
+def demand(knots, t):
+    """Integral of a schedule up to ``t``, by its trapezes."""
+    total = 0.0
+    for (a, u), (b, v) in zip(knots, knots[1:]):
+        end = min(max(t, a), b)
+        total += (end - a) * (u + u + (v - u) * (end - a) / (b - a)) / 2
+    return total
+
+
+def held_to_schedule(mixed):
+    """Asserts the words taken up to each tenth of training, source by source."""
+    by = defaultdict(list)
+    for r in mixed:
+        for p in r.positions:
+            by[r.source].append((p, r.size * r.rows))
+    names = sorted({r.source for r in mixed}, key=lambda s: (s is None, s or ""))
+    for turn, source in enumerate(names):
+        own, knots = by[source], cm.SCHEDULES[turn % 3]
+        words_taken, largest = sum(w for _, w in own), max((w for _, w in own), default=0)
+        for t in range(1, 11):
+            here = sum(w for p, w in own if p <= t / 10)
+            # the copy across the border counts whole where its middle lies
+            assert abs(here - words_taken * demand(knots, t / 10)) <= largest / 2 + 1e-6, (source, t)
+
+
+def test_words_follow_the_schedules(spark, rows):
+    held_to_schedule(cm.mix(frame(spark, rows)).collect())
+    # one hot source with less than one pass, a small one with almost three
+    some = [(i, "hot" if i % 10 else "small", "w " * (1 + i * 7 % 90)) for i in range(600)]
+    mixed = cm.mix(frame(spark, some)).collect()
+    held_to_schedule(mixed)
+    partial = [p for r in mixed for p in r.positions if r.source == "hot"]
+    assert min(partial) < 0.02 and max(partial) > 0.98
+    held_to_schedule(cm.mix(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect())
+
+
+def test_sources_are_numbered_in_order(spark):
+    names = [None, "", *[f"s{i:03}" for i in range(150)], "Z", "é"]
+    df = spark.createDataFrame([(n, 1) for n in names], "source string, x int").repartition(5)
+    got = {r.source: r.turn for r in cm.numbered(df).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names, key=lambda s: (s is None, (s or "").encode())))}
+
+
 def test_schedules_are_inverted(spark):
     for knots in cm.SCHEDULES:
         steps = 1000

@@ -82,3 +82,34 @@ def test_nulls_repeats_long_and_no_rows(spark, encoder):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ids string")
     check(packing.pack_tokens(df, PATH, P.PATTERN, length=64), rows, encoder, 64)
     assert packing.pack_tokens(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_shards_follow_the_order(spark, encoder):
+    rows = [(i, "word " * (1 + i * 13 % 300), (i * 37) % 500) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(6)
+    packed = packing.pack_tokens(df, PATH, P.PATTERN, length=128, shard_bytes=5000, order=["place"])
+    out = check(packed, [r[:2] for r in rows], encoder, 128)
+    place = {i: p for i, _, p in rows}
+    shards = {}
+    for r in out:
+        shards.setdefault(r.shard, []).extend(place[d] for d in r.doc_ids)
+    assert list(shards) == sorted(shards) and len(shards) > 50
+    ends = [(min(p), max(p)) for p in shards.values()]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_a_row_that_occurs_very_often_is_spread(spark, encoder):
+    rows = [(7, "again and again")] * 2000 + [(None, "no id")] * 300 + [(i, f"single {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    packed = packing.pack_tokens(df, PATH, P.PATTERN, length=64, shard_bytes=1000)
+    out = check(packed, rows, encoder, 64)
+    assert len({r.shard for r in out if 7 in r.doc_ids}) > 15
+    again = packing.pack_tokens(df.repartition(2), PATH, P.PATTERN, length=64, shard_bytes=1000)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out))
+
+
+def test_a_large_shard_is_written_early(spark, encoder, monkeypatch):
+    rows = [(i, "some words here " * 20) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(packing, "EARLY", 0.1)
+    check(packing.pack_tokens(df, PATH, P.PATTERN, length=128, shard_bytes=40_000), rows, encoder, 128)
