@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondera.llm import chosen_path, curriculum_mix, decontamination, line_frequency, packing
-from sondera.llm.common import saved, table
+from sondera.llm.common import saved, table, written_order
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +39,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of token ids."""
+    """Rows of token ids, shard by shard in training order.
+
+    The mix returns the columns of documents alone, range-sorted; so its order is that of
+    the files that it was written to.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack_tokens(docs, path, public_tokenizers.PATTERN)
+    placed = docs.select("doc_id", "text", *written_order())
+    return packing.pack_tokens(placed, path, public_tokenizers.PATTERN, order=("_part", "_file", "_at"))
 
 
 STAGES = [
