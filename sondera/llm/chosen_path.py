@@ -13,10 +13,12 @@ target recall, however often its buckets are split.
 In a leaf the pairs that meet there for the first time are told from their
 coordinates; then their texts are fetched and their true similarity computed.
 A leaf reports sums and a spanning forest, never pairs, so a group of thousands
-of near copies writes what its members cost.  A bucket that splitting does not
-make much smaller is dense: its sets are alike, or share a long passage.  It is
-cut into pieces, and each piece is compared with itself and with every other, so
-all pairs of the bucket meet.
+of near copies writes what its members cost.  A bucket of s sets is split only if the
+pairs of its children, over all branches, are at most half of its own; so each level of
+splits halves the pairs, and as only children above the size of a leaf go on, s sets are written
+at most s (s / leaf)^0.62 times.  Otherwise the bucket is dense: its sets are alike, or
+share a long passage.  It is cut into pieces, and each piece is compared with
+itself and with every other, so all pairs of the bucket meet.
 """
 
 from __future__ import annotations
@@ -29,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondera.llm.common import python_tasks, saved
+from sondera.llm.common import WORD, python_tasks, saved
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.995
 COORDINATES, LEAF, DEPTH = 32, 200, 8
 #: Coordinates on which a bucket is split at once.
 BRANCHES = 3
-#: A bucket of which a child holds more than this share is dense: splitting it would not leave fewer pairs.
-DENSE = BRANCHES**-0.5
-#: Sets in a piece of a dense bucket, as a multiple of LEAF; a leaf of it holds two pieces.
+#: A bucket is split if that leaves this share of its pairs at most, all branches together.
+LEFT = 0.5
+#: Sets in a piece of a dense bucket, and most in any other leaf, as a multiple of LEAF; a leaf may hold two pieces.
 PIECE = 2
 #: Sets alike to the threshold agree in fewer coordinates once in 30,000 times.
 AGREEING = math.floor(
@@ -133,6 +135,7 @@ def _leaves(sets: DataFrame) -> DataFrame:
     All pairs of a bucket meet, each in one leaf: a small bucket is a leaf, a
     dense one has a leaf for each piece (``own``) and for each two pieces.
     """
+    small = F.col("members") <= PIECE * LEAF
     own = sets.select("set_key", "coordinates")
     level = own.select(
         "set_key", F.posexplode(F.slice("coordinates", 1, RUNS)).alias("run", "value")
@@ -141,8 +144,8 @@ def _leaves(sets: DataFrame) -> DataFrame:
     level = saved(level.join(counts, "path"))
     leaf = ["set_key", F.col("path").alias("leaf"), F.col("path").alias("bucket")]
     leaf += [F.lit(True).alias("own"), F.lit(0).alias("piece")]
-    leaves = [level.filter(F.col("members") <= LEAF).select(*leaf)]
-    large = level.filter(F.col("members") > LEAF)
+    leaves = [level.filter(small).select(*leaf)]
+    large = level.filter(~small)
     for _ in range(DEPTH):
         if not large.take(1):
             return _union(leaves)
@@ -161,17 +164,16 @@ def _leaves(sets: DataFrame) -> DataFrame:
             .select("set_key", "parent", "size", "child.*")
         )
         counts = saved(children.groupBy("parent", "path", "size").agg(F.count("*").alias("members")))
-        dense = counts.groupBy("parent").agg(
-            (F.max(F.col("members") / F.col("size")) > DENSE).alias("dense")
-        )
+        pairs = F.sum(F.col("members") * F.col("members"))
+        dense = counts.groupBy("parent").agg((pairs > LEFT * F.first("size") * F.first("size")).alias("dense"))
         alike = dense.filter("dense").select(F.col("parent").alias("path"))
         leaves.append(_pieces(large.join(alike, "path", "left_semi")))
         split = counts.join(dense.filter("NOT dense"), "parent").filter("members > 1")
         level = saved(
             children.select("set_key", "path", "used").join(split.select("path", "members"), "path")
         )
-        leaves.append(level.filter(F.col("members") <= LEAF).select(*leaf))
-        large = level.filter(F.col("members") > LEAF)
+        leaves.append(level.filter(small).select(*leaf))
+        large = level.filter(~small)
     return _union([*leaves, _pieces(large)])
 
 
@@ -350,19 +352,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without the text, with ``class_id`` and ``n_links``.
-
-    Documents with a Jaccard similarity of 0.8 or more on shingles of five
-    words are linked; linked documents are of one class, named by its least
-    ``key``.  ``n_links`` counts the other documents linked to a document,
-    copies included, in groups of any size.  Texts of
-    fewer than five words are one shingle; NULL and wordless texts are alike to
-    nothing and have the class of their own key.  Repeated rows are copies.  Columns
-    of the names added are replaced; an empty table gives none.
-    """
+def _classified(docs: DataFrame, text: str, key: str, kept: list[str]) -> DataFrame:
+    """``_0``, ``_1``, ... for the ``kept`` columns; ``key``, ``text_key``, ``label`` (none without words), ``class_id``, ``n_links``."""
     python_tasks(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in (text, "class_id", "n_links")]
     body = docs.select(
         *[F.col(c).alias(f"_{i}") for i, c in enumerate(kept)],
         F.col(key).cast("long").alias("key"),
@@ -420,19 +412,55 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         .select("set_key", "label", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
     names = classes.groupBy("label").agg(F.min("first").alias("class_id"))
-    named = classes.join(names, "label").select("set_key", "class_id", "n_links")
+    named = classes.join(names, "label").select("set_key", "label", "class_id", "n_links")
     return rows.join(named, "set_key", "left").select(
-        *[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)],
+        *[f"_{i}" for i in range(len(kept))],
+        "key",
+        "text_key",
+        "label",
         F.coalesce("class_id", "key").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` without the text, with ``class_id`` and ``n_links``.
+
+    Documents with a Jaccard similarity of 0.8 or more on shingles of five
+    words are linked; linked documents are of one class, named by its least
+    ``key``.  ``n_links`` counts the other documents linked to a document,
+    copies included, in groups of any size.  Links are found at random: a pair at 0.8 is met
+    with a probability of 0.996, a closer one more surely; what is reported is verified.  Texts of
+    fewer than five words are one shingle; NULL and wordless texts are alike to
+    nothing and have the class of their own key.  Repeated rows are copies.  Columns
+    of the names added are replaced; an empty table gives none.
+    """
+    kept = [c for c in docs.columns if c not in (text, "class_id", "n_links")]
+    return _classified(docs, text, key, kept).select(
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)], "class_id", "n_links"
+    )
+
 
 def first_of_class(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each class: the one whose key names it.
+    """``docs`` with one row of each class: one of the least key, NULL after all others.
 
-    Keys are taken to name documents, so repeated rows are kept or dropped together.
+    Exact and near copies are of one class whatever their keys, so of rows repeated under a
+    key, or with NULL keys, one stays as well; of several that are equal in key
+    and text it is any.  NULL and wordless texts are alike to nothing and all stay.  Columns
+    stay as they are; an empty table gives none.
     """
-    classes = near_duplicates(docs.select(key, text), text, key)
-    gone = classes.filter(F.col(key) != F.col("class_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    classes = _classified(docs.select(key, text), text, key, [])
+    rank = F.struct(F.col("key").isNull().alias("none"), "key", "text_key", "n")
+    first = saved(
+        classes.filter("label IS NOT NULL")
+        .groupBy("label", "key", "text_key")
+        .agg(F.count("*").alias("n"))
+        .groupBy("label")
+        .agg(F.min(rank).alias("first"))
+        .select(F.col("first.key").alias("_key"), F.col("first.text_key").alias("_text_key"), (F.col("first.n") > 1).alias("_many"))
+    )
+    keyed = docs.withColumn("_words", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) > 0)
+    same = F.col(key).cast("long").eqNullSafe(first["_key"]) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == first["_text_key"])
+    kept = keyed.filter("_words").join(first, same)
+    several = kept.filter("_many").dropDuplicates(["_key", "_text_key"])
+    parts = keyed.filter("NOT _words"), kept.filter("NOT _many"), several
+    return parts[0].select(*docs.columns).unionByName(parts[1].select(*docs.columns)).unionByName(parts[2].select(*docs.columns))
