@@ -4,10 +4,10 @@ Everything runs as column expressions, aggregations and joins.
 
 Lines are normalised (case, digits, punctuation, blanks) and hashed with their
 host.  A line is above the limit if more than ``most_documents`` distinct
-documents of the host hold it.  Copies of a document are not distinct: they
-are counted by a sketch of the document, the least md5 of its long words,
-which exact copies share and near copies nearly always do.  So the lines of a
-document that was copied a thousand times are not taken for boilerplate.
+documents of the host hold it.  Copies of a document are not distinct: documents
+whose whole texts are equal when normalised count once, so the lines of an article
+that was copied a thousand times are not taken for boilerplate.  Texts that
+differ in a word are two documents.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from sondera.llm.common import WORD, let, saved, words
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
-LONG_WORD = 8
 
 
 def _repeated_words(hashes: Column) -> Column:
@@ -56,18 +55,15 @@ def _normal(line: Column) -> Column:
 
 
 def base_measures(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """``docs`` with the measures of each text, and with its lines and sketch for ``judge``."""
+    """``docs`` with the measures of each text, and with its lines and its document's key (``_document``)."""
     body = F.coalesce(F.col(text), F.lit(""))
     own = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
     key = F.xxhash64(F.coalesce(F.col(host), F.lit("")), F.col(host).isNull(), F.lit(0))
 
     def measures(w: Column) -> Column:
-        long = F.filter(w, lambda x: F.char_length(x) >= LONG_WORD)
-        sketch = F.coalesce(F.array_min(F.transform(long, lambda x: F.md5(x))), F.md5(body))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             let(F.transform(w, lambda x: F.xxhash64(x)), _repeated_words).alias("n_repeat_words"),
-            F.xxhash64(sketch).alias("_sketch"),
         )
 
     def lines(x: Column) -> Column:
@@ -91,6 +87,7 @@ def base_measures(docs: DataFrame, text: str = "text", host: str = "source") ->
             F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             "_measures.*",
             "_split.*",
+            F.xxhash64(_normal(body)).alias("_document"),
         )
     )
 
@@ -98,8 +95,8 @@ def base_measures(docs: DataFrame, text: str = "text", host: str = "source") ->
 def frequent_lines(measured: DataFrame, most_documents: int) -> DataFrame:
     """Hashes of (host, line) that more distinct documents hold than the limit."""
     return (
-        measured.select(F.explode(F.array_distinct("_lines.key")).alias("key"), "_sketch")
-        .groupBy("key", "_sketch")
+        measured.select(F.explode(F.array_distinct("_lines.key")).alias("key"), "_document")
+        .groupBy("key", "_document")
         .agg(F.lit(1).alias("one"))
         .groupBy("key")
         .agg(F.count("*").alias("documents"))
@@ -143,7 +140,7 @@ def quality_rules(
     n, repeated = F.col("n_words"), F.col("n_repeat_words")
     left = n - F.col("removed_words")
     return (
-        measured.drop("_lines", "_sketch")
+        measured.drop("_lines", "_document")
         .join(removed, "_row", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
         .withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<long>")))
@@ -154,7 +151,11 @@ def quality_rules(
 
 
 def without_lines(judged: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The texts of ``quality_rules`` without the lines above the limit; others stay as they are."""
+    """The texts of ``quality_rules`` without the lines above the limit; others stay as they are.
+
+    NULL and empty texts stay so, lines without a word stay, repeated rows are treated alike,
+    an empty table stays empty.
+    """
     key = F.xxhash64(F.coalesce(F.col(host), F.lit("")), F.col(host).isNull(), F.lit(0))
     stays = lambda x: ~F.array_contains("removed_lines", F.xxhash64(key, _normal(x)))
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: stays(x) | ~x.rlike(WORD)), "\n")

@@ -64,3 +64,42 @@ def test_lines_above_the_limit(spark, hosts):
     texts = {r.doc_id: r for r in lf.without_lines(judged).collect()}
     assert "newsletter" not in texts[0].text and texts[0].text.split() == hosts[0][2].split()[:25]
     assert texts[300].text == hosts[51][2] and texts[100].x == 1
+
+
+@pytest.mark.parametrize("pages, shared, own", [(1000, 90, 10), (400, 80, 20), (120, 180, 20)])
+def test_pages_of_mostly_shared_lines_are_depleted(spark, pages, shared, own):
+    """Distinct documents are counted, however much of their text is the same."""
+    r = random.Random(pages)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(9))
+    menu = "\n".join(" ".join(word() for _ in range(10)) for _ in range(shared // 10))
+    rows = [(i, "h", f"{menu}\n{' '.join(word() for _ in range(own))}", 1) for i in range(pages)]
+    rows += [(9000 + i, "h", " ".join(word() for _ in range(60)), 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, x int")
+    got = {x.doc_id: x for x in lf.quality_rules(df).collect()}
+    assert all(got[i].removed_words == shared and not got[i].kept for i in range(pages))
+    assert all(got[9000 + i].kept and not got[9000 + i].removed_words for i in range(20))
+
+
+def test_copies_count_once_and_long_texts_each(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(9))
+    article = "\n".join(" ".join(word() for _ in range(12)) for _ in range(5))
+    # case, digits and punctuation make no new document
+    rows = [(i, "h", f"{article}\nvisit {i}!" if i % 2 else f"{article.upper()}\nVisit {i}", 1) for i in range(300)]
+    line = "aaaaaaaaa is the word that all of these long pages hold"
+    rows += [(1000 + i, "h", "\n".join([line, *(" ".join(word() for _ in range(100)) for _ in range(30))]), 1) for i in range(101)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, x int")
+    got = {x.doc_id: x for x in lf.quality_rules(df).collect()}
+    assert all(got[i].removed_words == 0 and got[i].kept for i in range(300))
+    assert all(got[1000 + i].removed_words == 11 and got[1000 + i].kept for i in range(101))
+    fewer = df.filter("doc_id <> 1000")
+    assert lf.quality_rules(fewer).agg({"removed_words": "sum"}).first()[0] == 0
+
+
+def test_without_lines_of_odd_texts(spark):
+    rows = [(None, None, None, 1), (1, None, "", 1), (2, "h", "\n \n", 1), (2, "h", "a b", 1), (2, "h", "a b", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, removed_lines int")
+    judged = lf.quality_rules(df, most_documents=0)
+    got = sorted(((x.doc_id, x.text) for x in lf.without_lines(judged).collect()), key=str)
+    assert got == sorted([(None, None), (1, ""), (2, "\n \n"), (2, ""), (2, "")], key=str)
+    assert lf.without_lines(lf.quality_rules(df.limit(0))).count() == 0
