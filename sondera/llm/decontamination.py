@@ -10,12 +10,15 @@ Everything runs as column expressions, aggregations and joins.
 3. The bits form four blocks of 16.  Two fingerprints that differ in at most
    ``RADIUS`` bits differ in at most a fourth of that in some block; so each
    item is filed, block by block, under all values within that distance, and a
-   lookup by block value finds every fingerprint within the radius.
-4. Some pairs at the limit differ in more bits.  A window at the limit holds
-   that share of the item's weight; so it holds one of any shingles that weigh
-   more than the rest.  The rarest such shingles of each item find these pairs.
-5. Pairs found are compared exactly: sum of the lesser over sum of the greater
+   lookup by block value and length finds every fingerprint within the radius.
+   Windows at similarity 0.8 differ in about 10 bits; one in some hundreds of those
+   from 0.80 to 0.85 differs in more than the radius of 19.
+4. Pairs found are compared exactly: sum of the lesser over sum of the greater
    weights.  A shingle weighs its letters times its occurrences.
+
+With ``exact`` a second search adds the pairs that the radius misses.  A window at
+the limit holds that share of the item's weight; so it holds one of any
+shingles that weigh more than the rest, and the rarest such shingles find it.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from sondera.llm.common import let, saved
 
 SHINGLE = 5
-BLOCKS, BLOCK_BITS, RADIUS = 4, 16, 15
+BLOCKS, BLOCK_BITS, RADIUS = 4, 16, 19
 #: More shingles, or hits, than this are joined by a shuffle instead of a broadcast (24 and 40 bytes each).
 BROADCAST_SHINGLES, BROADCAST_HITS = 1_000_000, 300_000
 #: Block values that differ from 0 in few enough bits.
@@ -86,15 +89,33 @@ def simhash(weighted: str) -> Column:
     return F.expr(f"aggregate({bits}, 0L, (_sum, _s) -> _sum | _s)")
 
 
-def similarity(left: str, right: str) -> Column:
-    """Weighted Jaccard similarity of two shingle lists, repeats counted."""
-    times = lambda side: f"size(filter({side}, _t -> _t.h = _s.h))"
+def counted(df: DataFrame, key: str, shingles: str) -> DataFrame:
+    """``key``, ``h``, ``w``, ``times``: the distinct shingles of each row, with their numbers."""
+    return df.select(key, F.inline(shingles)).groupBy(key, "h", "w").agg(F.count("*").alias("times"))
+
+
+def similar(pairs: DataFrame, contents: DataFrame, bench: DataFrame, least: float) -> DataFrame:
+    """``pairs`` (content, item) with a ``similarity`` of ``least`` or more: weighted Jaccard, repeats counted.
+
+    Shingles meet in joins, so the cost of a pair grows with its length and no faster.
+    """
+    asked = contents.join(pairs.select("content").distinct(), "content", "left_semi")
+    own = counted(asked, "content", "own")
+    theirs = counted(bench, "item", "shingles").select("item", "h", F.col("times").alias("item_times"))
     both = (
-        f"aggregate(array_distinct({left}), 0L, "
-        f"(_sum, _s) -> _sum + _s.w * least({times(left)}, {times(right)}))"
+        pairs.join(own, "content")
+        .join(theirs, ["item", "h"])
+        .groupBy("content", "item")
+        .agg(F.sum(F.col("w") * F.least("times", "item_times")).alias("both"))
+    )
+    share = F.col("both").cast("double") / (F.col("own_weight") + F.col("item_weight") - F.col("both"))
+    return (
+        both.join(asked.select("content", _weight("own").alias("own_weight")), "content")
+        .join(bench.select("item", "item_id", "n", "item_weight"), "item")
+        .withColumn("similarity", share)
+        .filter(F.col("similarity") >= least)
+        .select("content", "item_id", "n", "similarity")
     )
-    weight = lambda side: f"aggregate({side}, 0L, (_sum, _s) -> _sum + _s.w)"
-    return F.expr(f"cast({both} as double) / ({weight(left)} + {weight(right)} - {both})")
 
 
 def _blocks(fingerprint: str) -> Column:
@@ -114,19 +135,48 @@ def _weight(weighted: str) -> Column:
 
 
 def rare_shingles(bench: DataFrame, least: float) -> DataFrame:
-    """``item_id, h, item_weight``: the shingles, rare in all items, of which a window at ``least`` holds one."""
+    """``item, n, h, item_weight``: the shingles, rare in all items, of which a window at ``least`` holds one."""
     own = (
-        bench.select("item_id", F.xxhash64("item").alias("body"), _weight("item").alias("item_weight"), F.explode("item"))
-        .groupBy("item_id", "body", "item_weight", F.col("col.h").alias("h"))
-        .agg(F.sum("col.w").alias("w"))
+        bench.select("item", "n", "item_weight", F.inline("shingles"))
+        .groupBy("item", "n", "item_weight", "h")
+        .agg(F.sum("w").alias("w"))
     )
     items = own.groupBy("h").agg(F.count("*").alias("items"))
-    before = Window.partitionBy("item_id", "body").orderBy("items", "h").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("item").orderBy("items", "h").rowsBetween(Window.unboundedPreceding, -1)
     return (
         own.join(items, "h")
         .withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
         .filter(F.col("before") <= (1 - least) * F.col("item_weight") + 1e-9)
-        .select("item_id", "h", "item_weight")
+        .select("item", "n", "h", "item_weight")
+    )
+
+
+def within_radius(contents: DataFrame, bench: DataFrame) -> DataFrame:
+    """``content, item``: all whose fingerprints differ in at most RADIUS bits, of the same length."""
+    near = F.explode(F.transform(F.lit(NEAR), lambda x: x.bitwiseXOR(F.col("block.v"))))
+    filed = bench.withColumn("block", F.explode(_blocks("item_print"))).select(
+        "item", "n", "item_print", "block.b", near.alias("v")
+    )
+    # thousands of values for each item, more than its file's size tells: never broadcast
+    return (
+        contents.withColumn("block", F.explode(_blocks("own_print")))
+        .select("content", "n", "own_print", "block.b", "block.v")
+        .join(filed.hint("merge"), ["n", "b", "v"])
+        .filter(F.bit_count(F.col("own_print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+        .select("content", "item")
+        .distinct()
+    )
+
+
+def sharing_rare(contents: DataFrame, bench: DataFrame, least: float) -> DataFrame:
+    """``content, item``: all that share a rare shingle and whose weights allow ``least``; none at ``least`` is missed."""
+    weight, item_weight = F.col("own_weight"), F.col("item_weight")
+    return (
+        contents.select("content", "n", _weight("own").alias("own_weight"), F.explode("own.h").alias("h"))
+        .join(rare_shingles(bench, least), ["n", "h"])
+        .filter(F.least(weight, item_weight) >= least * F.greatest(weight, item_weight) - 1e-6)
+        .select("content", "item")
+        .distinct()
     )
 
 
@@ -172,6 +222,7 @@ def matches(
     least: float = 0.8,
     item_key: str = "item_id",
     item_text: str = "text",
+    exact: bool = False,
 ) -> DataFrame:
     """Items in texts: ``_k1, _k2`` (see ``text_key``), ``item_id``, ``start_word``, ``similarity``.
 
@@ -179,57 +230,38 @@ def matches(
     similarity (the first of several).  A window at the edge of a text is as
     long as the text allows.
     """
+    name = F.col(item_key)
     bench = saved(
         items.select(
-            F.col(item_key).alias("item_id"), shingles(parts(normal_words(item_text))).alias("item")
+            name.alias("item_id"),
+            F.xxhash64(F.coalesce(name.cast("string"), F.lit("")), name.isNull(), item_text).alias("item"),
+            shingles(parts(normal_words(item_text))).alias("shingles"),
         )
-        .filter(F.size("item") > 0)
-        .withColumn("item_print", simhash("item"))
+        .filter(F.size("shingles") > 0)
+        .dropDuplicates(["item"])
+        .withColumn("n", F.size("shingles") + SHINGLE - 1)
+        .withColumn("item_weight", _weight("shingles"))
+        .withColumn("item_print", simhash("shingles"))
     )
     index = saved(
-        bench.select((F.size("item") + SHINGLE - 1).alias("n"), F.posexplode("item"))
+        bench.select("n", F.posexplode("shingles"))
         .select(F.col("col.h").alias("h"), F.col("pos").alias("q"), "n")
         .distinct()
     )
     body = docs.select(F.col(text).alias("_text"), *text_key(text)).filter("_text IS NOT NULL")
     windows = saved(
-        _windows(body, index).withColumn("content", F.xxhash64("window"))
+        _windows(body, index).withColumn("content", F.xxhash64("window", "n"))
     )
     contents = saved(
         windows.dropDuplicates(["content"])
-        .select("content", shingles(parts(F.col("window"))).alias("own"))
+        .select("content", "n", shingles(parts(F.col("window"))).alias("own"))
         .filter(F.size("own") > 0)
         .withColumn("own_print", simhash("own"))
     )
-    filed = bench.withColumn("block", F.explode(_blocks("item_print"))).select(
-        "item_id", "item_print", "block.b", F.explode(
-            F.transform(F.lit(NEAR), lambda x: x.bitwiseXOR(F.col("block.v")))
-        ).alias("v")
-    )
-    # hundreds of values for each item, more than its file's size tells: never broadcast
-    close = (
-        contents.withColumn("block", F.explode(_blocks("own_print")))
-        .select("content", "own_print", "block.b", "block.v")
-        .join(filed.hint("merge"), ["b", "v"])
-        .filter(F.bit_count(F.col("own_print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-        .select("content", "item_id")
-    )
-    weight, item_weight = F.col("own_weight"), F.col("item_weight")
-    sharing = (
-        contents.select("content", _weight("own").alias("own_weight"), F.explode("own.h").alias("h"))
-        .join(rare_shingles(bench, least), "h")
-        .filter(F.least(weight, item_weight) >= least * F.greatest(weight, item_weight) - 1e-6)
-        .select("content", "item_id")
-    )
-    found = (
-        close.unionByName(sharing)
-        .distinct()
-        .join(contents.select("content", "own"), "content")
-        .join(bench.select("item_id", "item"), "item_id")
-        .withColumn("similarity", similarity("own", "item"))
-        .filter(F.col("similarity") >= least)
-        .select("content", "item_id", "similarity", (F.size("item") + SHINGLE - 1).alias("n"))
-    )
+    pairs = within_radius(contents, bench)
+    if exact:
+        pairs = pairs.unionByName(sharing_rare(contents, bench, least)).distinct()
+    found = similar(saved(pairs), contents, bench, least)
     place = F.greatest("start", F.lit(0)).cast("long")
     return (
         windows.select("_k1", "_k2", "start", "n", "content")
@@ -242,22 +274,31 @@ def matches(
     )
 
 
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", least: float = 0.8) -> DataFrame:
+def contaminated(
+    docs: DataFrame, items: DataFrame, text: str = "text", least: float = 0.8, exact: bool = False
+) -> DataFrame:
     """``docs`` without the text, one row for each item that a document holds.
 
     Added are ``item_id``, ``start_word`` (of the window, counted in normalised
     words) and ``similarity``.  Clean documents have no row.  NULL and empty
     texts are clean; items of fewer than five words, which would hit by chance,
     are not searched; repeated rows are reported each; columns of the names
-    added are replaced; an empty table on either side gives none.
+    added are replaced; an empty table on either side gives none.  ``exact`` also finds
+    the few windows near the limit that the radius misses.
     """
     added = ("item_id", "start_word", "similarity")
     rows = docs.select(*[c for c in docs.columns if c not in (*added, text)], *text_key(text))
-    found = matches(docs, items, text, least)
+    found = matches(docs, items, text, least, exact=exact)
     return rows.join(found, ["_k1", "_k2"]).drop("_k1", "_k2")
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", least: float = 0.8) -> DataFrame:
-    """``docs`` without the contaminated ones."""
-    found = matches(docs, items, text, least).select("_k1", "_k2").distinct()
+def clean(
+    docs: DataFrame, items: DataFrame, text: str = "text", least: float = 0.8, exact: bool = False
+) -> DataFrame:
+    """``docs`` without the contaminated ones; columns stay as they are.
+
+    NULL and empty texts stay, repeated rows stay or go together, and so does every row of
+    the same text; an empty table of items takes nothing away, an empty one of documents gives none.
+    """
+    found = matches(docs, items, text, least, exact=exact).select("_k1", "_k2").distinct()
     return docs.select("*", *text_key(text)).join(found, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")

@@ -134,14 +134,43 @@ def test_a_very_long_text(spark):
     assert [tuple(x) for x in dc.contaminated(docs, items).collect()] == [(1, 5, 150_000, 1.0)]
 
 
-def test_windows_just_above_the_limit(spark):
-    r = random.Random(11)
+def edited(seed, n):
+    """Items of 13 to 60 words, and documents with an edited copy: words cut at the end, or changed anywhere in the window."""
+    r = random.Random(seed)
     make = lambda n: [f"w{r.randrange(10**5)}" for _ in range(n)]
-    items = [make(r.randint(22, 26)) for _ in range(150)]
-    docs = [" ".join(make(10) + w[:-2] + make(12)) for w in items]  # two words cut
-    data = list(enumerate(docs)), [(i, " ".join(w)) for i, w in enumerate(items)]
-    want = brute(*data)
-    assert len(want) > 100 and max(want.values()) < 0.87
+    items, docs = [], []
+    for i in range(n):
+        w = make(r.randint(13, 60))
+        own = list(w)
+        if i % 3 == 0:
+            own = own[: -max(1, len(w) // 12)] + make(max(1, len(w) // 12))
+        else:
+            for _ in range(max(1, len(w) // 45)):
+                own[r.choice([0, 1, len(own) - 2, len(own) - 1, r.randrange(len(own))])] = make(1)[0]
+        items.append(w)
+        docs.append(" ".join(make(10) + own + make(12)))
+    return list(enumerate(docs)), [(i, " ".join(w)) for i, w in enumerate(items)]
+
+
+def test_windows_just_above_the_limit(spark):
+    data = edited(11, 500)
+    want = {k: s for k, s in brute(*data).items() if s < 0.9}
+    low = {k for k, s in want.items() if s < 0.85}
+    assert len(want) > 150 and len(low) > 60
     docs = spark.createDataFrame(data[0], "doc_id long, text string")
-    found = dc.contaminated(docs, spark.createDataFrame(data[1], "item_id long, text string"))
-    assert {(x.doc_id, x.item_id) for x in found.collect()} == set(want)
+    items = spark.createDataFrame(data[1], "item_id long, text string")
+    every = {(x.doc_id, x.item_id): x.similarity for x in dc.contaminated(docs, items, exact=True).collect()}
+    assert {k for k, s in every.items() if s < 0.9} == set(want)
+    # fingerprints alone
+    found = {(x.doc_id, x.item_id) for x in dc.contaminated(docs, items).collect()}
+    assert found <= set(every)
+    assert len(found & set(want)) >= 0.99 * len(want) and len(found & low) >= 0.98 * len(low)
+
+
+def test_repeated_items_and_long_items(spark):
+    r = random.Random(2)
+    long = " ".join(f"w{r.randrange(50)}" for _ in range(4000))
+    items = [(1, long), (1, long), (1, "another text of the same name here"), (None, "an item without a name at all")]
+    docs = [(1, "so " + long), (2, items[2][1]), (3, items[3][1]), (4, long[: len(long) // 2])]
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 1, 1, 1.0), (2, 1, 0, 1.0), (3, None, 0, 1.0)]
