@@ -47,3 +47,12 @@ def days_between(earlier: Column, later: Column) -> Column:
 def clock_hour(t: Column) -> Column:
     """Number of the wall-clock hour; never decreases along ``t``."""
     return F.unix_date(t.cast("date")) * 24 + F.hour(t)
+
+
+def wall_micros(t: Column) -> Column:
+    """Microseconds of the wall clock since 1970, as a long; knows no zone."""
+    t = t.cast("timestamp_ntz")
+    day = F.unix_date(t.cast("date")).cast("bigint")
+    second = F.hour(t) * 3600 + F.minute(t) * 60
+    micros = (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+    return (day * 86_400 + second) * 1_000_000 + micros

@@ -15,16 +15,18 @@ def gap_histogram(
     t: str = "t",
     digits: int | None = None,
     bucket: Column | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """How often each gap, in minutes, occurs per key.
 
-    ``bucket`` splits the times of a key, by default into hours of the clock.
+    ``bucket`` splits the times of a key, by default into hours of the clock, and ``rows``
+    cuts what is denser than that.
     Equal timestamps are counted before they travel: d copies are d - 1 gaps of
     zero, and the distinct times alone are put in order.
     """
     times = readings.groupBy(key, t).agg(F.count(F.lit(1)).alias("copies"))
     bucket = clock_hour(F.col(t)) if bucket is None else bucket
-    pairs = neighbour_pairs(times, [key], [t], ["copies"], bucket)
+    pairs = neighbour_pairs(times, [key], [t], ["copies"], bucket, rows)
     gap = minutes_between(F.col(t), F.col(f"next_{t}"))
     gap = gap if digits is None else F.bround(gap, digits)
     step = F.struct(gap.alias("gap"), F.lit(1).cast("bigint").alias("n"))

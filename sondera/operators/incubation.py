@@ -76,6 +76,7 @@ def cumulative(
     gases: Sequence[str] = tuple(GAS_DIGITS),
     carbon: DataFrame | None = None,
     on: str = "bottle",
+    rows: int | None = None,
 ) -> DataFrame:
     """Running total of each gas per bottle, in the order given.
 
@@ -90,6 +91,7 @@ def cumulative(
         bucket,
         attach=None if carbon is None else carbon.select(on, "c_mol"),
         on=[on],
+        rows=rows,
     )
 
 

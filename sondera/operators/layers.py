@@ -66,36 +66,83 @@ def state_labels(
     )
 
 
-def centroids(
-    vertices: DataFrame, key: str, order: str, bucket: Column, x: str = "x", y: str = "y"
+def rings(
+    vertices: DataFrame, keys: Sequence[str], order: str, bucket: Column, x: str = "x", y: str = "y"
 ) -> DataFrame:
-    """Area centroid of each outline given as vertices in drawing order.
+    """Signed measures of each ring given as vertices in drawing order.
 
-    Edges join each vertex to its successor and the last one to the first.
+    ``area2`` is twice its area, negative if it turns clockwise, and ``moment_x`` and ``moment_y`` six
+    times its first moments.  Edges join each vertex to its successor and the last one
+    to the first.
     """
-    edges = neighbour_pairs(vertices, [key], [order], [x, y], bucket)
+    edges = neighbour_pairs(vertices, keys, [order], [x, y], bucket)
     inner = edges.filter(F.col(f"next_{order}").isNotNull())
-    ends = vertices.groupBy(key).agg(
+    ends = vertices.groupBy(*keys).agg(
         F.max_by(x, order).alias(x),
         F.max_by(y, order).alias(y),
         F.min_by(x, order).alias(f"next_{x}"),
         F.min_by(y, order).alias(f"next_{y}"),
     )
-    names = [key, x, y, f"next_{x}", f"next_{y}"]
-    x0, y0, x1, y1 = (F.col(c) for c in names[1:])
+    names = [*keys, x, y, f"next_{x}", f"next_{y}"]
+    x0, y0, x1, y1 = (F.col(c) for c in names[-4:])
     cross = x0 * y1 - x1 * y0
-    area6 = F.sum(cross) * 3
     return (
         inner.select(*names)
         .unionByName(ends.select(*names))
-        .groupBy(key)
+        .groupBy(*keys)
         .agg(
-            F.try_divide(F.sum((x0 + x1) * cross), area6).alias("x"),
-            F.try_divide(F.sum((y0 + y1) * cross), area6).alias("y"),
+            F.sum(cross).alias("area2"),
+            F.sum((x0 + x1) * cross).alias("moment_x"),
+            F.sum((y0 + y1) * cross).alias("moment_y"),
         )
     )
 
 
+def outlines(
+    ring_table: DataFrame, key: str, hole: str | None = None
+) -> DataFrame:
+    """Area and centroid of each outline from its rings; parts weigh by area and holes subtract.
+
+    ``hole`` names a column of ``ring_table`` that is true for holes, whichever way they turn.  Without it
+    the rings that turn like the outline's largest one are parts and the others holes.
+    An outline without area has no centroid.
+    """
+    if hole is None:
+        largest = F.max_by(F.signum("area2"), F.abs("area2"))
+        turns = ring_table.groupBy(key).agg(largest.alias("_turn"))
+        ring_table = ring_table.join(turns, ring_table[key].eqNullSafe(turns[key])).drop(turns[key])
+        sign = F.col("_turn")
+    else:
+        sign = F.signum("area2") * F.when(F.col(hole), -1.0).otherwise(1.0)
+    area2 = F.sum(F.col("area2") * sign)
+    return ring_table.groupBy(key).agg(
+        F.try_divide(F.sum(F.col("moment_x") * sign), area2 * 3).alias("x"),
+        F.try_divide(F.sum(F.col("moment_y") * sign), area2 * 3).alias("y"),
+        (area2 / 2).alias("area"),
+        F.count(F.lit(1)).alias("rings"),
+    )
+
+
+def centroids(
+    vertices: DataFrame,
+    key: str,
+    order: str,
+    bucket: Column,
+    x: str = "x",
+    y: str = "y",
+    part: str | None = None,
+    hole: str | None = None,
+) -> DataFrame:
+    """Area centroid of each outline given as vertices in drawing order.
+
+    Each value of ``part`` is a ring of its own; without it an outline is one ring.
+    ``hole`` is a boolean column of the vertices, the same along a ring (see ``outlines``).
+    """
+    keys = [key, *([part] if part else []), *([hole] if hole else [])]
+    found = outlines(rings(vertices, keys, order, bucket, x, y), key, hole)
+    return found.select(key, "x", "y")
+
+
 def plot_series(summary: DataFrame, mean: str = "fraction", se: str = "se") -> DataFrame:
     """Readable depth and treatment with the bounds of one standard error."""
     return summary.withColumns(

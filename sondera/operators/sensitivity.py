@@ -123,6 +123,7 @@ def threshold_neighbours(
     y: str = "fraction",
     step: float = 0.01,
     last_k: Column | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """The same from true neighbours: each pair answers the thresholds between.
 
@@ -134,7 +135,7 @@ def threshold_neighbours(
     low = F.greatest(interval_bin(F.col(y), step), F.lit(0)).cast("int")
     high = F.least(interval_bin(F.col(f"next_{y}"), step).cast("int") - 1, last_k)
     return (
-        neighbour_pairs(known, keys, order, [x, y], bucket)
+        neighbour_pairs(known, keys, order, [x, y], bucket, rows)
         .withColumns({"_low": low, "_high": high})
         .filter("_low <= _high")
         .select(

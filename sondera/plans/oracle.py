@@ -49,6 +49,34 @@ hist AS (
   LEFT JOIN (SELECT station, round_even(v, 0)::INT AS temp_c, count(*) AS n FROM inside GROUP BY 1, 2) c
     ON c.station = b.station AND c.temp_c = g.temp_c)"""
 
+_SWEPT = f"""{_READINGS},
+swept_starts AS (
+  SELECT station, unnest(generate_series(a, z, INTERVAL 7 DAY)) AS start
+  FROM (SELECT DISTINCT station FROM readings), (SELECT min(t)::TIMESTAMP AS a, max(t)::TIMESTAMP AS z FROM readings)),
+swept AS (
+  SELECT s.station, s.start, count(r.t) AS n, 90::BIGINT AS expected, count(r.t) / 90.0::DOUBLE AS pct
+  FROM swept_starts s LEFT JOIN readings r
+    ON r.station = s.station AND r.t >= s.start AND r.t < s.start + INTERVAL 90 DAY
+  GROUP BY s.station, s.start),
+swept_best AS (
+  SELECT station, start, n, expected, pct FROM (
+    SELECT *, row_number() OVER (PARTITION BY station ORDER BY pct DESC, start DESC) AS rn FROM swept) WHERE rn = 1),
+swept_inside AS (
+  SELECT r.station, r.t, r.v, b.start FROM readings r JOIN swept_best b
+    ON r.station = b.station AND r.t >= b.start AND r.t < b.start + INTERVAL 90 DAY)"""
+
+
+def _ranged(source: str, begin: str, end: str, step: str, length: str) -> str:
+    """Readings of ``source`` in windows by a range join; keys without any are left out."""
+    return f"""starts AS (
+  SELECT station, unnest(generate_series({begin}, {end}, INTERVAL {step})) AS start FROM (SELECT DISTINCT station FROM {source})),
+counted AS (
+  SELECT s.station, s.start, count(r.t) AS n FROM starts s LEFT JOIN {source} r
+    ON r.station IS NOT DISTINCT FROM s.station AND r.t >= s.start AND r.t < s.start + INTERVAL {length}
+  GROUP BY s.station, s.start)
+SELECT * FROM counted WHERE station IN (SELECT station FROM counted WHERE n > 0)"""
+
+
 _POOLED = """
 months AS (
   SELECT unnest(generate_series(first_m::TIMESTAMP, last_m::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS start FROM span),
@@ -314,6 +342,33 @@ FROM months LEFT JOIN readings ON date_trunc('month', t)::DATE = m GROUP BY m"""
     "coverage_windows": f"WITH {_COVERAGE} SELECT station, start, year, mon, n, expected, round(pct, 6) AS pct FROM cov",
     "coverage_dirty": f"""WITH {_COVERAGE.replace("FROM lineitem)", "FROM lineitem WHERE l_orderkey % 5 <> 0)")}
 SELECT station, start, year, mon, n, expected, round(pct, 6) AS pct FROM cov""",
+    "sweep_windows": f"WITH {_SWEPT} SELECT station, start, n, expected, round(pct, 6) AS pct FROM swept",
+    "sweep_best": f"WITH {_SWEPT} SELECT station, start, n, expected, round(pct, 6) AS pct FROM swept_best",
+    "sweep_readings": f"WITH {_SWEPT} SELECT station, start, count(*) AS n, min(v) AS v_min, max(v) AS v_max FROM swept_inside GROUP BY 1, 2",
+    "sweep_histogram": f"""WITH {_SWEPT}
+SELECT b.station, b.start, g.temp_c, coalesce(c.n, 0)::BIGINT AS n
+FROM swept_best b CROSS JOIN (SELECT unnest(range(-5, 51))::INT AS temp_c) g
+LEFT JOIN (SELECT station, round_even(v, 0)::INT AS temp_c, count(*) AS n FROM swept_inside GROUP BY 1, 2) c
+  ON c.station = b.station AND c.temp_c = g.temp_c""",
+    "sweep_dirty": f"""WITH dirty AS (SELECT l_suppkey AS station, CASE WHEN l_orderkey % 5 <> 0 THEN l_shipdate END AS t FROM lineitem),
+{_ranged("dirty", "TIMESTAMP '1993-01-15'", "TIMESTAMP '1997-12-31'", "2 MONTH", "6 MONTH")}""",
+    "sweep_hours": f"""WITH ticks AS (SELECT user_id AS station, ts AS t FROM events),
+{_ranged("ticks", "(SELECT min(t) FROM ticks)", "(SELECT max(t) FROM ticks)", "13 HOUR", "36 HOUR")}""",
+    "window_starts_fortnight": f"""WITH {_READINGS},
+own AS (SELECT station, min(t) AS a, max(t) AS b FROM readings GROUP BY station)
+SELECT station, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 14 DAY))::DATE AS start FROM own""",
+    "gap_dense": f"WITH {_TICKS} SELECT * FROM gaps",
+    "outline_parts": """WITH v AS (
+  SELECT c_nationkey AS nationkey, c_mktsegment AS part, c_custkey AS x, c_acctbal + 20000 * (1 + ascii(c_mktsegment) % 5) AS y FROM customer),
+e AS (
+  SELECT nationkey, part, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1
+  FROM v WINDOW w AS (PARTITION BY nationkey, part ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+r AS (
+  SELECT nationkey, part, sum(x * y1 - x1 * y) / 2 AS a, sum((x + x1) * (x * y1 - x1 * y)) / 6 AS mx, sum((y + y1) * (x * y1 - x1 * y)) / 6 AS my
+  FROM e GROUP BY nationkey, part),
+s AS (SELECT *, (CASE WHEN a < 0 THEN -1 ELSE 1 END) * (CASE WHEN part = 'BUILDING' THEN -1 ELSE 1 END) AS w FROM r)
+SELECT nationkey, round(sum(w * mx) / nullif(sum(w * a), 0), 2) AS x, round(sum(w * my) / nullif(sum(w * a), 0), 2) AS y, round(sum(w * a), 2) AS area, count(*) AS rings
+FROM s GROUP BY nationkey""",
     "best_window": f"WITH {_COVERAGE} SELECT station, start, year, mon, n, expected, round(pct, 6) AS pct FROM best",
     "top_windows": f"WITH {_READINGS}, {_POOLED} SELECT *, strftime(start, '%B%Y') AS label FROM top10",
     "temp_histogram": f"WITH {_COVERAGE} SELECT * FROM hist",

@@ -27,6 +27,7 @@ from sondera.operators import (
     stations,
     summary,
 )
+from sondera.operators.sweep import Every, span_histogram, sweep, sweep_coverage, within
 from sondera.plans import network
 from sondera.plans.views import BOTTLE_KEYS, BOTTLE_ORDER, Views
 from sondera.session import stage
@@ -97,6 +98,60 @@ def coverage_dirty(v: Views) -> DataFrame:
     return _window_columns(_coverage(stage(coverage.monthly_bins(dated))))
 
 
+QUARTER, WEEK = Every(90, "day"), Every(7, "day")
+
+
+def _swept(v: Views) -> DataFrame:
+    return sweep_coverage(v.readings(), WEEK, QUARTER, per_day=PER_DAY)
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    return rounded(df.withColumn("expected", F.col("expected").cast("bigint")))
+
+
+@query
+def sweep_windows(v: Views) -> DataFrame:
+    """Windows of 90 days, one beginning every seventh day of the data."""
+    return _whole(_swept(v))
+
+
+@query
+def sweep_dirty(v: Views) -> DataFrame:
+    """Half years from the fifteenth of every other month, with lost times."""
+    lost = F.when(F.col("l_orderkey") % 5 != 0, F.col("l_shipdate"))
+    dated = v.table("lineitem").select(F.col("l_suppkey").alias("station"), lost.alias("t"))
+    begin, end = F.lit("1993-01-15").cast("date"), F.lit("1997-12-31").cast("date")
+    return sweep(dated, Every(2), Every(6), begin=begin, end=end).select("station", "start", "n")
+
+
+@query
+def sweep_hours(v: Views) -> DataFrame:
+    """Windows of 36 hours every 13 hours over the irregular series."""
+    return sweep(v.ticks(), Every(13, "hour"), Every(36, "hour")).select("station", "start", "n")
+
+
+@query
+def sweep_best(v: Views) -> DataFrame:
+    return _whole(coverage.best_window(_swept(v)))
+
+
+@query
+def sweep_histogram(v: Views) -> DataFrame:
+    """Whole-degree histogram of each station's fullest 90 days."""
+    best = stage(coverage.best_window(_swept(v)).select("station", "start"))
+    return span_histogram(v.readings(), best, QUARTER)
+
+
+@query
+def sweep_readings(v: Views) -> DataFrame:
+    """Raw readings inside the fullest 90 days, reduced to their value range."""
+    best = coverage.best_window(_swept(v)).select("station", "start")
+    inside = within(v.readings(), best, QUARTER, keep=["start"])
+    return inside.groupBy("station", "start").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("v_min"), F.max("v").alias("v_max")
+    )
+
+
 @query
 def best_window(v: Views) -> DataFrame:
     return _window_columns(_best(_bins(v)))
@@ -152,6 +207,14 @@ def window_starts(v: Views) -> DataFrame:
     return generators.window_starts(own, F.col("a"), F.col("b"), ["station"])
 
 
+@query
+def window_starts_fortnight(v: Views) -> DataFrame:
+    """Starts every 14 days between the first and the last reading of each station."""
+    day = F.col("t").cast("date")
+    own = v.readings().groupBy("station").agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    return generators.window_starts(own, F.col("a"), F.col("b"), ["station"], Every(14, "day"))
+
+
 @query
 def threshold_grid(v: Views) -> DataFrame:
     """Thresholds up to the largest fraction of each treatment and depth."""
@@ -384,6 +447,12 @@ def gap_histogram(v: Views) -> DataFrame:
     return _gaps(v)
 
 
+@query
+def gap_dense(v: Views) -> DataFrame:
+    """The same from one bucket for each station, cut where it holds more than a hundred times."""
+    return gaps.gap_histogram(v.ticks(), digits=0, bucket=F.lit(0), rows=100)
+
+
 @query
 def gap_summary(v: Views) -> DataFrame:
     return rounded(gaps.gap_summary(_gaps(v), nominal=6))
@@ -562,6 +631,21 @@ def outline_centroids(v: Views) -> DataFrame:
     return rounded(layers.centroids(vertices, "nationkey", "x", bucket), 3)
 
 
+@query
+def outline_parts(v: Views) -> DataFrame:
+    """Nations of several rings, one for each market segment; buildings are holes."""
+    segment = F.col("c_mktsegment")
+    vertices = v.table("customer").select(
+        F.col("c_nationkey").alias("nationkey"),
+        segment.alias("part"),
+        (segment == "BUILDING").alias("hole"),
+        F.col("c_custkey").alias("x"),
+        (F.col("c_acctbal") + 20000 * (1 + F.ascii(segment) % 5)).alias("y"),
+    )
+    table = layers.rings(vertices, ["nationkey", "part", "hole"], "x", F.floor(F.col("x") / 100_000))
+    return rounded(layers.outlines(table, "nationkey", "hole"), 2)
+
+
 @query
 def state_labels(v: Views) -> DataFrame:
     vertices = v.table("customer").select(

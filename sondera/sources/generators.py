@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sondera.operators.sweep import Every
+
 
 def calendar(df: DataFrame, begin: Column, end: Column, keep: Sequence[str] = ()) -> DataFrame:
     """One row per day of each input row's range."""
@@ -14,10 +16,14 @@ def calendar(df: DataFrame, begin: Column, end: Column, keep: Sequence[str] = ()
     return df.select(*keep, F.explode(days).alias("day"))
 
 
-def window_starts(df: DataFrame, begin: Column, end: Column, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per month start of each input row's range."""
-    months = F.sequence(begin, end, F.expr("interval 1 month"))
-    return df.select(*keep, F.explode(months).alias("start"))
+def window_starts(
+    df: DataFrame, begin: Column, end: Column, keep: Sequence[str] = (), step: Every = Every(1, "month")
+) -> DataFrame:
+    """One row per window start, every ``step``, of each input row's range.
+
+    Steps count from ``begin``, so a start on the 31st comes back to the 31st.
+    """
+    return df.select(*keep, F.explode(F.sequence(begin, end, step.interval())).alias("start"))
 
 
 def expected_per_year(days: DataFrame, per_day: float = 240) -> DataFrame:

@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from sondera.operators.ordered import neighbour_pairs, running_total
+from sondera.operators.ordered import by_depth, neighbour_pairs, running_total
 
 
 def skewed(n=400, seed=5):
@@ -85,3 +85,47 @@ def test_amounts_beyond_the_places_are_refused(spark):
     df = spark.createDataFrame([("k", 1, 1e-19), ("k", 2, None)], "key string, id int, v double")
     with pytest.raises(Exception, match="more than 18 decimal places"):
         running_total(df, ["key"], ["id"], {"v": "total"}, F.lit(0)).collect()
+
+
+def crowded(spark, n=60_000):
+    """One key with all its readings in one hour, a small key, and a key whose times are all equal."""
+    hour = (F.col("id") * 7919) % n
+    hot = spark.range(n).select(F.lit("hot").alias("key"), "id", (hour * 3600.0 / n).alias("x"), ((F.col("id") % 97) / 4).alias("v"))
+    same = spark.range(n, n + 3000).select(F.lit(None).cast("string").alias("key"), "id", F.lit(5.0).alias("x"), F.lit(0.25).alias("v"))
+    small = spark.range(2 * n, 2 * n + 50).select(F.lit("small").alias("key"), "id", (F.col("id") * 60.0).alias("x"), F.lit(1.0).alias("v"))
+    return hot.unionByName(same).unionByName(small).repartition(6)
+
+
+def test_dense_buckets_are_cut_by_rows(spark):
+    df = crowded(spark)
+    cells = by_depth(df, ["key"], F.floor(F.col("x") / 3600), "x", 500)
+    sizes = {(r.key, tuple(r._cell)): r["count"] for r in cells.groupBy("key", "_cell").count().collect()}
+    assert sum(sizes.values()) == df.count()
+    hot = [n for (key, _), n in sizes.items() if key == "hot"]
+    assert max(hot) <= 1000 and len(hot) >= 100
+    # ties in x can't be parted, small keys are left alone
+    assert [n for (key, _), n in sizes.items() if key is None] == [3000]
+    assert sum(key == "small" for key, _ in sizes) <= 2
+    order = [tuple(r._cell) for r in cells.filter("key = 'hot'").orderBy("x").collect()]
+    assert order == sorted(order)
+
+
+def test_cut_buckets_change_no_result(spark):
+    df = crowded(spark, 20_000)
+    bucket = F.floor(F.col("x") / 3600)
+    pairs = [neighbour_pairs(df, ["key"], ["x", "id"], ["v"], bucket, rows=rows) for rows in (None, 300)]
+    assert pairs[0].columns == pairs[1].columns
+    assert sorted(map(tuple, pairs[0].collect()), key=str) == sorted(map(tuple, pairs[1].collect()), key=str)
+    totals = [running_total(df, ["key"], ["x", "id"], {"v": "total"}, bucket, rows=rows) for rows in (None, 300)]
+    assert totals[0].columns == totals[1].columns
+    assert sorted(map(tuple, totals[0].collect()), key=str) == sorted(map(tuple, totals[1].collect()), key=str)
+
+
+def test_cuts_of_times_and_of_two_keys(spark):
+    df = spark.range(5000).select(
+        (F.col("id") % 2).alias("a"), F.lit("b").alias("b"), "id",
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=((F.col("id") * 31) % 3500).cast("decimal(18,6)"))).alias("t"),
+    )
+    pairs = [neighbour_pairs(df, ["a", "b"], ["t", "id"], [], F.lit(0), rows=rows) for rows in (None, 100)]
+    assert sorted(map(tuple, pairs[0].collect()), key=str) == sorted(map(tuple, pairs[1].collect()), key=str)
+    assert neighbour_pairs(df.limit(0), ["a", "b"], ["t", "id"], [], F.lit(0), rows=10).count() == 0
