@@ -39,6 +39,12 @@ def escape(text: str) -> str:
     return _MARKS.sub(r"\\\g<0>", text)
 
 
+def formatted_turn() -> Column:
+    """The turn as it is written, from the columns ``role`` and ``text``: what a token budget is about."""
+    own = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"([\\#<:])", r"\\$1")
+    return F.concat(F.lit("### "), own("role"), F.lit(": "), own("text"), F.lit("</turn>\n"))
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
@@ -64,9 +70,10 @@ class Windows:
         closed = None
         if self.fresh and self.held + tokens > self.budget:
             closed = self.close(tokens)
+        turn = role, text, tokens
         if self.turns == 0 and role == "system":
-            self.system = [(role, text, tokens)]
-        self.fresh.append((role, text, tokens))
+            self.system = [turn]
+        self.fresh.append(turn)
         self.held += tokens
         self.turns += 1
         return closed
@@ -81,7 +88,7 @@ class Windows:
         repeats: list[tuple[str, str, int]] = []
         for turn in reversed(self.repeats + self.fresh):
             room -= turn[2]
-            if room < 0 or turn in self.system:
+            if room < 0 or any(turn is s for s in self.system):  # a later turn may say the same
                 break
             repeats.insert(0, turn)
         self.repeats, self.fresh = self.system + repeats, []
@@ -137,7 +144,8 @@ def chat_windows(
     roles and texts count as empty; rows without a conv_id are one conversation.
     A turn of more tokens than the budget has a window of its own, with the
     system turn, and is not cut.  A system turn is one that opens the
-    conversation.  ``tokens`` counts a turn, an expression on the columns.  The
+    conversation.  ``tokens`` counts a turn, an expression on the columns; count
+    ``formatted_turn()`` if the budget is to hold for the windows as written.  The
     windows of a conversation lie together and in order.
     """
     python_tasks(turns.sparkSession)

@@ -8,8 +8,9 @@ word vectors of a document goes through two layers of numpy weights, and the
 logit is divided by a temperature fitted on labelled rows that were kept back.
 
 The word vectors come from all documents: each task adds up integers for its
-texts, Spark sums them by (token, dimension).  Their table has a fixed size,
-``TOKENS x DIMS``, so it may be collected and broadcast.  The network is
+texts and sends them as slabs of the table, a few dozen rows a task; slabs are added up in
+two rounds.  The table has a fixed size, ``TOKENS x DIMS``, so it may be collected and
+broadcast.  The network is
 fitted on at most ``sample`` labelled rows.
 """
 
@@ -21,15 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondera.llm.common import saved, python_tasks
+from sondera.llm.common import python_tasks, saved
+from sondera.llm.vectors import from_bytes, to_bytes
 
 CORES, SHAPES, DIMS = 1 << 14, 1 << 10, 32
 SAME = CORES + SHAPES  # the shape of a word equal to the one before
 TOKENS = SAME + 1
 NEIGHBOURS = (1, 2, 3)
+#: Cells of the table in a row, and parts in which the first round adds up each slab.
+SLAB, PARTS = 1 << 13, 16
+SUMS = "slab int, part int, sums binary"
 _CACHED_WORDS = 600_000
 _RUN = 1 << 19  # words handled at once
 _LETTERS = re.compile(r"[^\W_]+")
@@ -105,21 +112,39 @@ def word_vectors(docs: DataFrame, text: str = "text", dims: int = DIMS) -> np.nd
                         total += np.bincount(
                             at * dims + (entry >> 1), weights=sign, minlength=len(total)
                         )
-        cells = np.flatnonzero(total)
-        for i in range(0, len(cells), 100_000):
-            part = cells[i : i + 100_000]
-            yield pd.DataFrame({"cell": part, "n": total[part].astype(np.int64)})
-
-    cells = (
-        docs.select(F.col(text).alias("text"))
-        .filter("text IS NOT NULL")
-        .mapInPandas(add, "cell int, n long")
-        .groupBy("cell")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()
-    )
+        part = TaskContext.get().partitionId() % PARTS
+        for i in range(0, len(total), SLAB):
+            slab = total[i : i + SLAB]
+            if slab.any():
+                yield pd.DataFrame({"slab": [i], "part": [part], "sums": [to_bytes(slab.astype(np.int64))]})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, None
+
+        def row() -> pa.RecordBatch:
+            values = [pa.array([own[0]], pa.int32()), pa.array([own[1]], pa.int32()), pa.array([to_bytes(held)], pa.binary())]
+            return pa.RecordBatch.from_arrays(values, names=["slab", "part", "sums"])
+
+        for batch in batches:
+            for slab, part, sums in zip(*(batch.column(c).to_pylist() for c in ("slab", "part", "sums"))):
+                if (slab, part) != own:
+                    if own is not None:
+                        yield row()
+                    own, held = (slab, part), np.zeros(0, dtype=np.int64)
+                more = from_bytes(sums, "<i8")
+                held = held + more if len(held) else more
+        if own is not None:
+            yield row()
+
+    def merged(sums: DataFrame) -> DataFrame:
+        by = sums.repartition("slab", "part").sortWithinPartitions("slab", "part")
+        return by.mapInArrow(merge, SUMS)
+
+    sums = docs.select(F.col(text).alias("text")).filter("text IS NOT NULL").mapInPandas(add, SUMS)
     table = np.zeros(TOKENS * dims)
-    table[cells["cell"].to_numpy(dtype=np.int64)] = cells["n"]
+    for r in merged(merged(sums).withColumn("part", F.lit(0))).collect():
+        slab = from_bytes(bytes(r["sums"]), "<i8")
+        table[r["slab"] : r["slab"] + len(slab)] = slab
     table = table.reshape(TOKENS, dims)
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1)).astype(np.float32)
 

@@ -106,7 +106,7 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     count = bpe_counts.token_counter(spark, public_tokenizers.path("word_bpe_49k.json"))
-    tokens = count(F.concat_ws(" ", "role", "text"))
+    tokens = count(chat_windows.formatted_turn())
     return chat_windows.read_back(chat_windows.chat_windows(turns.unionByName(fixture), tokens))
 
 

@@ -92,3 +92,40 @@ def test_query(spark):
         g = got[conv]
         assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == expected(rows)
         assert g.formatted_chars > g.loss_chars
+
+
+def test_turns_are_counted_as_written(spark):
+    """The budget holds for the formatted windows, in the tokenizer that counts the turns."""
+    import public_tokenizers
+
+    from sondera.llm import bpe_counts
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counter = bpe_counts.MergeCounter(open(path, encoding="utf-8").read())
+    rows = [(i, 0, role, text, 0) for i, text in enumerate(HARD) for role in ("assistant", "a#: <\\", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for r in df.select("role", "text", cw.formatted_turn().alias("f")).collect():
+        assert r.f == f"### {cw.escape(r.role or '')}: {cw.escape(r.text or '')}</turn>\n"
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    count = bpe_counts.token_counter(spark, path)
+    for budget in (300, 2048):
+        for w in cw.chat_windows(turns, count(cw.formatted_turn()), budget=budget).collect():
+            # whole turns of the window, so marks and escapes are in the figure
+            assert counter.count(w.formatted) == w.n_tokens
+            assert w.n_tokens <= budget or w.n_turns - w.n_repeated == 1
+
+
+def test_a_turn_that_repeats_the_system_turn_is_history(spark):
+    turns = [(0, "system", "be brief"), (1, "user", "one two"), (2, "system", "be brief"), (3, "assistant", "x " * 8), (4, "user", "y " * 8)]
+    df = spark.createDataFrame([(1, *t, 0) for t in turns], SCHEMA)
+    windows = cw.chat_windows(df, count(), budget=20, history=14).collect()
+    check(cw.chat_windows(df, count(), budget=20, history=14), {1: turns})
+    assert [cw.parse(w.formatted)[: w.n_repeated] for w in windows][1][:2] == [("system", "be brief"), ("assistant", "x " * 8)]
+    wide = cw.chat_windows(df, count(), budget=30, history=20).collect()
+    assert [t for t in cw.parse(wide[-1].formatted)].count(("system", "be brief")) == 2
+
+
+def test_a_very_long_conversation(spark):
+    turns = [(i, "user" if i % 2 == 0 else "assistant", f"turn {i} " + "word " * (20_000 if i == 501 else 3)) for i in range(2000)]
+    df = spark.createDataFrame([(1, *t, 0) for t in turns], SCHEMA)
+    check(cw.chat_windows(df, count(), budget=200, history=40), {1: turns})

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -70,3 +72,51 @@ def test_tokens():
     assert len(set(a[:, 0])) == 1
     assert a[0, 1] == qm.CORES and a[1, 1] == qm.SAME and a[2, 1] != qm.CORES and a[3, 1] != a[2, 1]
     assert a[5, 1] == qm.SAME
+
+
+def plain_word(word, before):
+    """Two tokens of a word, spelled out."""
+    core = "".join(c for c in word if c.isalnum())
+    rest = "".join(c for c in word if not c.isalnum())
+    core, mark = (core, rest) if rest else (word, "")
+    if len(core) > 1 and core.isupper():
+        mark += "^"
+    shape = 1 + zlib.crc32(mark.encode()) % (qm.SHAPES - 1) if mark else 0
+    return zlib.crc32(core.lower().encode()) % qm.CORES, qm.SAME if word == before else qm.CORES + shape
+
+
+def test_word_vectors_and_scores_by_hand(spark):
+    """Sums over all pairs of neighbours, pooling, and both layers, in plain Python."""
+    texts = ["one two three", "two two ONE!", None, "", "three, four (one) two", "x"] * 3 + ["one two " * 400]
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts)]).repartition(4)
+    index, want = qm._index_vectors(8), {}
+    for text in texts:
+        seq = []
+        split = (text or "").split()
+        for i, w in enumerate(split):
+            seq += plain_word(w, split[i - 1] if i else None)
+        for k, gap in enumerate(qm.NEIGHBOURS):
+            for i in range(len(seq) - gap):
+                for at, other, code in ((seq[i], seq[i + gap], 2 * k), (seq[i + gap], seq[i], 2 * k + 1)):
+                    entry = int(index[code][other])
+                    cell = want.setdefault(at, [0] * 8)
+                    cell[entry >> 1] += -1 if entry & 1 else 1
+    got = qm.word_vectors(docs, dims=8)
+    for token in range(qm.TOKENS):
+        v = want.get(token, [0] * 8)
+        size = max(sum(x * x for x in v) ** 0.5, 1)
+        assert np.allclose(got[token], [x / size for x in v], atol=1e-6)
+    net = qm.Network(hidden=3, epochs=2).fit(np.random.default_rng(1).normal(size=(40, 8)), np.arange(40) % 2.0)
+    x = [0.3, -1.0, 0.5, 0.0, 2.0, -0.7, 0.1, 0.9]
+    z = [(a - c) / s for a, c, s in zip(x, net.centre, net.spread)]
+    w1, b1, w2, b2 = net.layers
+    inner = [max(sum(z[i] * w1[i][j] for i in range(8)) + b1[j], 0) for j in range(3)]
+    logit = sum(h * w for h, w in zip(inner, w2)) + b2[0]
+    assert net.score(np.array([x]))[0] == pytest.approx(1 / (1 + np.exp(-logit / net.temperature)))
+
+
+def test_a_very_long_text(spark):
+    long = "good words in a row " * 100_000
+    docs = frame(spark, [(1, long), (2, "good words in a row"), (3, long)])
+    rows = qm.pooled(docs, qm.word_vectors(docs)).collect()
+    assert np.allclose(rows[0].pooled, rows[2].pooled) and len(rows) == 3
