@@ -81,10 +81,46 @@ def series_histogram(
     return fill_grid(counted, ["start"], grid)
 
 
-def histogram_wide(hist: DataFrame, column: str, names: Sequence) -> DataFrame:
-    """Temperatures down, listed groups across; groups with no row give zero."""
-    cells = [
-        F.coalesce(F.sum(F.when(F.col(column) == v, F.col("n"))), F.lit(0)).alias(str(v))
-        for v in names
-    ]
-    return hist.groupBy("temp_c").agg(*cells)
+#: Most columns that a wide table takes from its data.
+WIDEST = 10_000
+
+
+def histogram_map(hist: DataFrame, column: str) -> DataFrame:
+    """One row per temperature with ``cells``, a map from each group's name to its number.
+
+    Any number of groups fits, and none has to be known before.  A NULL group is named ``NA``.
+    """
+    name = F.coalesce(F.col(column).cast("string"), F.lit("NA")).alias("_name")
+    cell = F.struct(F.col("_name").alias("key"), F.col("n").alias("value"))
+    return (
+        hist.groupBy("temp_c", name)
+        .agg(F.sum("n").alias("n"))
+        .groupBy("temp_c")
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(cell))).alias("cells"))
+    )
+
+
+def group_totals(hist: DataFrame, column: str, names: Sequence = ()) -> DataFrame:
+    """``name, n, listed``: the readings of each group in the data, and whether ``names`` lists it.
+
+    What a wide table with these columns leaves out are the rows that are not listed.
+    """
+    name = F.coalesce(F.col(column).cast("string"), F.lit("NA")).alias("name")
+    listed = F.col("name").isin([str(x) for x in names]) if names else F.lit(False)
+    return hist.groupBy(name).agg(F.sum("n").alias("n")).withColumn("listed", listed)
+
+
+def histogram_wide(hist: DataFrame, column: str, names: Sequence | None = None) -> DataFrame:
+    """Temperatures down, groups across; groups with no row give zero.
+
+    Without ``names`` the columns are the groups that the data hold, in order of name,
+    found by one small aggregation; more than ``WIDEST`` of them are refused, and
+    ``histogram_map`` is for these.
+    """
+    if names is None:
+        found = group_totals(hist, column).select("name").orderBy("name").limit(WIDEST + 1).collect()
+        if len(found) > WIDEST:
+            raise ValueError(f"more than {WIDEST} groups in {column}: use histogram_map")
+        names = [r["name"] for r in found]
+    cells = [F.coalesce(F.try_element_at(F.col("cells"), F.lit(str(v))), F.lit(0)).alias(str(v)) for v in names]
+    return histogram_map(hist, column).select("temp_c", *cells)

@@ -375,6 +375,9 @@ FROM s GROUP BY nationkey""",
     "hist_wide": f"""WITH {_COVERAGE}, {_PLACES}
 SELECT temp_c, {", ".join(f"(sum(n) FILTER (region = '{x}'))::BIGINT AS \"{x}\"" for x in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))}
 FROM hist JOIN stations USING (station) GROUP BY temp_c""",
+    "hist_cells": f"""WITH {_COVERAGE}, {_PLACES}
+SELECT temp_c, state, sum(n)::BIGINT AS n, state IN ('CHINA', 'FRANCE', 'NOWHERE') AS listed
+FROM hist JOIN stations USING (station) GROUP BY temp_c, state""",
     "window_readings": f"WITH {_COVERAGE} SELECT station, start, count(*) AS n, min(v) AS v_min, max(v) AS v_max FROM inside GROUP BY 1, 2",
     "expected_slots": f"""WITH {_READINGS},
 days AS (SELECT unnest(generate_series(date_trunc('year', first_m)::TIMESTAMP,

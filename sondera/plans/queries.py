@@ -175,8 +175,18 @@ def hist_wide(v: Views) -> DataFrame:
     bins = _bins(v)
     hist = histogram.window_histogram(bins, _best(bins))
     placed = hist.join(v.stations().select("station", "region"), "station")
-    regions = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    return histogram.histogram_wide(placed, "region", regions)
+    return histogram.histogram_wide(placed, "region")
+
+
+@query
+def hist_cells(v: Views) -> DataFrame:
+    """The same by nation as maps, laid out again; and which of three listed nations it would have shown."""
+    bins = _bins(v)
+    hist = histogram.window_histogram(bins, _best(bins))
+    placed = stage(hist.join(v.stations().select("station", "state"), "station"))
+    cells = histogram.histogram_map(placed, "state").select("temp_c", F.explode("cells").alias("state", "n"))
+    listed = histogram.group_totals(placed, "state", ["CHINA", "FRANCE", "NOWHERE"])
+    return cells.join(listed.select(F.col("name").alias("state"), "listed"), "state")
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,17 +136,18 @@ def station_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
-    # a row per file; file names are plan-time data in any scan
-    paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r.path) for r in files.select("path").collect()]
-    schema = schemas.ddl(schemas.SERIES)
-    if not paths:
-        raw = spark.createDataFrame([], f"{schema}, station string")
-    else:
-        raw = spark.read.csv(paths, schema=schema, header=True, nullValue="NA", mode="PERMISSIVE")
-        raw = raw.select("*", F.col("_metadata.file_path").alias("_path"))
-        raw = raw.withColumn("station", _station_of("_path"))
-    return _typed_series(raw)
+#: Stations whose files are picked by name; of a longer list, all files are read and their rows picked.
+NAMED = 10_000
+
+
+def _all_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings of every series file of a folder, with ``station`` from the file's path."""
+    raw = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv{,.gz}")
+        .csv(folder, schema=schemas.ddl(schemas.SERIES), header=True, nullValue="NA", mode="PERMISSIVE")
+    )
+    return raw.withColumn("station", _station_of("_metadata.file_path"))
 
 
 def read_series_csv(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,24 +156,31 @@ def read_series_csv(spark: SparkSession, folder: str) -> DataFrame:
     Rows whose time or value does not parse stay, with NULL; ``undated`` counts
     those without a time.
     """
-    return _read_files(spark, station_files(spark, folder))
+    return _typed_series(_all_files(spark, folder))
 
 
 def read_station_series(
-    spark: SparkSession, folder: str, stations: DataFrame, key: str = "station"
+    spark: SparkSession, folder: str, stations: DataFrame, key: str = "station", named: int = NAMED
 ) -> tuple[DataFrame, DataFrame]:
     """Readings of the listed stations, and the stations without a file.
 
     The folder is listed, not asked for one name after the other, so a missing
     file is a row of the second table and never an error; a file without rows
-    is there.  Only files of listed stations are read.  Files are those of
+    is there.  Of up to ``named`` stations only the own files are read: the test on a
+    file's path is made before it is opened.  Files are those of
     ``write_station_files`` or one ``<key>.csv`` (or ``.csv.gz``) per station.
     """
     listed = stations.select(F.col(key).alias("station")).distinct()
     files = station_files(spark, folder)
-    readings = _read_files(spark, files.join(listed, "station", "left_semi"))
+    every = _all_files(spark, folder)
+    names = [r.station for r in listed.limit(named + 1).collect()]
+    if len(names) <= named:
+        # an expression on the path alone, which Spark evaluates file by file
+        readings = every.filter(_station_of("_metadata.file_path").isin([n for n in names if n is not None]))
+    else:
+        readings = every.join(listed, "station", "left_semi")
     missing = listed.join(files.select("station").distinct(), "station", "left_anti")
-    return readings, missing.withColumnRenamed("station", key)
+    return _typed_series(readings), missing.withColumnRenamed("station", key)
 
 
 def undated(readings: DataFrame) -> DataFrame:

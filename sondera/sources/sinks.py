@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondera.operators.budget import budget_long, budget_wide, state_budget_wide
@@ -83,8 +84,8 @@ def write_csv(df: DataFrame, path: str, headers: dict[str, str] | None = None) -
     )
 
 
-def write_histogram_wide(hist: DataFrame, path: str, stations: list[str]) -> None:
-    """Temperatures down and the listed stations across, as CSV."""
+def write_histogram_wide(hist: DataFrame, path: str, stations: list[str] | None = None) -> None:
+    """Temperatures down and stations across, as CSV: those listed, or all that the data hold."""
     wide = histogram_wide(hist, "station", stations)
     write_csv(wide.withColumnRenamed("temp_c", "temp"), path)
 
@@ -92,13 +93,34 @@ def write_histogram_wide(hist: DataFrame, path: str, stations: list[str]) -> Non
 def write_station_files(readings: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """A folder ``station=<key>`` of CSV per station, as ``read_station_series`` reads it.
 
-    Rows are spread by station and month, so no station has to pass one task,
-    and a file never exceeds ``rows_per_file``.
+    A station is one file of up to ``rows_per_file`` rows.  A longer one is cut into as many
+    pieces as it needs, each a file of its own task; months stay whole where they fit.
+    Small stations share a task as the adaptive execution sees fit.
     """
-    month = F.trunc(F.col("t").cast("date"), "month")
+    month = F.date_trunc("month", F.col("t").cast("timestamp_ntz"))
+    sizes = readings.groupBy("station", month.alias("_month")).agg(F.count(F.lit(1)).alias("_n"))
+    along = W.partitionBy("station").orderBy("_month")
+    # pieces are filled month by month; a month of more rows than a file has pieces of its own
+    before = F.coalesce(F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    long = (
+        sizes.withColumns({"_before": before, "_all": F.sum("_n").over(W.partitionBy("station"))})
+        .filter(F.col("_all") > rows_per_file)
+        .select(
+            F.col("station").alias("_station"),
+            "_month",
+            F.floor(F.col("_before") / rows_per_file).alias("_first"),
+            F.ceil(F.col("_n") / rows_per_file).alias("_parts"),
+        )
+    )
+    dealt = readings.withColumn("_at", month).join(
+        long, F.col("station").eqNullSafe(F.col("_station")) & F.col("_at").eqNullSafe(F.col("_month")), "left"
+    )
+    piece = F.coalesce(F.col("_first") + F.pmod(F.xxhash64(F.col("t").cast("string")), F.col("_parts")), F.lit(0))
     (
-        readings.repartition("station", month)
-        .sortWithinPartitions("station", "t")
+        dealt.withColumn("_piece", piece)
+        .repartition("station", "_piece")
+        .sortWithinPartitions("station", "_piece", "t")
+        .select(*readings.columns)
         .write.mode("overwrite")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy("station")

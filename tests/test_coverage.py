@@ -162,6 +162,28 @@ def test_histogram_wide(bins):
     assert sum(r.dense for r in wide) == hist.filter("station = 'dense'").agg(F.sum("n")).first()[0]
 
 
+def test_wide_columns_from_the_data(spark, bins, monkeypatch):
+    from sondera.operators import histogram
+
+    best = best_window(coverage(monthly_counts(bins), per_day=1))
+    hist = window_histogram(bins, best)
+    wide = histogram_wide(hist, "station")
+    assert wide.columns == ["temp_c", "dense", "one", "sparse"]
+    listed = histogram_wide(hist, "station", ["one", "dense", "sparse"]).select(wide.columns)
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, listed.collect()))
+    # what a list leaves out is reported
+    left_out = histogram.group_totals(hist, "station", ["dense", "absent"]).filter("NOT listed").collect()
+    assert {r.name: r.n for r in left_out} == {
+        s: hist.filter(F.col("station") == s).agg(F.sum("n")).first()[0] for s in ("one", "sparse")
+    }
+    cells = histogram.histogram_map(hist.unionByName(hist.limit(1).withColumn("station", F.lit(None).cast("string"))), "station")
+    assert set(cells.orderBy("temp_c").first().cells) <= {"dense", "one", "sparse", "NA"}
+    assert histogram_wide(hist.limit(0), "station").columns == ["temp_c"]
+    monkeypatch.setattr(histogram, "WIDEST", 2)
+    with pytest.raises(ValueError, match="histogram_map"):
+        histogram_wide(hist, "station")
+
+
 def test_gaps(spark):
     at = [dt.datetime(2020, 1, 1, 0, m) for m in (0, 6, 12, 30)]
     rows = [("a", t, 1.0) for t in at] + [("b", t, 1.0) for t in (at[0], at[3])]

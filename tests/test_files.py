@@ -17,6 +17,7 @@ from sondera.sources.ingest import (
     read_pages,
     trim_range,
 )
+from sondera.streaming import ingest
 from sondera.streaming.ingest import append_new, ingest_stream, stored_readings
 
 
@@ -148,6 +149,61 @@ def test_a_replayed_batch_and_two_feeds(spark, landing, tmp_path):
     assert stored(spark, str(tmp_path / "first")) == in_batch(spark, landing)
 
 
+def files_read(df):
+    return df.select(F.col("_metadata.file_path")).distinct().count()
+
+
+def month_pages(spark, month, n=40, shift=0.0):
+    rows = [(f"s{i % 20}", "x", dt.datetime(2010 + month // 12, month % 12 + 1, 1 + i % 28, i % 24), i + shift, "0") for i in range(n)]
+    return spark.createDataFrame(rows, "station string, chunk_begin string, t timestamp_ntz, v double, f string")
+
+
+def test_a_batch_reads_the_cells_it_touches(spark, tmp_path):
+    """The tenth batch reads no more than the first, and one that comes again no more than its month."""
+    out, read = str(tmp_path / "out"), []
+    for batch in range(10):
+        pages = month_pages(spark, batch)
+        before = stored_readings(spark, out)
+        fresh = pages.withColumns(ingest._cell_columns())
+        read.append(0 if before is None else files_read(ingest.touched(before, fresh)))
+        append_new(pages, out, "x", batch)
+    assert read == [0] * 10
+    stored = stored_readings(spark, out)
+    again = month_pages(spark, 3).withColumns(ingest._cell_columns())
+    assert 0 < files_read(ingest.touched(stored, again)) <= 20 < files_read(stored)
+    # the same readings in another feed, and late ones among old
+    late = month_pages(spark, 3).unionByName(month_pages(spark, 3, 60))
+    append_new(late, out, "y", 0)
+    assert stored_readings(spark, out).count() == 10 * 40 + 20
+    assert stored_readings(spark, out).filter("feed = 'y'").count() == 20
+
+
+def test_compaction(spark, tmp_path):
+    out, months = str(tmp_path / "out"), [month_pages(spark, m, 30 + m, s) for m, s in ((0, 0.0), (1, 0.0), (0, 0.5), (2, 0.0), (1, 0.5))]
+    assert ingest.compact(spark, out) == 0
+    for batch, pages in enumerate(months):
+        append_new(pages, out, "x", batch)
+    rows, files = stored(spark, out), files_read(stored_readings(spark, out))
+    assert ingest.compact(spark, out) == 1
+    assert stored(spark, out) == rows and files_read(stored_readings(spark, out)) < files
+    assert {r.feed for r in stored_readings(spark, out).select("feed").distinct().collect()} == {"compacted"}
+    # replays of what is compacted, new batches, other feeds, and another compaction
+    append_new(months[1], out, "x", 1)
+    append_new(months[0], out, "y", 0)
+    assert stored(spark, out) == rows
+    append_new(month_pages(spark, 7), out, "x", 5)
+    assert len(stored(spark, out)) == len(rows) + 40
+    rows = stored(spark, out)
+    assert ingest.compact(spark, out) == 2 and stored(spark, out) == rows
+    # one that broke off before its log entry changes nothing
+    stored_readings(spark, out).select("station", "t", "v", "f", "month", "slot").limit(5).write.partitionBy("month", "slot").parquet(
+        f"{out}/feed=compacted/batch=3"
+    )
+    assert stored(spark, out) == rows
+    append_new(month_pages(spark, 8), out, "x", 6)
+    assert ingest.compact(spark, out) == 3 and len(stored(spark, out)) == len(rows) + 40
+
+
 def test_trim_bounds(spark):
     rows = [("2010-01-01 00:00:00", 1.0), ("2009-12-31 23:59:59", 1.0), ("2010-02-01 00:00:00", 1.0),
             ("2010-02-01 00:00:01", 1.0), ("2010-01-15 00:00:00", None)]
@@ -258,6 +314,36 @@ def test_station_files_round_trip(spark, tmp_path):
     assert sorted({r.station for r in readers.read_series_csv(spark, path).collect()}) == sorted(names)
 
 
+def test_one_file_for_each_station(spark, tmp_path):
+    start = dt.datetime(2020, 1, 1)
+    rows = [("long", start + dt.timedelta(hours=i), float(i), "0") for i in range(3000)]
+    rows += [("burst", start + dt.timedelta(seconds=i), float(i), "0") for i in range(1000)]
+    rows += [(f"s{i % 40}", start + dt.timedelta(days=i), 1.0, "0") for i in range(400)] + [("lost", None, 2.0, "0")]
+    df = spark.createDataFrame(rows, "station string, t timestamp_ntz, v double, f string").repartition(7)
+    path = str(tmp_path / "csv")
+    sinks.write_station_files(df, path, rows_per_file=800)
+    files = {d: [f for f in os.listdir(f"{path}/{d}") if f.endswith(".csv")] for d in os.listdir(path) if d.startswith("station=")}
+    assert len(files) == 43 and {d for d, f in files.items() if len(f) > 1} == {"station=long", "station=burst"}
+    lines = [sum(1 for _ in open(f"{path}/{d}/{f}")) - 1 for d in ("station=long", "station=burst") for f in files[d]]
+    assert max(lines) <= 800 and sum(lines) == 4000 and len(files["station=long"]) <= 8
+    back = readers.read_series_csv(spark, path).select("station", "t", "v", "f")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+
+
+@pytest.mark.parametrize("named", [10_000, 0])
+def test_only_files_of_listed_stations_are_opened(spark, tmp_path, named):
+    folder = tmp_path / "series"
+    folder.mkdir()
+    for name in ("A.TX", "B.TX", "C.TX"):
+        save(folder / f"{name}.csv", '"t","v","f"\n2010-06-25 16:00:00,26.1,"0"\n')
+    if named:
+        (folder / "broken.TX.csv.gz").write_bytes(b"this is no gzip file")  # reading it would fail
+    stations = spark.createDataFrame([("A.TX",), ("C.TX",), ("A.TX",), ("D.TX",), (None,)], "station string")
+    found, missing = readers.read_station_series(spark, str(folder), stations, named=named)
+    assert sorted(r.station for r in found.collect()) == ["A.TX", "C.TX"]
+    assert sorted((r.station for r in missing.collect()), key=str) == ["D.TX", None]
+
+
 def test_files_by_name(spark, tmp_path):
     import gzip
 
