@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondera.functions.errors import with_error
+from sondera.functions.exact import digit_sum, with_digits
 from sondera.operators.frame import override
 from sondera.operators.summary import quadrature
 
@@ -101,11 +102,12 @@ def state_budget(
     return eroded_loss(erosion_scenarios(joined), compat)
 
 
-def roll_up(budget: DataFrame) -> DataFrame:
+def roll_up(budget: DataFrame, exact: bool = False) -> DataFrame:
     """State rows with their region and national totals, in one aggregation.
 
     Values add up and errors add in quadrature; a total over nothing is 0, a
-    missing state value stays NULL.
+    missing state value stays NULL.  ``exact`` makes every bit independent of the
+    order of the rows.
     """
     measures = ["volume", "carbon", "decomp"]
     leaf = ["region", "state", "shore_km", "stations"]
@@ -121,6 +123,11 @@ def roll_up(budget: DataFrame) -> DataFrame:
         *measures,
         "sd",
     )
+    if exact:
+        values = {c: F.col(c) for c in ("length", *measures)} | {"sd": F.col("sd") * F.col("sd")}
+        source = with_digits(source, values)
+    add = digit_sum if exact else F.sum
+    error = F.sqrt(digit_sum("sd")) if exact else quadrature(F.col("sd"))
     scenario = ["erosion", "bank"]
     level = F.grouping("state") + F.grouping("region")
 
@@ -131,10 +138,10 @@ def roll_up(budget: DataFrame) -> DataFrame:
         [[*scenario, *leaf], [*scenario, "region"], scenario], *scenario, *leaf
     ).agg(
         level.alias("_level"),
-        F.sum("length").alias("marsh_shore"),
+        add("length").alias("marsh_shore"),
         total(F.sum("n")).alias("n"),
-        *[total(F.sum(m)).alias(m) for m in measures],
-        total(quadrature(F.col("sd"))).alias("sd"),
+        *[total(add(m)).alias(m) for m in measures],
+        total(error).alias("sd"),
     )
     names = F.when(F.col("_level") == 0, "state").when(F.col("_level") == 1, "region")
     return grouped.select(

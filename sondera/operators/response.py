@@ -91,12 +91,14 @@ def annual_loss(
     keys: Sequence[str] = ("station",),
     cadence_days: float = 6 / 60 / 24,
     scale: float = 1.0,
+    exact: bool = False,
 ) -> DataFrame:
     """Loss over the window: time at each temperature times the rate there.
 
     The wide curve has one row per temperature of the grid, so it is broadcast
     whatever the number of readings.  Without a rate the loss is NULL, and the
-    station stays.  ``scale`` 1000 gives mmol per mol.
+    station stays.  ``scale`` 1000 gives mmol per mol.  ``exact`` makes every bit
+    independent of the order of the rows.
     """
     rate = F.broadcast(curve_wide(curve))
     joined = hist.join(rate, "temp_c", "left").withColumn(
@@ -104,7 +106,7 @@ def annual_loss(
     )
     for d in DEPTHS:
         joined = with_error(joined, f"loss_{d} ~ days * k_{d}", exact=["days"])
-    return sum_with_error(joined, keys, [f"loss_{d}" for d in DEPTHS])
+    return sum_with_error(joined, keys, [f"loss_{d}" for d in DEPTHS], exact)
 
 
 def total_constant_rate(

@@ -81,8 +81,12 @@ def station_losses(
     compat: bool = False,
     begin: Column | None = None,
     end: Column | None = None,
+    exact: bool = False,
 ) -> DataFrame:
-    """Analysis C, first part: fullest window of each station and its loss per year."""
+    """Analysis C, first part: fullest window of each station and its loss per year.
+
+    ``exact``, here and below, makes the sums independent of the order of the rows.
+    """
     counts = coverage.monthly_counts(bins)
     best = coverage.best_window(
         coverage.coverage(counts, begin=begin, end=end, per_day=per_day)
@@ -91,7 +95,7 @@ def station_losses(
     window = ["start", "readings", "expected", "pct"]
     hist = histogram.window_histogram(bins, best.withColumnRenamed("n", "readings"), by=window)
     curve = response.arrhenius(rates, compat=compat)
-    losses = response.annual_loss(hist, curve, ["station", *window], cadence_days=1 / per_day)
+    losses = response.annual_loss(hist, curve, ["station", *window], cadence_days=1 / per_day, exact=exact)
     return response.normalise_year(losses, per_day=per_day)
 
 
@@ -103,7 +107,9 @@ def gaps_in_best_window(
     return gap_summary(gap_histogram(inside), nominal=nominal)
 
 
-def state_means(metadata: DataFrame, losses: DataFrame, min_coverage: float = 0.95) -> DataFrame:
+def state_means(
+    metadata: DataFrame, losses: DataFrame, min_coverage: float = 0.95, exact: bool = False
+) -> DataFrame:
     """Mean loss per state over the stations with enough coverage."""
     known = stations.attach(metadata, [(losses, "station")])
     named = known.withColumnsRenamed(
@@ -111,12 +117,16 @@ def state_means(metadata: DataFrame, losses: DataFrame, min_coverage: float = 0.
     )
     # a station without a window has a NULL share and does not qualify
     enough = F.coalesce(F.col("pct") >= min_coverage, F.lit(False))
-    return mean_with_error(named, ["region", "state"], ["deep", "shallow"], enough)
+    return mean_with_error(named, ["region", "state"], ["deep", "shallow"], enough, exact)
 
 
 def national_budget(
-    shore: DataFrame, means: DataFrame, compat: bool = False, overrides: dict | None = None
+    shore: DataFrame,
+    means: DataFrame,
+    compat: bool = False,
+    overrides: dict | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """Analysis C, second part: state, region and nation by scenario."""
     lengths = budget.shoreline_lengths(shore, overrides)
-    return budget.roll_up(budget.state_budget(lengths, means, compat))
+    return budget.roll_up(budget.state_budget(lengths, means, compat), exact)

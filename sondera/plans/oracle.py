@@ -461,6 +461,10 @@ FROM h JOIN curve USING (temp_c) GROUP BY start""",
     "erosion_scenarios": f"WITH {_BUDGET} SELECT region, state, n, erosion, bank, {r('length, area, volume, carbon, decomp, sd', 2)} FROM budget",
     "budget_rollup": f"""WITH {_BUDGET} SELECT level, region, state, n::BIGINT AS n, erosion, bank,
   {r('marsh_shore, volume, carbon, decomp, sd', 2)} FROM rolled""",
+    "budget_exact": f"""WITH {_BUDGET} SELECT level, region, state, n::BIGINT AS n, erosion, bank,
+  {r('marsh_shore, volume, carbon, decomp, sd', 2)} FROM rolled""",
+    "price_totals": """SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 3) AS total, round(avg(l_discount), 3) AS mean, count(*) AS n
+FROM lineitem GROUP BY l_returnflag""",
     "budget_long": f"""WITH {_BUDGET} SELECT level, region, state, n::BIGINT AS n, erosion AS ErosionRate,
   CASE bank WHEN 'Short' THEN 'Shallow' ELSE 'Deep' END AS BankHt,
   {r('marsh_shore, volume AS erodedSedVolume, carbon AS erodedSedCarbon, decomp AS Decomp, sd AS SD', 2)} FROM rolled""",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondera.functions.calendar import month_start
+from sondera.functions.exact import exact_avg, exact_sum
 from sondera.functions.numeric import half_even, percent, signif
 from sondera.functions.text import object_name, window_label
 from sondera.operators import (
@@ -435,6 +436,24 @@ def budget_rollup(v: Views) -> DataFrame:
     return rounded(_rolled(v), 2)
 
 
+@query
+def budget_exact(v: Views) -> DataFrame:
+    """The same by sums that do not depend on the order of the rows."""
+    losses = network.station_losses(_bins(v), _final(v), per_day=PER_DAY, exact=True)
+    means = network.state_means(v.stations(), losses, GATE, exact=True)
+    return rounded(network.national_budget(v.shore(), means, overrides=OVERRIDES, exact=True), 2)
+
+
+@query
+def price_totals(v: Views) -> DataFrame:
+    """Exact sums and means of amounts that no double holds: lines by return flag."""
+    amount = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    table = v.table("lineitem").groupBy("l_returnflag").agg(
+        exact_sum(amount).alias("total"), exact_avg(F.col("l_discount")).alias("mean"), F.count(F.lit(1)).alias("n")
+    )
+    return rounded(table, 3)
+
+
 @query
 def budget_long(v: Views) -> DataFrame:
     return rounded(budget.budget_long(_rolled(v)), 2)
