@@ -16,9 +16,10 @@ of that depth.  The tree is never built as a whole:
 * A group of up to ``GROUP`` different surroundings fits in a task.  There the
   suffixes from the starts of the windows are sorted, neighbours' common prefixes
   measured, and the nodes as deep as a window found: the subtree.
-* A larger group is split further by a longer prefix: all words of the window.
-  At that length every group of two is a node deep enough, so an aggregation
-  by that prefix, pre-aggregated before the shuffle, takes the subtree's place.
+* The suffixes of a larger group are split by longer prefixes, 12 words, 20, and so on up to the
+  window, until a part fits in a task; one that is alone with its prefix is dropped on the way.
+  Each part's subtree is built like the others.  A part that is still too large
+  when its prefix is the whole window hangs under one node of that depth, so all of it repeats.
 
 Exact copies of a text are merged before their spans are made (all windows of a
 text that occurs twice are repeats), and texts are shuffled once.  Keys of texts and of prefixes are
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from sondera.llm.common import python_tasks, saved
 
 WINDOW, PREFIX, GROUP = 35, 8, 2000
+#: Prefixes, in words, by which a group is split that is too large; the window comes last.
+LADDER = (12, 20)
 ALL = -1  # a mask: every window of the anchor
 _RNG = np.random.default_rng(5)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -234,30 +237,115 @@ def _build_subtrees(window: int):
     return run
 
 
+def ladder(window: int) -> list[int]:
+    return [n for n in LADDER if n < window] + [window]
+
+
 _LONG = pa.schema(
-    [("h", pa.int64()), ("c", pa.int64()), ("single", pa.bool_()), ("o", pa.int32()), ("prefix", pa.int64())]
+    [("h", pa.int64()), ("c", pa.int64()), ("single", pa.bool_()), ("o", pa.int32()), ("prefixes", pa.list_(pa.int64()))]
 )
 
 
 def _lengthen(window: int):
-    """The whole window as the prefix, for groups too large for a task."""
+    """Hashes of the longer prefixes of each suffix, for groups too large for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for s in batch.to_pylist():
-                hashes = word_hashes(s["words"])
+                mixed = word_hashes(s["words"])
                 for o in range(s["low"] + 1):
                     if s["valid"] >> o & 1:
-                        own = hashes[s["low"] - o : s["low"] - o + window]
-                        prefix = _mixed((own * _ODD[:window]).sum(keepdims=True)).view(np.int64)[0]
-                        out.append({"h": s["h"], "c": s["c"], "single": s["single"], "o": o, "prefix": prefix})
+                        own = mixed[s["low"] - o : s["low"] - o + window] * _ODD[:window]
+                        sums = np.array([own[:n].sum() for n in ladder(window)], dtype=np.uint64)
+                        row = {"h": s["h"], "c": s["c"], "single": s["single"], "o": o}
+                        out.append(row | {"prefixes": _mixed(sums).view(np.int64).tolist()})
             if out:
                 yield from pa.Table.from_pylist(out, schema=_LONG).to_batches(50_000)
 
     return run
 
 
+_PART_SUFFIXES = pa.schema(
+    [("part", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("single", pa.bool_()), ("o", pa.int32()), ("words", pa.binary())]
+)
+
+
+def _cut_windows(window: int):
+    """The window's words of each suffix that is in a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s in batch.to_pylist():
+                words = s["words"].split()
+                for p in s["places"]:
+                    begin = s["low"] - p["o"]
+                    row = {"part": p["part"], "h": s["h"], "c": s["c"], "single": s["single"], "o": p["o"]}
+                    out.append(row | {"words": b" ".join(words[begin : begin + window])})
+                if len(out) > 5000:
+                    yield pa.RecordBatch.from_pylist(out, schema=_PART_SUFFIXES)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_PART_SUFFIXES)
+
+    return run
+
+
+def _build_parts(window: int):
+    """Subtrees of parts, which come one after the other; as many together as fit in memory."""
+
+    def masks(rows: list[dict]) -> pa.RecordBatch:
+        names: dict[bytes, int] = {}
+        numbers = np.stack([np.array([names.setdefault(w, len(names)) for w in r["words"].split()], np.int32) for r in rows])
+        part = np.unique([r["part"] for r in rows], return_inverse=True)[1].astype(np.int32)
+        deep = deep_leaves(np.concatenate([part[:, None], numbers], axis=1), window + 1)
+        keep = [r for r, d in zip(rows, deep) if d and r["single"]]
+        cols = [[r["h"] for r in keep], [r["c"] for r in keep], [1 << r["o"] for r in keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_MASKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if len(held) >= GROUP and row["part"] != held[-1]["part"]:
+                    yield masks(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield masks(held)
+
+    return run
+
+
+def _split_groups(spans: DataFrame, window: int) -> DataFrame:
+    """``h, c, mask``: repeats among the suffixes of groups that are too large for a task."""
+    rest = saved(
+        spans.mapInArrow(_lengthen(window), "h long, c long, single boolean, o int, prefixes array<long>")
+    )
+    places = ["h", "c", "single", "o"]
+    fitting = []
+    for i in range(len(ladder(window))):
+        keyed = rest.withColumn("part", F.xxhash64("h", "o", F.get("prefixes", F.lit(i))))
+        sizes = keyed.groupBy("part").agg(F.count("*").alias("leaves")).filter("leaves >= 2")
+        shared = saved(keyed.join(sizes, "part"))
+        fitting.append(shared.filter(F.col("leaves") <= GROUP).select("h", "c", "o", "part"))
+        rest = shared.filter(F.col("leaves") > GROUP).select(*places, "prefixes")
+    parts = fitting[0]
+    for more in fitting[1:]:
+        parts = parts.unionByName(more)
+    listed = parts.groupBy("h", "c").agg(F.collect_list(F.struct("o", "part")).alias("places"))
+    built = (
+        spans.join(listed, ["h", "c"])
+        .mapInArrow(_cut_windows(window), "part long, h long, c long, single boolean, o int, words binary")
+        .repartition("part")
+        .sortWithinPartitions("part")
+        .mapInArrow(_build_parts(window), "h long, c long, mask long")
+    )
+    whole = rest.filter("single").select("h", "c", F.expr("shiftleft(1L, o)").alias("mask"))
+    return built.unionByName(whole).groupBy("h", "c").agg(F.bit_or("mask").alias("mask"))
+
+
 _REMOVED = pa.schema(
     [("k", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 )
@@ -353,16 +441,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
         .sortWithinPartitions("h", "c")
         .mapInArrow(_build_subtrees(window), "h long, c long, mask long")
     )
-    lengthened = spans(kinds.join(large, "h", "left_semi")).mapInArrow(
-        _lengthen(window), "h long, c long, single boolean, o int, prefix long"
-    )
-    deep = lengthened.groupBy("prefix").agg(F.count("*").alias("leaves")).filter("leaves >= 2")
-    split = (
-        lengthened.filter("single")
-        .join(deep.select("prefix"), "prefix")
-        .groupBy("h", "c")
-        .agg(F.sum(F.expr("shiftleft(1L, o)")).alias("mask"))
-    )
+    split = _split_groups(saved(spans(kinds.join(large, "h", "left_semi"))), window)
     twice = kinds.filter("m >= 2").select("h", "c", F.lit(ALL).cast("long").alias("mask"))
     masks = twice.unionByName(subtrees).unionByName(split)
     judged = members.join(masks, ["h", "c"]).select("k", "pos", "mask")

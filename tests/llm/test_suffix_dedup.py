@@ -47,13 +47,27 @@ def made(seed, words, count):
     return texts
 
 
-@pytest.mark.parametrize("group", [2000, 2])
+@pytest.mark.parametrize("group", [2000, 2, 5])
 def test_against_all_windows(spark, monkeypatch, group):
     monkeypatch.setattr(sd, "GROUP", group)
     got = same(spark, made(1, 400, 60) + made(2, 3, 12), 20)
     assert sum(n for _, n, _ in got.values()) > 500
 
 
+def test_large_groups_are_split_until_they_fit(spark, monkeypatch):
+    """Passages that agree for 8, 12, 20 or 35 words, in texts that all differ around them."""
+    monkeypatch.setattr(sd, "GROUP", 6)
+    r = random.Random(3)
+    trunk = [f"t{i}" for i in range(50)]
+    prose = lambda n: [f"q{r.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for same_words in (8, 11, 12, 15, 20, 30, 34, 35, 36, 50):
+        for _ in range(9):
+            texts.append(" ".join(prose(r.randint(0, 40)) + trunk[:same_words] + prose(40)))
+    got = same(spark, texts, 35)
+    assert sum(n > 0 for _, n, _ in got.values()) == 27  # 35, 36 and 50 words alike
+
+
 def test_window_of_the_contract(spark):
     r = random.Random(5)
     body = [f"x{r.randrange(900)}" for _ in range(120)]
