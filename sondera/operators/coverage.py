@@ -164,13 +164,16 @@ def restrict_to_window(
     Each window is written out as its months, which turns the range test into
     an equality on (key, month) and spreads one station over twelve keys.  If
     the readings have a ``year`` (see ``read_series``) it is joined as well, so
-    that files of years without a window are not read.
+    that files of years without a window are not read.  If they have their ``month`` (see
+    ``write_bucketed``) that is joined, and buckets by station and month are not shuffled.
     """
     step = F.expr("interval 1 month")
     stop = F.add_months(window_end(F.col("start"), months), -1)
     chosen = windows.select(
         key, *keep, F.explode(F.sequence(F.col("start"), stop, step)).alias("_month")
     )
+    if "month" in readings.columns:
+        return readings.join(chosen.withColumnRenamed("_month", "month"), [key, "month"])
     dated = readings.withColumn("_month", month_start(F.col(t)))
     on = [key, "_month"]
     if "year" in readings.columns:

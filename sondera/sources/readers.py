@@ -195,3 +195,11 @@ def read_series(spark: SparkSession, folder: str) -> DataFrame:
     A filter on ``year``, or a join on it, skips the other years' files.
     """
     return spark.read.parquet(folder)
+
+
+def series_stations(spark: SparkSession, folder: str) -> DataFrame:
+    """``station, year, n, first, last`` of a working copy, from the table that ``write_series`` leaves beside it.
+
+    No file with readings is opened, so which stations have data costs a row per station and year.
+    """
+    return spark.read.parquet(f"{folder.rstrip('/')}/_stations")

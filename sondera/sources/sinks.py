@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondera.functions.calendar import month_start
 from sondera.operators.budget import budget_long, budget_wide, state_budget_wide
 from sondera.operators.frame import label
 from sondera.operators.histogram import histogram_wide
 
+#: Folder of the stations' table inside a working copy; scans pass over it.
+STATIONS = "_stations"
+
 # Published headers, with the misspelling of two of them.
 SEDIMENT_HEADERS = {
     "erodedSedVolume_LargeTall": "Eroded Marsh Sediment Volume Deep Bank & Large Erosion (m^3/yr)",
@@ -132,8 +136,10 @@ def write_series(readings: DataFrame, path: str, rows_per_file: int = 50_000_000
     """The working copy: Parquet by year, clustered by station and time.
 
     Range partitioning puts neighbouring stations into the same file and cuts a
-    station with very many readings over several, so statistics prune both.
+    station with very many readings over several, so statistics prune both.  Beside it lies a small
+    table of the stations, for ``readers.series_stations``.
     """
+    spark = readings.sparkSession
     (
         readings.withColumn("year", F.year("t"))
         .repartitionByRange("year", "station", "t")
@@ -143,6 +149,30 @@ def write_series(readings: DataFrame, path: str, rows_per_file: int = 50_000_000
         .partitionBy("year")
         .parquet(path)
     )
+    (
+        spark.read.parquet(path)
+        .groupBy("station", "year")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+        .write.mode("overwrite")
+        .parquet(f"{path.rstrip('/')}/{STATIONS}")
+    )
+
+
+def write_bucketed(readings: DataFrame, table: str, buckets: int) -> None:
+    """The readings as a table in buckets of (station, month), sorted by time inside.
+
+    Joins and aggregations by these columns then read the buckets where they lie;
+    windows reach their readings without a shuffle of these (see ``restrict_to_window``).  As many
+    ``buckets`` as the session has shuffle partitions, or more, keep Spark from dealing again.
+    """
+    (
+        readings.withColumn("month", month_start(F.col("t")))
+        .repartition(buckets, "station", "month")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "station", "month")
+        .sortBy("station", "month", "t")
+        .saveAsTable(table)
+    )
 
 
 def publish(

@@ -301,6 +301,53 @@ def test_series_round_trips(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == expected
 
 
+def test_stations_of_a_working_copy(spark, tmp_path):
+    path = str(tmp_path / "parquet")
+    df = readings(spark)
+    sinks.write_series(df, path)
+    table = readers.series_stations(spark, path)
+    assert sorted(table.columns) == ["first", "last", "n", "station", "year"]
+    assert table.agg(F.sum("n")).first()[0] == df.count() == readers.read_series(spark, path).count()
+    names = sorted({r.station for r in df.collect()})
+    listed = spark.createDataFrame([(n,) for n in [*names, "none"]], "station string")
+    missing = missing_series(listed, table)
+    assert [r.station for r in missing.collect()] == ["none"]
+    # nothing but the small table is opened
+    assert all("/_stations/" in f for f in missing.inputFiles() if f.startswith("file"))
+    assert sorted(r.station for r in with_series(listed, table).collect()) == names
+
+
+def test_buckets_are_joined_where_they_lie(spark, tmp_path):
+    from sondera.operators.coverage import best_window, coverage, monthly_bins, monthly_counts, restrict_to_window
+
+    rows = [(f"s{i % 9}", dt.datetime(2019, 1, 1) + dt.timedelta(hours=37 * i), float(i % 50), "0") for i in range(900)]
+    df = spark.createDataFrame(rows, "station string, t timestamp_ntz, v double, f string")
+    best = best_window(coverage(monthly_counts(monthly_bins(df)), per_day=1)).select("station", "start")
+    best = spark.createDataFrame(best.collect(), best.schema)
+    expected = sorted(map(tuple, restrict_to_window(df, best).select("station", "t", "v").collect()))
+    name = "bucketed_readings"
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        sinks.write_bucketed(df, name, 8)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        inside = restrict_to_window(spark.table(name), best)
+        assert sorted(map(tuple, inside.select("station", "t", "v").collect())) == expected
+        plan = inside._jdf.queryExecution().executedPlan().toString()
+        indent = lambda line: len(line) - len(line.lstrip(" :+-"))
+        lines = plan.split("== Initial Plan ==")[0].splitlines()
+        at = next(i for i, line in enumerate(lines) if "FileScan" in line)
+        parents, level = [], indent(lines[at])
+        for line in reversed(lines[:at]):
+            if indent(line) < level:
+                parents.append(line)
+                level = indent(line)
+        assert parents and not any("Exchange" in line for line in parents)
+        assert "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_station_files_round_trip(spark, tmp_path):
     names = ["A B.TX", "A#1.TX", "A%1.TX", "O'Connor.TX", "A+B.TX", "plain.TX", "[x]{y}.TX"]
     rows = [(s, dt.datetime(2020, 3, d), d + 0.5, "0,0,0") for s in names for d in (1, 2)]
