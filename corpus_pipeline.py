@@ -3,6 +3,9 @@
 Each stage takes all that its predecessor kept, and each is written as Parquet
 and read again before the next one, so a lost executor costs one stage at most.
 All but the last return the columns of ``documents``.
+
+In every stage columns that ``documents`` has besides its own pass through, whatever
+their names, and an empty table gives none.
 """
 
 from __future__ import annotations
@@ -15,7 +18,11 @@ from sondera.llm.common import saved, table, written_order
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines above the limit."""
+    """Documents that pass the quality rules, without the lines above the limit.
+
+    NULL and empty texts fail; NULL sources are a host of their own; repeated rows are judged each.
+    ``n_chars`` follows the text where a line went.
+    """
     judged = line_frequency.quality_rules(docs).filter("kept")
     cleaned = line_frequency.without_lines(judged)
     changed = F.size("removed_lines") > 0
@@ -24,17 +31,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the least id."""
+    """One document of each class of near copies, the one with the least id.
+
+    Of rows repeated under an id, or copies with NULL ids, one stays as well.  Texts without a
+    word are alike to nothing and stay.
+    """
     return chosen_path.first_of_class(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; NULL and empty texts hold none."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them, in training order.
+
+    Texts without a word are not taken; NULL ids and sources count as values like others.
+    """
     return curriculum_mix.training_order(docs, curriculum_mix.mix(docs))
 
 
@@ -42,7 +56,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of token ids, shard by shard in training order.
 
     The mix returns the columns of documents alone, range-sorted; so its order is that of
-    the files that it was written to.
+    the files that it was written to.  NULL ids stay NULL; texts without tokens have no segment.
     """
     import public_tokenizers
 
