@@ -5,7 +5,7 @@ Everything runs as column expressions, aggregations and joins.
 Lines are normalised (case, digits, punctuation, blanks) and hashed with their
 host.  A line is above the limit if more than ``most_documents`` distinct
 documents of the host hold it.  Copies of a document are not distinct: documents
-whose whole texts are equal when normalised count once, so the lines of an article
+of which all lines are equal when normalised count once, so the lines of an article
 that was copied a thousand times are not taken for boilerplate.  Texts that
 differ in a word are two documents.
 """
@@ -42,10 +42,13 @@ def _repeated_words(hashes: Column) -> Column:
             F.size(F.array_distinct(windows)) < F.size(windows), let(let(pairs, places), covered)
         ).otherwise(F.lit(0).cast("long"))
 
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(hashes) - WINDOW),
-        lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]),
-    )
+    def joined(h: Column, gap: int) -> Column:
+        """Each hash with the one ``gap`` places on."""
+        n = F.size(h) - gap
+        return F.zip_with(F.slice(h, 1, n), F.slice(h, 1 + gap, n), lambda a, b: F.xxhash64(a, b))
+
+    # 2, 4 and then 8 words, each from two halves
+    windows = let(joined(hashes, 1), lambda two: let(joined(two, 2), lambda four: joined(four, WINDOW // 2)))
     return F.when(F.size(hashes) > WINDOW, let(windows, count)).otherwise(F.lit(0).cast("long"))
 
 
@@ -87,7 +90,7 @@ def base_measures(docs: DataFrame, text: str = "text", host: str = "source") ->
             F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             "_measures.*",
             "_split.*",
-            F.xxhash64(_normal(body)).alias("_document"),
+            F.xxhash64("_split._lines.key").alias("_document"),
         )
     )
 

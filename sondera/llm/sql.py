@@ -115,14 +115,18 @@ WITH {_WORDS}, windows AS (
 ), repeated AS (
     SELECT doc_id, count(DISTINCT i) AS n_repeat_words
     FROM (SELECT doc_id, unnest(range(p, p + 8)) AS i FROM windows WHERE c > 1) GROUP BY doc_id
+), split AS (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l,
+        unnest(range(len(string_split(text, chr(10))))) AS i
+    FROM d
 ), lines AS (
-    SELECT doc_id, source, text, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words,
+    SELECT doc_id, source, l, i, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words,
         trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS line
-    FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS l FROM d)
-    WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+    FROM split WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+), whole AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS document FROM lines GROUP BY doc_id
 ), frequent AS (
-    SELECT source, line FROM lines GROUP BY source, line
-    HAVING count(DISTINCT trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) > 100
+    SELECT source, line FROM lines JOIN whole USING (doc_id) GROUP BY source, line HAVING count(DISTINCT document) > 100
 ), counted AS (
     SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines GROUP BY doc_id
 ), removed AS (

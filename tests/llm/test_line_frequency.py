@@ -103,3 +103,13 @@ def test_without_lines_of_odd_texts(spark):
     got = sorted(((x.doc_id, x.text) for x in lf.without_lines(judged).collect()), key=str)
     assert got == sorted([(None, None), (1, ""), (2, "\n \n"), (2, ""), (2, "")], key=str)
     assert lf.without_lines(lf.quality_rules(df.limit(0))).count() == 0
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(6)
+    long = "\n".join(" ".join(f"w{r.randrange(40_000)}" for _ in range(50)) for _ in range(3000))
+    texts = [long, long + "\n" + long.split("\n", 1)[0], "y" * 300_000]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {x.doc_id: x for x in lf.quality_rules(df).collect()}
+    for i, text in enumerate(texts):
+        assert tuple(got[i][n] for n in NAMES) == base_measures(text)
