@@ -30,6 +30,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORTEST, FEWEST = 5, 3
 #: Words in an index, and words searched at once.
 GROUP, BATCH = 10_000, 4_000
+#: Most tasks over which the indexes are dealt; beyond, a task builds several in turn.
+TASKS = 10_000
 
 
 def occurrences(docs: DataFrame, text: str = "text", key: str = "doc_id", slips: int = 97) -> DataFrame:
@@ -223,7 +225,8 @@ def near_words(vocabulary: DataFrame, group: int = GROUP) -> DataFrame:
     return (
         ways.withColumn("role", role)
         .select("forward", "bucket", "role.piece", "role.searched", "word", "n")
-        .repartition("forward", "bucket", "piece")
+        # a group is much work for few bytes, so it is not left to their size how many share a task
+        .repartition(min(2 * buckets, TASKS), "forward", "bucket", "piece")
         .sortWithinPartitions("forward", "bucket", "piece", "searched")
         .mapInArrow(_search, "word string, near string, near_n long")
         .distinct()
