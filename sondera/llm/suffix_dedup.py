@@ -319,22 +319,33 @@ def _build_parts(window: int):
 
 
 def _split_groups(spans: DataFrame, window: int) -> DataFrame:
-    """``h, c, mask``: repeats among the suffixes of groups that are too large for a task."""
-    rest = saved(
+    """``h, c, mask``: repeats among the suffixes of groups that are too large for a task.
+
+    Prefixes are lengthened over the distinct windows, each with its number of suffixes; the
+    suffixes themselves meet the outcome once.
+    """
+    suffixes = saved(
         spans.mapInArrow(_lengthen(window), "h long, c long, single boolean, o int, prefixes array<long>")
+        .withColumn("own", F.xxhash64("h", "o", F.element_at("prefixes", -1)))
+    )
+    left = suffixes.groupBy("own").agg(
+        F.first("h").alias("h"), F.first("o").alias("o"), F.first("prefixes").alias("prefixes"), F.count("*").alias("times")
     )
-    places = ["h", "c", "single", "o"]
     fitting = []
     for i in range(len(ladder(window))):
-        keyed = rest.withColumn("part", F.xxhash64("h", "o", F.get("prefixes", F.lit(i))))
-        sizes = keyed.groupBy("part").agg(F.count("*").alias("leaves")).filter("leaves >= 2")
+        keyed = left.withColumn("part", F.xxhash64("h", "o", F.get("prefixes", F.lit(i))))
+        sizes = keyed.groupBy("part").agg(F.sum("times").alias("leaves")).filter("leaves >= 2")
         shared = saved(keyed.join(sizes, "part"))
-        fitting.append(shared.filter(F.col("leaves") <= GROUP).select("h", "c", "o", "part"))
-        rest = shared.filter(F.col("leaves") > GROUP).select(*places, "prefixes")
-    parts = fitting[0]
-    for more in fitting[1:]:
-        parts = parts.unionByName(more)
-    listed = parts.groupBy("h", "c").agg(F.collect_list(F.struct("o", "part")).alias("places"))
+        fitting.append(shared.filter(F.col("leaves") <= GROUP).select("own", "part"))
+        left = shared.filter(F.col("leaves") > GROUP).drop("part", "leaves")
+    # too many suffixes with one whole window: no part, all under one node
+    outcome = left.select("own", F.lit(None).cast("long").alias("part"))
+    for fits in fitting:
+        outcome = outcome.unionByName(fits)
+    placed = saved(suffixes.join(outcome, "own").select("h", "c", "single", "o", "part"))
+    listed = (
+        placed.filter("part IS NOT NULL").groupBy("h", "c").agg(F.collect_list(F.struct("o", "part")).alias("places"))
+    )
     built = (
         spans.join(listed, ["h", "c"])
         .mapInArrow(_cut_windows(window), "part long, h long, c long, single boolean, o int, words binary")
@@ -342,7 +353,7 @@ def _split_groups(spans: DataFrame, window: int) -> DataFrame:
         .sortWithinPartitions("part")
         .mapInArrow(_build_parts(window), "h long, c long, mask long")
     )
-    whole = rest.filter("single").select("h", "c", F.expr("shiftleft(1L, o)").alias("mask"))
+    whole = placed.filter("part IS NULL AND single").select("h", "c", F.expr("shiftleft(1L, o)").alias("mask"))
     return built.unionByName(whole).groupBy("h", "c").agg(F.bit_or("mask").alias("mask"))
 
 
