@@ -203,3 +203,12 @@ def series_stations(spark: SparkSession, folder: str) -> DataFrame:
     No file with readings is opened, so which stations have data costs a row per station and year.
     """
     return spark.read.parquet(f"{folder.rstrip('/')}/_stations")
+
+
+def read_published(spark: SparkSession, path: str, headers: dict[str, str], kinds: dict[str, str]) -> DataFrame:
+    """A published table under the names it had before it was written.
+
+    ``headers`` are those of the writer; columns are doubles but for those in ``kinds``.
+    """
+    table = read_named(spark, path, {header: kinds.get(name, "double") for name, header in headers.items()})
+    return table.select(*[F.col(f"`{header}`").alias(name) for name, header in headers.items()])

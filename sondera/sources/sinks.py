@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,11 @@ from sondera.operators.budget import budget_long, budget_wide, state_budget_wide
 from sondera.operators.frame import label
 from sondera.operators.histogram import histogram_wide
 
+#: Times in CSV keep their microseconds; by default Spark writes milliseconds.
+CSV_TIMES = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
+}
 #: Folder of the stations' table inside a working copy; scans pass over it.
 STATIONS = "_stations"
 
@@ -83,9 +90,7 @@ def station_headers(df: DataFrame) -> dict[str, str]:
 def write_csv(df: DataFrame, path: str, headers: dict[str, str] | None = None) -> None:
     """CSV with a header; NULL is an empty cell.  ``headers`` picks and renames."""
     table = label(df, headers) if headers else df
-    table.write.mode("overwrite").option("nullValue", "").option("emptyValue", "").csv(
-        path, header=True
-    )
+    table.write.mode("overwrite").options(nullValue="", emptyValue="", **CSV_TIMES).csv(path, header=True)
 
 
 def write_histogram_wide(hist: DataFrame, path: str, stations: list[str] | None = None) -> None:
@@ -126,7 +131,7 @@ def write_station_files(readings: DataFrame, path: str, rows_per_file: int = 5_0
         .sortWithinPartitions("station", "_piece", "t")
         .select(*readings.columns)
         .write.mode("overwrite")
-        .option("maxRecordsPerFile", rows_per_file)
+        .options(maxRecordsPerFile=rows_per_file, **CSV_TIMES)
         .partitionBy("station")
         .csv(path, header=True)
     )
@@ -175,22 +180,14 @@ def write_bucketed(readings: DataFrame, table: str, buckets: int) -> None:
     )
 
 
-def publish(
-    path: str,
-    stations: DataFrame,
-    hist: DataFrame,
-    means: DataFrame,
-    rolled: DataFrame,
-    columns: list[str],
-) -> dict[str, str]:
-    """All seven result tables as CSV folders under ``path``; returns where each lies.
+def result_tables(stations: DataFrame, means: DataFrame, rolled: DataFrame) -> dict[str, tuple[DataFrame, dict[str, str]]]:
+    """The result tables with their headers, by name; nothing is computed yet.
 
-    ``stations`` is the metadata with the losses, ``hist`` the histogram of the
-    fullest windows with the stations of ``columns`` across, ``means`` the state
-    means and ``rolled`` the budget rolled up from them.
+    ``stations`` is the metadata with the losses, ``means`` the state means and ``rolled``
+    the budget rolled up from them.
     """
     wide = budget_wide(rolled)
-    tables = {
+    return {
         "stations": (stations, station_headers(stations)),
         "state_means": (means, STATE_MEAN_HEADERS),
         "state_budget": (state_budget_wide(rolled, means), STATE_BUDGET_HEADERS),
@@ -198,8 +195,30 @@ def publish(
         "nation_budget": (wide.filter("level = 'nation'"), NATION_HEADERS),
         "long_budget": (budget_long(rolled), LONG_HEADERS),
     }
-    places = {name: f"{path.rstrip('/')}/{name}" for name in [*tables, "temperatures"]}
-    for name, (table, headers) in tables.items():
-        write_csv(table, places[name], headers)
-    write_histogram_wide(hist, places["temperatures"], columns)
+
+
+def publish(
+    path: str,
+    stations: DataFrame,
+    hist: DataFrame,
+    means: DataFrame,
+    rolled: DataFrame,
+    columns: list[str] | None = None,
+    only: Sequence[str] | None = None,
+) -> dict[str, str]:
+    """The seven result tables as CSV folders under ``path``; returns where each lies.
+
+    ``hist`` is the histogram of the fullest windows, with the stations of ``columns`` across (by default
+    all that it holds); see ``result_tables`` for the others.  ``only`` names the tables to write.
+    ``readers.read_published`` reads them back.
+    """
+    tables = result_tables(stations, means, rolled)
+    wanted = [*tables, "temperatures"] if only is None else only
+    places = {name: f"{path.rstrip('/')}/{name}" for name in wanted}
+    for name, place in places.items():
+        if name == "temperatures":
+            write_histogram_wide(hist, place, columns)
+        else:
+            table, headers = tables[name]
+            write_csv(table, place, headers)
     return places

@@ -10,7 +10,7 @@ from sondera.operators.budget import (
     state_budget,
     state_budget_wide,
 )
-from sondera.sources import sinks
+from sondera.sources import readers, sinks
 
 # Published state means (n, deep, sd, shallow, sd) and marsh
 # shoreline lengths in km, and the published totals below.
@@ -207,6 +207,10 @@ def test_publish(spark, rolled, means, tmp_path):
     assert got == {**dict.fromkeys(got), **want} and got["Atlantic", "NH"] is None
     total = read["nation_budget"].first()
     assert total["n stations"] == 155 and total["Marsh Shoreline (km)"] == 142362
+    one = sinks.publish(str(tmp_path / "one"), stations, hist, means, rolled, only=["nation_budget"])
+    assert list(one) == ["nation_budget"] and sorted(p.name for p in (tmp_path / "one").iterdir()) == ["nation_budget"]
+    back = readers.read_published(spark, one["nation_budget"], sinks.NATION_HEADERS, {"n": "bigint"})
+    assert back.first().n == 155 and set(back.columns) == set(sinks.NATION_HEADERS)
 
 
 def test_state_rows_carry_their_means(rolled, means):

@@ -361,6 +361,33 @@ def test_station_files_round_trip(spark, tmp_path):
     assert sorted({r.station for r in readers.read_series_csv(spark, path).collect()}) == sorted(names)
 
 
+def test_times_keep_their_microseconds(spark, tmp_path):
+    rows = [("a", dt.datetime(2020, 3, 1, 4, 5, 6, us), 1.5, "0") for us in (0, 1, 123456, 999999)]
+    df = spark.createDataFrame(rows, "station string, t timestamp_ntz, v double, f string")
+    path = str(tmp_path / "csv")
+    sinks.write_station_files(df, path)
+    assert sorted(map(tuple, readers.read_series_csv(spark, path).select("station", "t", "v", "f").collect())) == rows
+    table = str(tmp_path / "table")
+    sinks.write_csv(df, table)
+    kinds = {"station": "string", "t": "timestamp_ntz", "f": "string"}
+    assert sorted(map(tuple, readers.read_published(spark, table, {c: c for c in df.columns}, kinds).collect())) == rows
+
+
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from sondera.session import shared_folder
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("local[4]"), "x") != shared_folder(session("local[4]"), "x")
+    named = session("spark://host:7077", **{"spark.checkpoint.dir": "s3a://bucket/tmp/"})
+    assert shared_folder(named, "x").startswith("s3a://bucket/tmp/sondera-files/x-")
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(session("spark://host:7077"), "x")
+
+
 def test_one_file_for_each_station(spark, tmp_path):
     start = dt.datetime(2020, 1, 1)
     rows = [("long", start + dt.timedelta(hours=i), float(i), "0") for i in range(3000)]

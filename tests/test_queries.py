@@ -8,11 +8,13 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import connect, differences, type_differences
+from sondera.plans.files import FILES
+from sondera.plans.files_oracle import FILES_SQL
 from sondera.plans.oracle import ORACLE
 from sondera.plans.queries import REGISTRY
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = REGISTRY, ORACLE
+QUERIES, SQL = REGISTRY | FILES, ORACLE | FILES_SQL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
