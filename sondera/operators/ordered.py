@@ -90,10 +90,13 @@ def neighbour_pairs(
     carry: Sequence[str],
     bucket: Column,
     rows: int | None = None,
+    top: str | None = None,
 ) -> DataFrame:
     """Each row beside its successor: ``c`` and ``next_c`` for order and carry.
 
     The last row of a key has NULL successors.  ``rows`` cuts dense buckets, see ``by_depth``.
+    ``top`` names a column whose largest value in a bucket comes along as ``_top`` on the
+    bucket's last row (NULL on the others), found by the scan that is made anyway.
     """
     if rows is not None:
         df = by_depth(df, keys, bucket, order[0], rows)
@@ -107,7 +110,10 @@ def neighbour_pairs(
         *[F.lead(c).over(inside).alias(f"next_{c}") for c in cols],
         F.lead(F.lit(False), 1, True).over(inside).alias("_last"),
         F.lag(F.lit(False), 1, True).over(inside).alias("_first"),
+        *([] if top is None else [F.max(top).over(inside.rowsBetween(W.unboundedPreceding, 0)).alias("_top")]),
     )
+    if top is not None:
+        placed = placed.withColumn("_top", F.when(F.col("_last"), F.col("_top")))
     within = placed.filter(~F.col("_last"))
     edges = (
         placed.filter(F.col("_last") | F.col("_first"))

@@ -327,8 +327,7 @@ def crossing_times(v: Views) -> DataFrame:
 @query
 def crossing_neighbours(v: Views) -> DataFrame:
     """Crossing times from true neighbours instead of running extremes."""
-    fractions = stage(v.fractions().select(*BOTTLE_KEYS, *BOTTLE_ORDER, "fraction"))
-    pairs = sensitivity.threshold_neighbours(fractions, BOTTLE_KEYS, BOTTLE_ORDER, elapsed_hour())
+    pairs = sensitivity.threshold_neighbours(v.fractions(), BOTTLE_KEYS, BOTTLE_ORDER, elapsed_hour())
     return rounded(sensitivity.crossing_times(pairs))
 
 
