@@ -12,7 +12,7 @@ from sondera.functions.errors import with_error
 from sondera.functions.numeric import crossing_time, half_even, interval_bin
 from sondera.operators.ordered import neighbour_pairs
 from sondera.operators.summary import summarize_se
-from sondera.session import stage
+from sondera.session import stage, stages
 
 COLD, WARM = "IB 20", "IB 30"
 
@@ -131,21 +131,25 @@ def threshold_neighbours(
     Equals :func:`threshold_pairs` where y never falls.  Where it does, a
     threshold crossed again is listed again, one row per upward crossing.
 
-    Points are ordered once.  That scan leaves the pairs that pass a threshold and the last
-    row of each bucket with the bucket's largest y; these are staged, and the
-    last threshold of all comes from them, not from another pass over the points.
+    Where tables are staged the points are ordered once.  That scan leaves the pairs that
+    pass a threshold and the last row of each bucket with the bucket's largest y, and the
+    last threshold of all comes from these.  Elsewhere it takes another pass over the points.
     """
     known = df.filter(F.col(y).isNotNull())
+    once = last_k is None and stages(df.sparkSession)
+    if last_k is None and not once:
+        last_k = last_threshold(known, y, step)
     low = F.greatest(interval_bin(F.col(y), step), F.lit(0)).cast("int")
     high = interval_bin(F.col(f"next_{y}"), step).cast("int") - 1
-    passing = (
-        neighbour_pairs(known, keys, order, [x, y], bucket, rows, top=y)
-        .withColumns({"_low": low, "_high": high})
-        .filter("_high IS NULL OR _low <= _high OR _top IS NOT NULL")
-        .select(*keys, x, y, f"next_{x}", f"next_{y}", "_low", "_high", "_top")
+    passing = neighbour_pairs(known, keys, order, [x, y], bucket, rows, top=y if once else None).withColumns(
+        {"_low": low, "_high": high}
     )
-    if last_k is None:
-        passing = stage(passing)
+    if once:
+        passing = stage(
+            passing.filter("_high IS NULL OR _low <= _high OR _top IS NOT NULL").select(
+                *keys, x, y, f"next_{x}", f"next_{y}", "_low", "_high", "_top"
+            )
+        )
         last_k = last_threshold(passing, "_top", step)
     return (
         passing.withColumn("_high", F.least("_high", last_k))

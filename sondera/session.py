@@ -66,10 +66,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/sondera-files/{name}-{uuid.uuid4().hex}"
 
 
+def stages(spark: SparkSession) -> bool:
+    """Whether ``stage`` saves tables in this session."""
+    return bool(spark.conf.get("spark.checkpoint.dir", None))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """For a small table that one plan reads several times.
 
     Saved once where the cluster names a shared folder; otherwise left lazy, and
     each use computes it again.
     """
-    return cut_lineage(df) if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    return cut_lineage(df) if stages(df.sparkSession) else df

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sondera.operators import sensitivity
 from sondera.operators.response import (
     activation_energy,
     annual_loss,
@@ -86,6 +87,37 @@ def test_forms_differ_where_the_series_falls(spark):
     assert near["u", 3] == (2.0, 0.03, None, None)
 
 
+@pytest.mark.parametrize("once", [False, True])
+def test_thresholds_reach_the_largest_value_wherever_it_lies(spark, monkeypatch, once):
+    if once:  # a table of its own, as a staged one is
+        monkeypatch.setattr(sensitivity, "stages", lambda _: True)
+        monkeypatch.setattr(sensitivity, "stage", lambda df: spark.createDataFrame(df.collect(), df.schema))
+    # the top is in the middle of a bucket of a key that has fallen since
+    rows = [("u", 0.0, 0, 0.01), ("u", 1.0, 1, 0.05), ("u", 2.0, 2, 0.02), ("u", 3.0, 3, None), ("w", 0.5, 4, 0.03)]
+    near = as_dict(threshold_neighbours(frame(spark, rows), ["bottle"], ["day", "id"], F.floor(F.col("day") / 10)))
+    assert sorted(k for b, k in near if b == "w") == [3, 4, 5]
+    assert near["w", 5] == (0.5, 0.03, None, None)
+    assert near["u", 5] == (2.0, 0.02, None, None)
+    empty = frame(spark, [])
+    assert as_dict(threshold_neighbours(empty, ["bottle"], ["day", "id"], F.floor("day"))) == {}
+
+
+def test_neighbours_read_the_points_once(spark, tmp_path, monkeypatch):
+    def written(df):
+        df.write.parquet(str(tmp_path / "staged"))
+        return spark.read.parquet(str(tmp_path / "staged"))
+
+    monkeypatch.setattr(sensitivity, "stages", lambda _: True)
+    monkeypatch.setattr(sensitivity, "stage", written)
+    frame(spark, monotone()).write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    near = threshold_neighbours(points, ["bottle"], ["day", "id"], F.floor(F.col("day") / 10))
+    # what is left to run, the subquery of the last threshold included, reads the staged pairs
+    left = near._jdf.queryExecution().toString()
+    assert str(tmp_path / "staged") in left and str(tmp_path / "points") not in left
+    assert as_dict(near) == brute(monotone())
+
+
 def test_last_threshold(spark):
     df = frame(spark, [("u", 0.0, 0, 0.126)])
     assert df.select(last_threshold(df)).first()[0] == 13
