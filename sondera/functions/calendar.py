@@ -51,8 +51,6 @@ def clock_hour(t: Column) -> Column:
 
 def wall_micros(t: Column) -> Column:
     """Microseconds of the wall clock since 1970, as a long; knows no zone."""
-    t = t.cast("timestamp_ntz")
-    day = F.unix_date(t.cast("date")).cast("bigint")
-    second = F.hour(t) * 3600 + F.minute(t) * 60
-    micros = (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
-    return (day * 86_400 + second) * 1_000_000 + micros
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    # an interval by an interval is a long; parts of the date and decimals cost many times as much
+    return F.call_function("div", t.cast("timestamp_ntz") - epoch, F.expr("interval '0.000001' second"))

@@ -58,13 +58,16 @@ class Every:
         t = t.cast("timestamp_ntz")
         if self.months:
             return t + F.make_ym_interval(F.lit(0), (times * self.months).cast("int"))
-        return t + F.make_dt_interval(secs=(times * (self.micros // 10**6)).cast("decimal(18,6)"))
+        return t + F.expr(f"interval '{self.micros // 10**6}' second") * times
 
 
-def last_started(t: Column, begin: Column, step: Every) -> Column:
-    """Number of the last window that begins at ``t`` or before; negative before ``begin``."""
+def last_started(t: Column, begin: Column, step: Every, ago: int = 0) -> Column:
+    """Number of the last window that begins at ``t`` or before; negative before ``begin``.
+
+    Of steps that are the same everywhere, ``ago`` is taken off ``t`` first, in microseconds.
+    """
     if not step.months:
-        passed = wall_micros(t) - wall_micros(begin)
+        passed = wall_micros(t) - wall_micros(begin) - F.lit(ago).cast("bigint")
         return F.call_function("div", passed - F.pmod(passed, F.lit(step.micros)), F.lit(step.micros))
     whole = (F.year(t) - F.year(begin)) * 12 + F.month(t) - F.month(begin)
     near = F.floor(whole / step.months).cast("bigint")
@@ -73,6 +76,8 @@ def last_started(t: Column, begin: Column, step: Every) -> Column:
 
 def first_open(t: Column, begin: Column, step: Every, length: Every) -> Column:
     """Number of the first window that ends after ``t``."""
+    if not (length.months or step.months):
+        return last_started(t, begin, step, ago=length.micros) + 1
     if not length.months:
         return last_started(length.after(t, -1), begin, step) + 1
     # the starts a length before t, give or take the days that months can shift

@@ -9,8 +9,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sondera.functions.calendar import wall_micros
 from sondera.operators.coverage import best_window, coverage, monthly_bins, monthly_counts
-from sondera.operators.sweep import Every, in_span, span_histogram, sweep, sweep_coverage, within
+from sondera.operators.sweep import Every, first_open, in_span, last_started, span_histogram, sweep, sweep_coverage, within
 
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
 
@@ -146,3 +147,28 @@ def test_nothing_to_count(spark):
         Every(0, "day")
     with pytest.raises(ValueError):
         Every(1, "fortnight")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_numbers_of_windows_are_whole_long_arithmetic(spark, zone):
+    """No clock parts and no decimals for every reading; times before 1970 and before the begin count down."""
+    times = [dt.datetime(1901, 5, 6, 7, 8, 9, 999_999), dt.datetime(1969, 12, 31, 23, 59, 59, 1), dt.datetime(2020, 3, 8, 2, 30), dt.datetime(2040, 1, 1)]
+    begin, step, length = dt.datetime(2020, 1, 1, 0, 0, 0, 5), Every(13, "hour"), Every(36, "hour")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(t,) for t in [*times, None]], "t timestamp_ntz")
+        start = F.lit(begin.isoformat()).cast("timestamp_ntz")
+        out = df.select("t", wall_micros(F.col("t")).alias("m"), last_started(F.col("t"), start, step).alias("last"), first_open(F.col("t"), start, step, length).alias("first"))
+        micros = lambda d: (d.days * 86_400 + d.seconds) * 10**6 + d.microseconds
+        for r in out.collect():
+            if r.t is None:
+                assert (r.m, r["last"], r["first"]) == (None, None, None)
+                continue
+            passed = micros(r.t - begin)
+            assert r.m == micros(r.t - dt.datetime(1970, 1, 1))
+            assert r["last"] == passed // step.micros and r["first"] == (passed - length.micros) // step.micros + 1
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(part in plan for part in ("secondwithfraction", "extract", "hour(", "unix_date", "decimal", "make_dt_interval"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
