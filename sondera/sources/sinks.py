@@ -12,12 +12,19 @@ from sondera.functions.calendar import month_start
 from sondera.operators.budget import budget_long, budget_wide, state_budget_wide
 from sondera.operators.frame import label
 from sondera.operators.histogram import histogram_wide
+from sondera.session import stage
 
 #: Times in CSV keep their microseconds; by default Spark writes milliseconds.
 CSV_TIMES = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
 }
+#: For very many small files: Hadoop starts a process or two for each local file and its checksum file;
+#: without the checksum files it starts one.  Other file systems pass over these options.
+PLAIN_FILES = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+}
 #: Folder of the stations' table inside a working copy; scans pass over it.
 STATIONS = "_stations"
 
@@ -121,6 +128,8 @@ def write_station_files(readings: DataFrame, path: str, rows_per_file: int = 5_0
             F.ceil(F.col("_n") / rows_per_file).alias("_parts"),
         )
     )
+    # staged, its size is known when the join is planned, so a small one does not cost a shuffle of the readings
+    long = stage(long)
     dealt = readings.withColumn("_at", month).join(
         long, F.col("station").eqNullSafe(F.col("_station")) & F.col("_at").eqNullSafe(F.col("_month")), "left"
     )
@@ -131,7 +140,7 @@ def write_station_files(readings: DataFrame, path: str, rows_per_file: int = 5_0
         .sortWithinPartitions("station", "_piece", "t")
         .select(*readings.columns)
         .write.mode("overwrite")
-        .options(maxRecordsPerFile=rows_per_file, **CSV_TIMES)
+        .options(maxRecordsPerFile=rows_per_file, **CSV_TIMES, **PLAIN_FILES)
         .partitionBy("station")
         .csv(path, header=True)
     )

@@ -462,3 +462,23 @@ def test_generators(spark):
     assert generators.window_starts(one, date("2010-01-01"), date("2020-12-01")).count() == 132
     grid = generators.threshold_grid(one, F.lit(3), 0.01).collect()
     assert [r.k for r in grid] == [0, 1, 2, 3] and grid[3].portion == pytest.approx(0.03)
+
+
+def test_small_files_without_a_second_shuffle(spark, tmp_path, monkeypatch):
+    """Long stations are a table of its own before the readings move; no checksum file lies beside a CSV."""
+    kept = []
+
+    def staged(df):
+        df.write.parquet(str(tmp_path / "staged"))
+        kept.append(spark.read.parquet(str(tmp_path / "staged")))
+        return kept[-1]
+
+    monkeypatch.setattr(sinks, "stage", staged, raising=False)
+    rows = [("long", dt.datetime(2020, 1, 1) + dt.timedelta(days=i), float(i), "0") for i in range(300)] + [("a=b station=c", dt.datetime(2020, 1, 1), 1.0, "0"), ("lost", None, 2.0, "0")]
+    df = spark.createDataFrame(rows, "station string, t timestamp_ntz, v double, f string")
+    path = tmp_path / "csv"
+    sinks.write_station_files(df, str(path), rows_per_file=100)
+    assert len(kept) == 1 and {r._station for r in kept[0].collect()} == {"long"}
+    assert list(path.rglob("*.csv")) and not list(path.rglob(".*.crc"))
+    back = readers.read_series_csv(spark, str(path)).select("station", "t", "v", "f")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
