@@ -160,14 +160,14 @@ def _listed(v: Views) -> DataFrame:
 def station_files(v: Views, folder: str) -> DataFrame:
     """A file for each station; the readings of the listed ones."""
     sinks.write_station_files(_series(v), folder, rows_per_file=100_000)
-    return readers.read_station_series(v.spark, folder, _listed(v))[0].select("station", "t", "v", "f")
+    return readers.listed_series(v.spark, folder, _listed(v)).select("station", "t", "v", "f")
 
 
 @file_query
 def station_files_missing(v: Views, folder: str) -> DataFrame:
     """The listed stations that have no file."""
     sinks.write_station_files(_series(v), folder, rows_per_file=100_000)
-    return readers.read_station_series(v.spark, folder, _listed(v))[1]
+    return readers.missing_files(v.spark, folder, _listed(v))
 
 
 @file_query

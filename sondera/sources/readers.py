@@ -114,13 +114,13 @@ def _station_of(path: str) -> Column:
     """Station key of a series file, from the encoded path of its row.
 
     Either the name of a file ``<key>.csv`` or the folder ``station=<key>``,
-    in which a writer has escaped some characters once more.
+    in which a writer has escaped some characters once more.  It is computed for every
+    row, so only the last names of the path are cut out and decoded.
     """
-    decoded = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
-    plain = decoded(F.col(path))
-    folder = F.regexp_extract(plain, r"/station=([^/]+)/[^/]+$", 1)
-    name = station_from_file(F.regexp_extract(plain, r"([^/]+)$", 1))
-    return F.when(folder != "", decoded(folder)).otherwise(name)
+    decoded = lambda x: F.when(x.contains("%"), F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))).otherwise(x)
+    name, parent = F.substring_index(path, "/", -1), F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    own = F.when(parent.startswith("station=") & (parent != "station="), F.substr(parent, F.lit(len("station=") + 1)))
+    return F.when(own.isNotNull(), decoded(decoded(own))).otherwise(station_from_file(decoded(name)))
 
 
 def station_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,8 +170,14 @@ def read_station_series(
     file's path is made before it is opened.  Files are those of
     ``write_station_files`` or one ``<key>.csv`` (or ``.csv.gz``) per station.
     """
+    return listed_series(spark, folder, stations, key, named), missing_files(spark, folder, stations, key)
+
+
+def listed_series(
+    spark: SparkSession, folder: str, stations: DataFrame, key: str = "station", named: int = NAMED
+) -> DataFrame:
+    """The first table of ``read_station_series`` alone; the folder is listed once."""
     listed = stations.select(F.col(key).alias("station")).distinct()
-    files = station_files(spark, folder)
     every = _all_files(spark, folder)
     names = [r.station for r in listed.limit(named + 1).collect()]
     if len(names) <= named:
@@ -179,8 +185,14 @@ def read_station_series(
         readings = every.filter(_station_of("_metadata.file_path").isin([n for n in names if n is not None]))
     else:
         readings = every.join(listed, "station", "left_semi")
-    missing = listed.join(files.select("station").distinct(), "station", "left_anti")
-    return _typed_series(readings), missing.withColumnRenamed("station", key)
+    return _typed_series(readings)
+
+
+def missing_files(spark: SparkSession, folder: str, stations: DataFrame, key: str = "station") -> DataFrame:
+    """The second table alone: stations without a file, from one listing and no file's contents."""
+    listed = stations.select(F.col(key).alias("station")).distinct()
+    files = station_files(spark, folder).select("station").distinct()
+    return listed.join(files, "station", "left_anti").withColumnRenamed("station", key)
 
 
 def undated(readings: DataFrame) -> DataFrame:

@@ -482,3 +482,16 @@ def test_small_files_without_a_second_shuffle(spark, tmp_path, monkeypatch):
     assert list(path.rglob("*.csv")) and not list(path.rglob(".*.crc"))
     back = readers.read_series_csv(spark, str(path)).select("station", "t", "v", "f")
     assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_a_folder_is_listed_once(spark, tmp_path, monkeypatch):
+    """Each of the two tables lists the folder once, without the other's scan."""
+    for name in ("A.TX", "B%.TX"):
+        save(tmp_path / f"{name}.csv", '"t","v","f"\n2010-06-25 16:00:00,26.1,"0"\n')
+    stations = spark.createDataFrame([("B%.TX",), ("D.TX",), ("D.TX",), (None,)], "station string")
+    listed = []
+    for name in ("_all_files", "station_files"):
+        monkeypatch.setattr(readers, name, lambda *a, f=getattr(readers, name), n=name: listed.append(n) or f(*a))
+    assert [r.station for r in readers.listed_series(spark, str(tmp_path), stations).collect()] == ["B%.TX"]
+    assert sorted((r.station for r in readers.missing_files(spark, str(tmp_path), stations).collect()), key=str) == ["D.TX", None]
+    assert listed == ["_all_files", "station_files"]
