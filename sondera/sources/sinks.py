@@ -111,8 +111,10 @@ def write_station_files(readings: DataFrame, path: str, rows_per_file: int = 5_0
 
     A station is one file of up to ``rows_per_file`` rows.  A longer one is cut into as many
     pieces as it needs, each a file of its own task; months stay whole where they fit.
-    Small stations share a task as the adaptive execution sees fit.
+    Stations are dealt over the session's shuffle partitions: what a task costs is its files, and
+    coalesced by bytes they left cores idle in a second wave.
     """
+    tasks = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     month = F.date_trunc("month", F.col("t").cast("timestamp_ntz"))
     sizes = readings.groupBy("station", month.alias("_month")).agg(F.count(F.lit(1)).alias("_n"))
     along = W.partitionBy("station").orderBy("_month")
@@ -136,7 +138,7 @@ def write_station_files(readings: DataFrame, path: str, rows_per_file: int = 5_0
     piece = F.coalesce(F.col("_first") + F.pmod(F.xxhash64(F.col("t").cast("string")), F.col("_parts")), F.lit(0))
     (
         dealt.withColumn("_piece", piece)
-        .repartition("station", "_piece")
+        .repartition(tasks, "station", "_piece")
         .sortWithinPartitions("station", "_piece", "t")
         .select(*readings.columns)
         .write.mode("overwrite")

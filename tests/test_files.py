@@ -495,3 +495,11 @@ def test_a_folder_is_listed_once(spark, tmp_path, monkeypatch):
     assert [r.station for r in readers.listed_series(spark, str(tmp_path), stations).collect()] == ["B%.TX"]
     assert sorted((r.station for r in readers.missing_files(spark, str(tmp_path), stations).collect()), key=str) == ["D.TX", None]
     assert listed == ["_all_files", "station_files"]
+
+
+def test_stations_are_dealt_over_all_shuffle_partitions(spark, tmp_path):
+    """Many small files are as many tasks' work as the session has partitions, however few their bytes."""
+    rows = [(f"s{i}", dt.datetime(2020, 1, 1), float(i), "0") for i in range(100)]
+    sinks.write_station_files(spark.createDataFrame(rows, "station string, t timestamp_ntz, v double, f string"), str(tmp_path / "csv"))
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "csv").rglob("part-*.csv")}
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
