@@ -11,6 +11,10 @@ more.  Who is left after the last column has its exact score.
 Two scans do the work: one over the rows of the anchor's label for the positives,
 one over the others for the windows that the positives' scores open.  Each block
 meets each chunk of anchors once; the best of all blocks are then ranked.
+
+All joins are merged, as Spark can't tell which of their sides are small: it leaves
+the number of copies of the anchors out of its estimate, and takes the size of a
+saved table's files for that of its rows.  A broadcast would pass the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +32,10 @@ from sondera.llm.vectors import Extent, extent, from_bytes, matrix, to_bytes, us
 
 #: Rows in a block, anchors in a chunk, columns read between two looks at the limits.
 BLOCK, CHUNK, STEP = 8192, 256, 8
+#: Multiples of it, without their whole parts, lie evenly between 0 and 1.
+GOLDEN = (5**0.5 - 1) / 2
+#: Partitions for each slot: few slots meet in one, and partitions without any cost little.
+SPREAD = 4
 
 NEGATIVES = (
     "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
@@ -101,19 +110,23 @@ def _ranked(score: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
 
 
 def vertical_blocks(vectors: DataFrame, size: Extent, slots: int, rows: int = BLOCK) -> DataFrame:
-    """Blocks of columns: ``slot``, ``keys``, ``labels``, ``columns``, ``low``, ``high``; sorted by label inside."""
+    """Blocks of columns: ``slot``, ``keys``, ``labels``, ``columns``, ``low``, ``high``; sorted by label inside.
+
+    Tasks begin at slots spread by the golden ratio, so blocks are dealt evenly whatever their rows.
+    """
     names = ["slot", "keys", "labels", "columns", "low", "high"]
     kinds = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.binary()]
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, made = [], 0, 0
+        start = int(TaskContext.get().partitionId() * GOLDEN % 1 * slots)
 
         def block() -> pa.RecordBatch:
             keys, labels, x = (np.concatenate(p) for p in zip(*held))
             order = np.lexsort((keys, labels))
             keys, labels, x = keys[order], labels[order], x[order]
             row = [
-                (int(keys[0]) + made) % slots,
+                (start + made) % slots,
                 to_bytes(keys),
                 labels.tolist(),
                 [to_bytes(c) for c in x.T],
@@ -241,7 +254,9 @@ def hard_negatives(
     found = "anchor_id long, label long, positive_score long, key long, score long"
 
     def scanned(with_positives: DataFrame, same: bool, k: int) -> DataFrame:
-        met = blocks.join(_chunks(with_positives, chunks, slots), "slot").drop("slot")
+        copies = _chunks(with_positives, chunks, slots)
+        laid, sent = (df.repartition(SPREAD * slots, "slot") for df in (blocks, copies))
+        met = laid.join(sent.hint("merge"), "slot").drop("slot")
         return met.mapInArrow(_scan(size, same, k, percent), found)
 
     def ranked(df: DataFrame, k: int, *by: str) -> DataFrame:
@@ -255,8 +270,8 @@ def hard_negatives(
         )
     )
     opened = first.groupBy(F.col("anchor_id").alias("key")).agg(F.sort_array(F.collect_set("positive_score")).alias("positives"))
-    second = ranked(scanned(starts.join(opened, "key"), False, negatives), negatives, "anchor_id", "positive_score")
+    second = ranked(scanned(starts.join(opened.hint("merge"), "key"), False, negatives), negatives, "anchor_id", "positive_score")
     return (
-        first.join(second, ["anchor_id", "positive_score"])
+        first.join(second.hint("merge"), ["anchor_id", "positive_score"])
         .select("anchor_id", "positive_id", "rank", F.col("key").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
     )

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from sondera.llm import bond_negatives, voronoi_join
-from sondera.llm.vectors import from_bytes, to_bytes
+from sondera.llm.common import saved
+from sondera.llm.vectors import Extent, from_bytes, to_bytes
 
 SCHEMA = "vec_id long, label int, embedding array<float>, rank string, score double"
 
@@ -138,6 +140,30 @@ def test_hard_negatives(spark, block, chunk):
     assert sorted(map(tuple, found.collect())) == expected and len(expected) > 100
 
 
+def test_hard_negatives_broadcast_nothing(spark, monkeypatch):
+    run = []
+
+    def watched(df):
+        df.collect()  # what is left then is the plan that ran
+        run.append(df)
+        return saved(df)
+
+    monkeypatch.setattr(bond_negatives, "saved", watched)
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(3)
+    # 21 blocks: Spark's estimate of the anchors' copies is that of one of them
+    found = bond_negatives.hard_negatives(df, df.filter("vec_id % 5 = 0"), block=20, chunk=5)
+    assert found.count() == len(found.collect()) > 100
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in [*run, found]]
+    assert sum("SortMergeJoin" in p for p in plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_blocks_are_dealt_over_the_slots(spark):
+    df = spark.range(0, 6400, 1, 64).selectExpr("id AS key", "id % 3 AS label", "array(1.0D, id / 100) AS vector")
+    blocks = bond_negatives.vertical_blocks(df, Extent(6400, 2, "<f8"), 50, 100).select("slot").collect()
+    # the least keys are all multiples of 100
+    assert len(blocks) == 64 and max(Counter(b.slot for b in blocks).values()) <= 3
+
+
 def test_hard_negatives_edge_cases(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert bond_negatives.hard_negatives(empty, empty).collect() == []
